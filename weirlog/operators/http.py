@@ -221,7 +221,7 @@ def http_records(
         "message_json",
         F.struct(
             F.lit(None).cast(schemas.SYSLOG_META).alias("syslog"),
-            http.cast(schemas.HTTP_META).alias("http"),
+            http.alias("http"),
             F.lit(None).cast("string").alias("other"),
         ).alias("message_metadata"),
     )

@@ -65,13 +65,13 @@ class Splits(NamedTuple):
         names = [f"k{i}" for i in range(len(self.bounds[0]))] if n else []
         text = json.dumps([dict(zip(names, bound)) for bound in self.bounds])
         bounds = F.from_json(F.lit(text), f"array<{self.key_type}>")
-        return _last_at_or_below(bounds, n, key)
+        return last_at_or_below(bounds, F.lit(n), key, n)
 
     def find_position(self, position: Column) -> Column:
         """Number (from 0) of the split that holds a position (from 1)."""
         firsts = [before + 1 for before in self.before()]
         bounds = F.from_json(F.lit(json.dumps(firsts)), "array<bigint>")
-        return _last_at_or_below(bounds, len(firsts), position)
+        return last_at_or_below(bounds, F.lit(len(firsts)), position, len(firsts))
 
     def before(self) -> list[int]:
         return [0, *accumulate(self.counts)][: len(self.counts)]
@@ -80,9 +80,13 @@ class Splits(NamedTuple):
         return F.get(F.from_json(F.lit(json.dumps(self.before())), "array<bigint>"), split)
 
 
-def _last_at_or_below(bounds: Column, n: int, key: Column) -> Column:
-    """Binary search over a literal list: index of the last bound <= key, at least 0."""
-    steps = [1 << k for k in range(max(n, 1).bit_length() - 1, -1, -1)]
+def last_at_or_below(bounds: Column, n: Column, key: Column, at_most: int) -> Column:
+    """Binary search: index of the last of ``n`` sorted bounds that is <= key, at least 0.
+
+    ``at_most`` limits ``n``. Interpreted, but only about log2(at_most)
+    comparisons per row.
+    """
+    steps = [1 << k for k in range(max(at_most, 1).bit_length() - 1, -1, -1)]
     found = F.aggregate(
         F.array(*[F.lit(step) for step in steps]),
         F.lit(0),
@@ -120,6 +124,42 @@ def measure_splits(df: DataFrame, order: Sequence[str], splits: int | None = Non
     )
 
 
+def measure_positions(
+    df: DataFrame, order: Sequence[str], position: str, splits: int | None = None
+) -> Splits:
+    """Splits of rows that carry gap-free positions from 1 along ``order`` already.
+
+    Two aggregates without a shuffle of rows; ``_split`` of a row is
+    ``(position - 1) DIV size``, which :func:`positions_split` gives.
+    """
+    if splits is None:
+        splits = _SPLITS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = df.agg(F.max(position)).first()[0] or 0
+    size = max(1, -(-total // splits))
+    keys = df.select(
+        *[order_key(df, name).alias(f"k{i}") for i, name in enumerate(order)],
+        positions_split(F.col(position), size).alias("part"),
+    )
+    names = [f"k{i}" for i in range(len(order))]
+    rows = (
+        keys.groupBy("part")
+        .agg(F.min(F.struct(*names)).alias("lowest"), F.count("*").alias("rows"))
+        .orderBy("part")
+        .collect()
+    )
+    if sum(row.rows for row in rows) != total:
+        raise ValueError(f"{position} is not gap-free from 1")
+    return Splits(
+        keys.select(F.struct(*names).alias("k")).schema["k"].dataType.simpleString(),
+        [tuple(row.lowest) for row in rows],
+        [row.rows for row in rows],
+    )
+
+
+def positions_split(position: Column, size: int) -> Column:
+    return F.floor((position - 1) / size).cast("int")
+
+
 def with_positions(
     df: DataFrame,
     order: Sequence[str],

@@ -33,11 +33,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlog import schemas
-from weirlog.operators.numbering import Splits, key_struct, measure_splits, order_key, with_positions
-from weirlog.session import reliable_checkpoint
+from weirlog.operators.numbering import (
+    Splits,
+    key_struct,
+    last_at_or_below,
+    measure_positions,
+    measure_splits,
+    order_key,
+    positions_split,
+    with_positions,
+)
+from weirlog.session import Scratch, reliable_checkpoint
 
 # Marks are about 40 bytes each; beyond this count they are joined by shuffle.
 MAX_BROADCAST_MARKS = 500_000
+# Up to so many runs per split they are looked up in a list.
+_RUNS_PER_SPLIT = 64
 
 _UNITS = "yMdHms"
 
@@ -103,6 +114,7 @@ def segment(
     tie: Sequence[str] = ("record_id",),
     cut_at: Sequence[datetime] = (),
     opened: DataFrame | None = None,
+    position: str | None = None,
     splits: int | None = None,
 ) -> DataFrame:
     """Add ``token`` and ``segment`` (0, 1, 2... within series and token).
@@ -110,41 +122,91 @@ def segment(
     ``tie`` orders rows of the same instant. ``cut_at`` lists instants at which
     the open segment is closed whatever it holds. ``opened`` continues segments
     of an earlier batch; see :func:`open_segments`.
+
+    ``position`` may name a column that already numbers the rows 1, 2, 3...
+    without gaps in the order of ``at``, such as ``sequence`` where nothing was
+    dropped. Then no row has to be sorted or, with few runs, even moved.
     """
     if messages < 1:
         raise ValueError("messages must be at least 1")
+    if position is not None and keys:
+        raise ValueError("positions number all rows, so they cannot be used with keys")
     check_layout(layout)
-    order = [*keys, at, *tie]
-    measured = measure_splits(df, order, splits)
-    runs = reliable_checkpoint(
-        _runs(df.select(*order), measured, messages, timeout, layout, keys, at, tie, cut_at, opened)
-    )
-    marks = (
-        runs.withColumn(
-            "_part",
-            F.explode(
-                F.sequence(measured.find_position(F.col("start")), measured.find_position(F.col("last")))
-            ),
+    spark = df.sparkSession
+    if position is not None:
+        order = [at, position]
+        measured = measure_positions(df, order, position, splits)
+        size = max(measured.counts, default=1)
+        number = lambda rows: rows.withColumns(
+            {"_position": F.col(position), "_split": positions_split(F.col(position), size)}
         )
-        # Each split a run reaches into gets a mark of its own at its first row.
-        .select(
-            F.greatest("start", measured.rows_before(F.col("_part")) + 1).alias("_position"),
-            F.struct("base", "segment").alias("_run"),
+    else:
+        order = [*keys, at, *tie]
+        measured = measure_splits(df, order, splits)
+        number = lambda rows: with_positions(rows, order, measured, out="_position")
+
+    strip = ["_series", "token", "_cuts"]
+    narrow = with_token(number(df.select(*order)), layout, at).withColumns(
+        {"_series": _series(keys), "_cuts": _cuts_until(F.col(at), cut_at)}
+    )
+    if timeout is not None:
+        narrow = _with_status(narrow, order, strip, messages, timeout, at)
+    with Scratch(spark) as scratch:
+        # Time and place of each row, written once and read by the steps below.
+        narrow = scratch.table(narrow.drop(*[c for c in order if c not in (*keys, at)]), "positions")
+        steps = _steps(narrow, scratch, measured, strip, messages, timeout, keys, at, order, cut_at, opened)
+        runs = reliable_checkpoint(
+            steps.select(*strip, "kind", "a", "b")
+            .repartition("_series", "token")
+            .sortWithinPartitions(*strip, "kind", "a")
+            .mapInPandas(_follow(messages), "start bigint, last bigint, base bigint, segment bigint")
         )
+    count = runs.count()
+    rows = number(df)
+    if position is not None and count <= _RUNS_PER_SPLIT * max(1, len(measured.counts)):
+        rows = _runs_by_search(rows, runs, measured, count)
+    else:
+        rows = _runs_by_scan(rows, runs, measured, count, order)
+    number_in_run = F.expr(f"(_position - _run.base) DIV {messages}")
+    return (
+        with_token(rows, layout, at)
+        .withColumn("segment", F.col("_run")["segment"] + number_in_run)
+        .drop("_position", "_split", "_run")
     )
-    few = runs.count() + len(measured.counts) <= MAX_BROADCAST_MARKS
-    rows = with_positions(df, order, measured, out="_position")
+
+
+def _by_split(runs: DataFrame, measured: Splits) -> DataFrame:
+    """Runs, once for each split they reach into, at their first row there."""
+    part = F.explode(
+        F.sequence(measured.find_position(F.col("start")), measured.find_position(F.col("last")))
+    )
+    return runs.withColumn("_part", part).withColumn(
+        "start", F.greatest("start", measured.rows_before(F.col("_part")) + 1)
+    )
+
+
+def _runs_by_scan(rows: DataFrame, runs: DataFrame, measured: Splits, count: int, order: list[str]) -> DataFrame:
+    """Mark the first row of each run; the rows after it, in its split, follow it."""
+    marks = _by_split(runs, measured).select(
+        F.col("start").alias("_position"), F.struct("base", "segment").alias("_run")
+    )
+    few = count + len(measured.counts) <= MAX_BROADCAST_MARKS
     rows = rows.join(F.broadcast(marks) if few else marks, "_position", "left")
     so_far = Window.partitionBy("_split").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.last("_run", ignorenulls=True).over(so_far)
-    return (
-        with_token(rows.withColumn("_run", run), layout, at)
-        .withColumn(
-            "segment",
-            F.col("_run")["segment"] + F.expr(f"(_position - _run.base) DIV {messages}"),
-        )
-        .drop("_position", "_split", "_run")
+    return rows.withColumn("_run", F.last("_run", ignorenulls=True).over(so_far))
+
+
+def _runs_by_search(rows: DataFrame, runs: DataFrame, measured: Splits, count: int) -> DataFrame:
+    """Look the run up among the few of a row's split. Nothing is shuffled."""
+    lists = (
+        _by_split(runs, measured)
+        .groupBy(F.col("_part").alias("_split"))
+        .agg(F.array_sort(F.collect_list(F.struct("start", "base", "segment"))).alias("_runs"))
     )
+    rows = rows.join(F.broadcast(lists), "_split", "left")
+    starts = F.transform("_runs", lambda run: run["start"])
+    found = last_at_or_below(starts, F.size("_runs"), F.col("_position"), count)
+    return rows.withColumn("_run", F.get("_runs", found)).drop("_runs")
 
 
 def segment_by_count(
@@ -160,25 +222,20 @@ def segment_by_count(
     return segment(df, messages, None, layout, keys, at, tie, splits=splits)
 
 
-def _runs(
-    df: DataFrame,
+def _steps(
+    rows: DataFrame,
+    scratch: Scratch,
     measured: Splits,
+    strip: list[str],
     messages: int,
     timeout: str | None,
-    layout: str,
     keys: Sequence[str],
     at: str,
-    tie: Sequence[str],
+    order: list[str],
     cut_at: Sequence[datetime],
     opened: DataFrame | None,
 ) -> DataFrame:
-    """Runs (start, last, base, segment): positions and the arithmetic they follow."""
-    order = [*keys, at, *tie]
-    strip = ["_series", "token", "_cuts"]
-    rows = with_positions(df, order, measured, out="_position")
-    rows = with_token(rows, layout, at).withColumns(
-        {"_series": _series(keys), "_cuts": _cuts_until(F.col(at), cut_at)}
-    )
+    """What :func:`_follow` scans: open segments, strips and candidates."""
     strips = rows.groupBy(*strip).agg(F.min("_position").alias("a"), F.max("_position").alias("b"))
     steps = strips.withColumn("kind", F.lit(1))
     starts = None
@@ -199,53 +256,52 @@ def _runs(
         starts = opened.join(strips, strip).select(
             *keys, *strip, F.col("started_at").alias(at), (F.col("a") - F.col("count")).alias("_position")
         )
-    if timeout is not None:
-        candidates = _candidates(rows, order, strip, measured, messages, timeout, at).select(
-            *keys, *strip, at, "_position"
-        )
-        if starts is not None:
-            candidates = candidates.unionByName(starts)
-        # Bounded by the limits, not by the rows; written down once, used twice.
-        candidates = reliable_checkpoint(candidates)
-        aged = _first_row_aged(candidates, rows, measured, timeout, keys, at, tie)
-        aged = aged.where(F.col("_aged") < F.col("_position") + messages)
-        steps = steps.unionByName(
-            aged.select(*strip, F.col("_position").alias("a"), F.col("_aged").alias("b"), F.lit(2).alias("kind"))
-        )
-    return (
-        steps.select(*strip, "kind", "a", "b")
-        .repartition("_series", "token")
-        .sortWithinPartitions(*strip, "kind", "a")
-        .mapInPandas(_follow(messages), "start bigint, last bigint, base bigint, segment bigint")
+    if timeout is None:
+        return steps
+    candidates = _candidates(rows, strip, measured, messages, timeout, at).select(*keys, *strip, at, "_position")
+    if starts is not None:
+        candidates = candidates.unionByName(starts)
+    # Bounded by the limits, not by the rows.
+    candidates = scratch.table(candidates, "candidates")
+    aged = _first_row_aged(candidates, rows, measured, timeout, keys, at, order)
+    aged = aged.where(F.col("_aged") < F.col("_position") + messages)
+    return steps.unionByName(
+        aged.select(*strip, F.col("_position").alias("a"), F.col("_aged").alias("b"), F.lit(2).alias("kind"))
     )
 
 
+def _fills_up(ahead: Column, strip: list[str], timeout: str, at: str) -> Column:
+    """Whether the row ``messages - 1`` further on comes in the same strip and in time."""
+    in_time = ahead[at] < F.col(at) + F.expr(f"INTERVAL {timeout}")
+    for name in strip:
+        in_time = in_time & (ahead[name] == F.col(name))
+    return F.coalesce(in_time, F.lit(False))
+
+
+def _with_status(
+    rows: DataFrame, order: list[str], strip: list[str], messages: int, timeout: str, at: str
+) -> DataFrame:
+    """Add ``_status``: 0 no candidate, 1 candidate, 2 the row ahead is in a later split."""
+    inside = Window.partitionBy("_split").orderBy(*order)
+    ahead = F.lead(F.struct(*strip, at), messages - 1).over(inside)
+    rows = rows.withColumn("_ahead", ahead)
+    status = F.when(F.col("_ahead").isNull(), 2).when(_fills_up(F.col("_ahead"), strip, timeout, at), 0).otherwise(1)
+    return rows.withColumn("_status", status).drop("_ahead")
+
+
 def _candidates(
-    rows: DataFrame, order: list[str], strip: list[str], measured: Splits, messages: int, timeout: str, at: str
+    rows: DataFrame, strip: list[str], measured: Splits, messages: int, timeout: str, at: str
 ) -> DataFrame:
     """Rows at which a segment would not fill up before it is too old."""
-    inside = Window.partitionBy("_split").orderBy(*order)
-    here = F.struct(*strip, at)
-    rows = rows.withColumn("_ahead", F.lead(here, messages - 1).over(inside))
-    limit = F.col(at) + F.expr(f"INTERVAL {timeout}")
-
-    def fills_up(ahead: Column) -> Column:
-        same = [F.equal_null(ahead[name], F.col(name)) for name in strip]
-        full = ahead[at] < limit
-        for condition in same:
-            full = full & condition
-        return ahead.isNotNull() & full
-
-    known = rows.where(F.col("_ahead").isNotNull() & ~fills_up(F.col("_ahead"))).drop("_ahead")
-    if messages == 1:
-        return known
-    # Within `messages` rows of the end of a split the row ahead lies in a later one.
-    unknown = rows.where(F.col("_ahead").isNull()).drop("_ahead")
+    known = rows.where(F.col("_status") == 1)
+    # Within `messages` rows of the end of a split the row ahead lies in a later
+    # one, among the first `messages` there.
     heads = rows.where(F.col("_position") - measured.rows_before(F.col("_split")) < messages).select(
-        (F.col("_position") - (messages - 1)).alias("_position"), here.alias("_ahead")
+        (F.col("_position") - (messages - 1)).alias("_position"), F.struct(*strip, at).alias("_ahead")
     )
-    unknown = unknown.join(heads, "_position", "left")
-    return known.unionByName(unknown.where(~F.coalesce(fills_up(F.col("_ahead")), F.lit(False))).drop("_ahead"))
+    unknown = rows.where(F.col("_status") == 2).join(heads, "_position", "left")
+    unknown = unknown.where(~_fills_up(F.col("_ahead"), strip, timeout, at)).drop("_ahead")
+    return known.unionByName(unknown)
 
 
 def _first_row_aged(
@@ -255,7 +311,7 @@ def _first_row_aged(
     timeout: str,
     keys: Sequence[str],
     at: str,
-    tie: Sequence[str],
+    order: list[str],
 ) -> DataFrame:
     """Add ``_aged``: position of the first row at least ``timeout`` after a candidate.
 
@@ -263,9 +319,10 @@ def _first_row_aged(
     position of the row just before.
     """
     probes = candidates.withColumn("_limit", F.col(at) + F.expr(f"INTERVAL {timeout}"))
+    # Before any row of the limit's own instant: the ties are left empty.
     probe_key = [order_key(probes, name) for name in (*keys, "_limit")]
-    probe_key += [F.lit(None).cast(order_key_type(rows, name)) for name in tie]
-    probes = probes.withColumn("_split", measured.find(key_struct(probe_key)))
+    key = key_struct(probe_key + [F.lit(None)] * (len(order) - len(probe_key))).cast(measured.key_type)
+    probes = probes.withColumn("_split", measured.find(key))
     # Only splits that receive a probe are read again; at most one row per split.
     wanted = probes.select("_split").distinct()
     near = rows.join(wanted, "_split", "left_semi").select("_split", *keys, at, "_position")
@@ -289,10 +346,6 @@ def _first_row_aged(
     )
 
 
-def order_key_type(df: DataFrame, name: str) -> str:
-    return df.select(order_key(df, name).alias("k")).schema["k"].dataType.simpleString()
-
-
 def _follow(messages: int):
     """Scan over (strip, kind, a, b) in order, holding only the open strip.
 

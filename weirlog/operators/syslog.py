@@ -95,20 +95,22 @@ def _decode_5424(df: DataFrame, line: Column) -> DataFrame:
     df = df.withColumn(
         "_structured",
         F.when((token(6) == "-") | F.startswith(token(6), F.lit("- ")), F.lit("-"))
-        .when(F.startswith(token(6), F.lit("[")), F.nullif(F.regexp_extract(token(6), _STRUCTURED, 0), F.lit(""))),
+        .when(F.startswith(token(6), F.lit("[")), F.regexp_extract(token(6), _STRUCTURED, 0)),
     )
-    priority = F.expr("try_cast(substring(_tokens[0], 2, instr(_tokens[0], '>') - 2) AS INT)")
-    version = F.expr("try_cast(substring(_tokens[0], instr(_tokens[0], '>') + 1) AS INT)")
+    head_end = F.instr(token(0), F.lit(">"))
+    df = df.withColumn("_pri", F.substring(token(0), F.lit(2), head_end - 2).try_cast("int"))
+    priority = F.col("_pri")
+    version = F.substring(token(0), head_end + 1, F.length(token(0))).try_cast("int")
     well_formed = (
         (F.size("_tokens") == 7)
         & token(0).rlike(_PRI_VERSION)
         & (token(1).rlike(_RFC3339) | (token(1) == "-"))
         & (priority <= _MAX_PRIORITY)
-        & F.col("_structured").isNotNull()
+        & (F.length("_structured") > 0)
     )
     parts = _struct(
         priority=priority,
-        facility=F.floor(priority / 8),
+        facility=F.shiftright(priority, 3),
         severity=priority % 8,
         version=version,
         timestamp=F.when(token(1) != "-", token(1).try_cast("timestamp")),
@@ -119,7 +121,7 @@ def _decode_5424(df: DataFrame, line: Column) -> DataFrame:
         structured_data=F.col("_structured"),
         message=F.substring(token(6), F.length("_structured") + 2, F.length(token(6))),
     )
-    return df.withColumn("parts", F.when(well_formed, parts)).drop("_tokens", "_structured")
+    return _computed_once(df, F.when(well_formed, parts)).drop("_tokens", "_structured", "_pri")
 
 
 def _decode_3164(df: DataFrame, line: Column, received_at: Column) -> DataFrame:
@@ -137,7 +139,8 @@ def _decode_3164(df: DataFrame, line: Column, received_at: Column) -> DataFrame:
     this_year = instant(F.year(received_at))
     latest = received_at + F.expr("INTERVAL 1 DAY")
     timestamp = F.when(this_year <= latest, this_year).otherwise(instant(F.year(received_at) - 1))
-    priority = group(0).try_cast("int")
+    df = df.withColumn("_pri", group(0).try_cast("int"))
+    priority = F.col("_pri")
     well_formed = (
         (F.size("_g") == 9)
         & (priority <= _MAX_PRIORITY)
@@ -145,14 +148,23 @@ def _decode_3164(df: DataFrame, line: Column, received_at: Column) -> DataFrame:
     )
     parts = _struct(
         priority=priority,
-        facility=F.floor(priority / 8),
+        facility=F.shiftright(priority, 3),
         severity=priority % 8,
         timestamp=timestamp,
         hostname=group(6),
         tag=group(7),
         content=group(8),
     )
-    return df.withColumn("parts", F.when(well_formed, parts)).drop("_g")
+    return _computed_once(df, F.when(well_formed, parts)).drop("_g", "_pri")
+
+
+def _computed_once(df: DataFrame, parts: Column) -> DataFrame:
+    """Add ``parts`` so that filters on it are not rewritten over the frame.
+
+    A filter moves below a projection by repeating its expressions, here the whole
+    decoding. It does not move below a generator.
+    """
+    return df.select("*", F.explode(F.array(parts)).alias("parts"))
 
 
 # -- operators on a map of parts -------------------------------------------------
@@ -240,23 +252,26 @@ def severity_to_level(severity: Column) -> tuple[Column, Column]:
 
 
 def _nil(column: Column) -> Column:
-    return F.nullif(F.nullif(column, F.lit("")), F.lit("-"))
+    return F.when(~column.isin("", "-"), column)
 
 
 def _fields(part) -> Column:
     """Residual fields of a decoded frame, built without higher-order functions."""
-    fields = F.create_map(
-        F.lit("facility"), part("facility").cast("string"),
-        F.lit("priority"), part("priority").cast("string"),
-        F.lit("severity"), part("severity").cast("string"),
-    )
-    for name, value in (
-        ("version", part("version").cast("string")),
-        ("proc_id", _nil(part("proc_id"))),
-        ("structured_data", _nil(part("structured_data"))),
-    ):
-        fields = F.when(value.isNull(), fields).otherwise(F.map_concat(fields, F.create_map(F.lit(name), value)))
-    return fields
+    none = F.create_map().cast("map<string,string>")
+    optional = lambda name, value: F.when(value.isNull(), none).otherwise(F.create_map(F.lit(name), value))
+    return F.map_concat(
+        F.create_map(
+            F.lit("facility"),
+            part("facility").cast("string"),
+            F.lit("priority"),
+            part("priority").cast("string"),
+            F.lit("severity"),
+            part("severity").cast("string"),
+        ),
+        optional("version", part("version").cast("string")),
+        optional("proc_id", _nil(part("proc_id"))),
+        optional("structured_data", _nil(part("structured_data"))),
+    )
 
 
 def _with_reason(df: DataFrame, format: str, raw: str, received_at: str) -> DataFrame:
@@ -324,7 +339,7 @@ def syslog_records(
         "message_text",
         "message_json",
         F.struct(
-            syslog.cast(schemas.SYSLOG_META).alias("syslog"),
+            syslog.alias("syslog"),
             F.lit(None).cast(schemas.HTTP_META).alias("http"),
             F.lit(None).cast("string").alias("other"),
         ).alias("message_metadata"),

@@ -545,7 +545,7 @@ def _events(spark, sf_dir):
 
 @query
 def segment_token(spark, sf_dir):
-    rows = segments.with_token(_events(spark, sf_dir), segments.layout_from_reference_time("2006-01-02T15"))
+    rows = segments.with_token(_events(spark, sf_dir), segments.layout_from_reference_time("2006-01-02 15"))
     return rows.select("record_id", "token")
 
 
@@ -657,7 +657,7 @@ def frame_blank_lines(spark, sf_dir):
 
 def _segmented_messages(spark, sf_dir):
     return segments.segment(
-        _sequenced_messages(spark, sf_dir), 1000, "12 hours", at="timestamp", tie=("sequence",)
+        _sequenced_messages(spark, sf_dir), 1000, "12 hours", at="timestamp", position="sequence"
     )
 
 
@@ -689,12 +689,12 @@ def write_segments_(spark, sf_dir):
     """Counts per segment file as read back."""
     store = new_folder(spark, "segments")
     write_segments(_segmented_messages(spark, sf_dir), store)
-    rows = scan_archive(spark, store)
+    rows = scan_archive(spark, store).withColumn("file", F.input_file_name())
     return rows.groupBy("month", "segment_name").agg(
         F.count("*").alias("messages"),
         F.min("sequence").alias("first_sequence"),
         F.max("sequence").alias("last_sequence"),
-        F.count_distinct(F.input_file_name()).alias("files"),
+        F.count_distinct("file").alias("files"),
     )
 
 

@@ -419,7 +419,7 @@ def _segmented(messages: int, seconds: int, series: str = "''", cuts: str = "0")
     )
 
 
-ORACLES["segment_token"] = "select event_id as record_id, strftime(ts, '%Y-%m-%dT%H') as token from events"
+ORACLES["segment_token"] = "select event_id as record_id, strftime(ts, '%Y-%m-%d %H') as token from events"
 ORACLES["segment_by_count"] = """select event_id as record_id, cast(cast(ts as date) as varchar) as token,
  (row_number() over (partition by cast(ts as date) order by ts, event_id) - 1) // 100 as segment from events"""
 _SEGMENT = "select record_id, token, segment from segmented"

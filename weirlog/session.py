@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings every operator relies on.
 SETTINGS = {
@@ -60,9 +60,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/weirlog-{label}-{uuid.uuid4().hex}"
 
 
-def reliable_checkpoint(df):
+def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage, so lost executors do no harm."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Tables written to the shared folder to be read several times, then removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        folder = new_folder(self.spark, label)
+        self.folders.append(folder)
+        df.write.parquet(folder)
+        return self.spark.read.schema(df.schema).parquet(folder)
+
+    def __exit__(self, *_) -> None:
+        for folder in self.folders:
+            remove_folder(self.spark, folder)

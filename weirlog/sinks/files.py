@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weirlog import schemas
 from weirlog.operators.render import frame, message_to_json
 from weirlog.operators.segments import segment_key, segment_names
-from weirlog.session import reliable_checkpoint
+from weirlog.session import reliable_checkpoint, remove_folder
 
 # Codec names of the options and what the text writer calls them.
 CODECS = {"none": "none", "gz": "gzip", "bz2": "bzip2", "lz4": "lz4"}
@@ -134,10 +134,8 @@ def archive(
         .text(target)
     )
     if remove:
-        path = spark._jvm.org.apache.hadoop.fs.Path
-        files = path(current_store).getFileSystem(spark._jsc.hadoopConfiguration())
         for row in moved.toLocalIterator():  # one name at a time
-            files.delete(path(f"{current_store}/month={row.month}/segment_name={row.segment_name}"), True)
+            remove_folder(spark, f"{current_store}/month={row.month}/segment_name={row.segment_name}")
     return moved.count()
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weirlog.session import remove_folder
+
 KEPT_BATCHES = 10
 
 
@@ -26,6 +28,4 @@ class BatchState:
 
     def save(self, df: DataFrame, batch_id: int) -> None:
         df.coalesce(1).write.mode("overwrite").parquet(self._path(batch_id))
-        spark = df.sparkSession
-        old = spark._jvm.org.apache.hadoop.fs.Path(self._path(batch_id - KEPT_BATCHES))
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        remove_folder(df.sparkSession, self._path(batch_id - KEPT_BATCHES))
