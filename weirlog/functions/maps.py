@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def sorted_map(column: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.map_entries(column)))
+    return F.map_from_entries(F.sort_array(F.map_entries(column)))
 
 
 def normalise_headers(column: Column) -> Column:

@@ -46,6 +46,10 @@ def looks_like_object(text: Column) -> Column:
     return F.startswith(text, F.lit("{")) & F.endswith(text, F.lit("}"))
 
 
+def has_markup(json_text: Column) -> Column:
+    return json_text.rlike("[<>&\u2028\u2029]")
+
+
 def escape_markup(json_text: Column) -> Column:
     """Escape ``<``, ``>``, ``&`` and the two Unicode line separators in JSON text.
 

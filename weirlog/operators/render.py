@@ -8,13 +8,15 @@ from pyspark.sql import types as T
 
 from weirlog import schemas
 from weirlog.functions import maps
-from weirlog.functions.text import compact_json, escape_markup, is_json
+from weirlog.functions.text import compact_json, escape_markup, has_markup, is_json
 
 RECORD_SEPARATOR = "\x1e"
 
 # Residual syslog fields that are numbers.
 NUMERIC_FIELDS = ("facility", "priority", "severity", "version")
 
+_NUMERIC_MEMBER = rf'"(?<!\\")({"|".join(NUMERIC_FIELDS)})"(\s*:\s*)"(-?(?:0|[1-9][0-9]*))"'
+
 _TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 _ZERO_TIME = "0001-01-01T00:00:00Z"
 
@@ -33,29 +35,26 @@ def _time(column: Column) -> Column:
 
 
 def _members(json_object: Column) -> Column:
-    """The text between the braces of a JSON object."""
-    return F.substring(json_object, F.lit(2), F.length(json_object) - 2)
+    """The text between the braces of a JSON object whose last member is a scalar."""
+    return F.btrim(json_object, F.lit("{}"))
 
 
 def _syslog_json(meta: Column, options: dict) -> Column:
-    def typed(name: Column, value: Column) -> Column:
-        number = value.try_cast("bigint")
-        return F.when(name.isin(*NUMERIC_FIELDS) & number.isNotNull(), number.cast("variant")).otherwise(
-            value.cast("variant")
-        )
-
-    fields = F.transform_values(maps.sorted_map(F.coalesce(meta["fields"], F.create_map().cast("map<string,string>"))), typed)
-    return F.to_json(
+    none = F.create_map().cast("map<string,string>")
+    text = F.to_json(
         F.struct(
             meta["schema"].alias("schema"),
             meta["protocol"].alias("protocol"),
             _time(meta["timestamp"]).alias("timestamp"),
             F.coalesce(meta["timestamp_unix"], F.lit(0)).alias("timestamp_unix"),
             *[meta[n].alias(n) for n in ("node", "service", "type", "level", "level_unix")],
-            fields.alias("fields"),
+            maps.sorted_map(F.coalesce(meta["fields"], none)).alias("fields"),
         ),
         options,
     )
+    # Numbers lose their quotes. Quotes inside a string are escaped, so only whole
+    # members match.
+    return F.regexp_replace(text, _NUMERIC_MEMBER, r'"$1"$2$3')
 
 
 def _http_json(meta: Column, options: dict) -> Column:
@@ -123,7 +122,7 @@ def message_to_json(pretty: bool = False) -> Column:
 
     Members come in a fixed order and empty ones are left out. The payloads are
     embedded as they are, only without blanks, and not re-read as values, so
-    number formats and member order survive.
+    number formats and member order survive. :func:`with_json` adds the escapes.
     """
     options = {"pretty": "true"} if pretty else {}
     head = F.to_json(
@@ -145,7 +144,7 @@ def message_to_json(pretty: bool = False) -> Column:
         members = [_members(head)]
         members += [F.concat(F.lit(f'"{name}":'), value) for name, value in payloads]
         members.append(F.concat(F.lit('"message_metadata":'), meta))
-        return escape_markup(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")))
+        return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
     # Two blanks per level become tabs, and ` : ` becomes `: `. A line break can
     # only be layout: in a string it is escaped.
     inner = F.replace(meta, F.lit("\n"), F.lit("\n  "))
@@ -154,12 +153,20 @@ def message_to_json(pretty: bool = False) -> Column:
     members.append(F.concat(F.lit('\n  "message_metadata" : '), inner))
     text = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("\n}"))
     text = F.regexp_replace(text, r"(?m)(?:^|\G)  ", "\t")
-    return escape_markup(F.regexp_replace(text, r'(?m)^(\t*"(?:[^"\\]|\\.)*+") : ', "$1: "))
+    return F.regexp_replace(text, r'(?m)^(\t*"(?:[^"\\]|\\.)*+") : ', "$1: ")
+
+
+def with_json(df: DataFrame, pretty: bool = False, out: str = "json") -> DataFrame:
+    """Add the JSON text of each message, with markup characters escaped."""
+    # The text is a column of its own first, so that it is made once.
+    df = df.withColumn(out, message_to_json(pretty))
+    text = F.col(out)
+    return df.withColumn(out, F.when(has_markup(text), escape_markup(text)).otherwise(text))
 
 
 def render_message(df: DataFrame, pretty: bool = False, out: str = "json", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns and the JSON text of each message."""
-    return df.select(*keep, message_to_json(pretty).alias(out))
+    return with_json(df, pretty, out).select(*keep, out)
 
 
 def frame_sequence(json: Column) -> Column:

@@ -241,11 +241,10 @@ def promote_json_text(df: DataFrame, text: str = "message_text", json: str = "me
 def severity_to_level(severity: Column) -> tuple[Column, Column]:
     """(``level``, ``level_unix``) of a severity; a missing one reads as emergency."""
     code = F.coalesce(severity.cast("int"), F.lit(0))
-    known = code.between(0, 7)
-    names = F.array(*[F.lit(name) for name in LEVELS])
-    level = F.when(known, F.get(names, code)).otherwise(F.lit(UNDEFINED_LEVEL))
-    level_unix = F.when(known, code + 1).otherwise(F.lit(-1)).cast("tinyint")
-    return level, level_unix
+    # Reading beyond a list gives NULL.
+    level = F.get(F.array(*[F.lit(name) for name in LEVELS]), code)
+    level_unix = F.get(F.array(*[F.lit(n).cast("tinyint") for n in range(1, len(LEVELS) + 1)]), code)
+    return F.coalesce(level, F.lit(UNDEFINED_LEVEL)), F.coalesce(level_unix, F.lit(-1).cast("tinyint"))
 
 
 # -- whole records ---------------------------------------------------------------
@@ -256,22 +255,9 @@ def _nil(column: Column) -> Column:
 
 
 def _fields(part) -> Column:
-    """Residual fields of a decoded frame, built without higher-order functions."""
-    none = F.create_map().cast("map<string,string>")
-    optional = lambda name, value: F.when(value.isNull(), none).otherwise(F.create_map(F.lit(name), value))
-    return F.map_concat(
-        F.create_map(
-            F.lit("facility"),
-            part("facility").cast("string"),
-            F.lit("priority"),
-            part("priority").cast("string"),
-            F.lit("severity"),
-            part("severity").cast("string"),
-        ),
-        optional("version", part("version").cast("string")),
-        optional("proc_id", _nil(part("proc_id"))),
-        optional("structured_data", _nil(part("structured_data"))),
-    )
+    """Residual fields of a decoded frame."""
+    names = ("facility", "priority", "severity", "version", "proc_id", "structured_data")
+    return drop_nil_parts(F.create_map(*[c for n in names for c in (F.lit(n), part(n).cast("string"))]))
 
 
 def _with_reason(df: DataFrame, format: str, raw: str, received_at: str) -> DataFrame:

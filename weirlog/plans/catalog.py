@@ -43,7 +43,7 @@ def micros(name: str) -> Column:
 def pairs(column: Column) -> Column:
     """A map of lists as text, sorted by name."""
     return F.array_join(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.map_entries(column),
                 lambda e: F.concat(e["key"], F.lit("="), F.coalesce(F.array_join(e["value"], "|"), F.lit(""))),
@@ -56,7 +56,7 @@ def pairs(column: Column) -> Column:
 def scalars(column: Column) -> Column:
     """A map of texts as text, sorted by name."""
     return F.array_join(
-        F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"
+        F.sort_array(F.transform(F.map_entries(column), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"
     )
 
 
@@ -136,7 +136,7 @@ def syslog_take_part(spark, sf_dir):
         kind.value.alias("kind"),
         kind.error.alias("kind_error"),
         number.error.alias("number_error"),
-        F.array_join(F.array_sort(F.map_keys(number.parts)), ",").alias("left_over"),
+        F.array_join(F.sort_array(F.map_keys(number.parts)), ",").alias("left_over"),
     )
 
 
@@ -656,8 +656,11 @@ def frame_blank_lines(spark, sf_dir):
 
 
 def _segmented_messages(spark, sf_dir):
+    # The message table is written before it is cut up, as a deployment would.
+    table = new_folder(spark, "messages")
+    _sequenced_messages(spark, sf_dir).write.parquet(table)
     return segments.segment(
-        _sequenced_messages(spark, sf_dir), 1000, "12 hours", at="timestamp", position="sequence"
+        spark.read.parquet(table), 1000, "12 hours", at="timestamp", position="sequence"
     )
 
 

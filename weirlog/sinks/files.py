@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirlog import schemas
-from weirlog.operators.render import frame, message_to_json
+from weirlog.operators.render import frame, with_json
 from weirlog.operators.segments import segment_key, segment_names
 from weirlog.session import reliable_checkpoint, remove_folder
 
@@ -37,7 +37,7 @@ def write_console(df: DataFrame, pretty: bool = True, framing: str = "blank-line
     A stream prints every message and returns the unstarted writer. A batch
     prints the first ``limit`` rows, as ``show`` does.
     """
-    text = df.select(frame(message_to_json(pretty), framing).alias("value"))
+    text = with_json(df, pretty).select(frame(F.col("json"), framing).alias("value"))
     if df.isStreaming:
         return text.writeStream.format("console").option("truncate", "false").option("numRows", 2**31 - 1)
     return text.show(limit, truncate=False)
@@ -76,11 +76,11 @@ def write_segments(
         F.col("token"), F.col("started_at"), segment_key(keys), prefix, suffix, layout
     )
     folders = ["month", "segment_name"]
-    df = df.select(
+    df = with_json(df, pretty).select(
         month.alias("month"),
         (archived if archived_names else current).alias("segment_name"),
         "sequence",
-        frame(message_to_json(pretty), framing).alias("value"),
+        frame(F.col("json"), framing).alias("value"),
     )
     writer = df.sortWithinPartitions(*folders, "sequence").drop("sequence").write
     if batch is not None:
