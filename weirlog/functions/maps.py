@@ -53,5 +53,5 @@ def expand_values(column: Column) -> Column:
     """The reverse of :func:`collapse_values`."""
     return F.coalesce(
         F.try_variant_get(column, "$", "array<string>"),
-        F.when(~F.is_variant_null(column), F.array(F.try_variant_get(column, "$", "string"))),
+        F.when(column.isNotNull() & ~F.is_variant_null(column), F.array(F.try_variant_get(column, "$", "string"))),
     )

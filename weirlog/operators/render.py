@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from weirlog import schemas
 from weirlog.functions import maps
-from weirlog.functions.text import compact_json, escape_markup, has_markup, is_json
+from weirlog.functions.text import compact_json, escape_markup, has_markup, is_json, trim_space
 
 RECORD_SEPARATOR = "\x1e"
 
@@ -202,9 +202,21 @@ READ_SCHEMA = T.StructType(
 def messages_from_read(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Messages from columns read with :data:`READ_SCHEMA`.
 
-    A payload that is a JSON string arrives without its quotes; they are put back
-    where the text is not JSON by itself.
+    The reader hands a JSON string over without its quotes and ``null`` as NULL.
+    Such a payload is the whole body of a JSON request, so it is taken from the raw
+    bytes. Without raw bytes, quotes are put back where the text is not JSON by
+    itself, and ``null`` stays NULL.
     """
+    df = df.withColumn("_meta", metadata_from_json(F.col("message_metadata")))
+    http = F.col("_meta")["http"]
+    body = trim_space(F.col("message_raw").cast("string"))
+    whole_body = (
+        (http["content_type"] == "application/json")
+        & http["content_encoding"].isNull()
+        & http["transfer_encoding"].isNull()
+        & F.col("message_text").isNull()
+        & ((body == "null") | F.startswith(body, F.lit('"')))
+    )
 
     def payload(name: str) -> Column:
         text = F.col(name)
@@ -212,9 +224,9 @@ def messages_from_read(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     made = {
         "timestamp": F.nullif("timestamp", F.lit(_ZERO_TIME)).try_cast("timestamp"),
-        "message_json": payload("message_json"),
+        "message_json": F.when(whole_body, body).otherwise(payload("message_json")),
         "message_extra": payload("message_extra"),
-        "message_metadata": metadata_from_json(F.col("message_metadata")),
+        "message_metadata": F.col("_meta"),
     }
     return df.select(
         *[made.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in schemas.MESSAGE], *keep
