@@ -749,15 +749,13 @@ def audit_digests(spark, sf_dir):
 # -- streams -----------------------------------------------------------------------------
 
 
-def _streamed(spark, sf_dir, sinks, state):
+def _streamed(spark, sf_dir, sinks, state, max_files=2):
     """Land the frames as several files and run them through as several batches."""
     folder = new_folder(spark, "landed")
     # The range-partitioned write keeps each file to a stretch of time.
     frames = fx.syslog_frames(spark, sf_dir).repartitionByRange(4, "received_at", "record_id")
     frames.write.parquet(folder)
-    stream = (
-        spark.readStream.schema(frames.schema).options(**throttle(max_files=2)).parquet(folder)
-    )
+    stream = spark.readStream.schema(frames.schema).options(**throttle(max_files=max_files)).parquet(folder)
     records = syslog.syslog_records(stream, "rfc5424", keep=("record_id",))
     writer = run.stream_messages(records, state, sinks)
     run.run_to_end(writer, new_folder(spark, "checkpoint"))
@@ -785,3 +783,12 @@ def stream_segments(spark, sf_dir):
     _streamed(spark, sf_dir, [run.segment_sink(store, state, 1000, "12 hours")], state)
     rows = scan_archive(spark, store)
     return rows.select("message_sha256", "collector_type", micros("timestamp").alias("timestamp_us"))
+
+
+@query
+def stream_throttle(spark, sf_dir):
+    """One landed file per micro-batch: how many batches the four files took."""
+    state, out = new_folder(spark, "state"), new_folder(spark, "out")
+    _streamed(spark, sf_dir, [run.table_sink(out)], state, max_files=1)
+    rows = spark.read.parquet(out)
+    return rows.agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("messages"))

@@ -514,3 +514,6 @@ ORACLES["stream_segments"] = (
     _with(_L5424, _D5424, _S5424)
     + "select message_sha256, collector_type, epoch_us(received_at) as timestamp_us from syslog"
 )
+ORACLES["stream_throttle"] = (
+    _with(_L5424, _D5424, _S5424) + "select 4::bigint as batches, count(*) as messages from syslog"
+)
