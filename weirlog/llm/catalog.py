@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import line_dedup, sharding
+from weirlog.llm import line_dedup, sharding, simhash
 from weirlog.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op3_simhash_neighbours(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op6_histogram_shards(spark, sf_dir):
     rows = sharding.shards(table(spark, sf_dir, "documents"), 40)
