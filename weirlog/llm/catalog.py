@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import line_dedup, sharding, simhash
-from weirlog.session import configure
+from weirlog.llm import line_dedup, sharding, simhash, token_store, topk
+from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,12 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The path of a public tokenizer's file, the same on all executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query
 def op3_simhash_neighbours(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op5_token_store(spark, sf_dir):
+    folder = new_folder(spark, "tokens")
+    token_store.write_tokens(table(spark, sf_dir, "documents"), folder, tokenizer_file("byte_bpe_50k.json"))
+    rows = token_store.read_tokens(spark, folder)
+    return rows.select("doc_id", "start", "n_tokens", token_store.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
 @query
 def op6_histogram_shards(spark, sf_dir):
     rows = sharding.shards(table(spark, sf_dir, "documents"), 40)
@@ -47,6 +62,11 @@ def op6_histogram_shards(spark, sf_dir):
     )
 
 
+@query
+def op7_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(50)) == 0)
+
+
 @query
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_cut")
