@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import line_dedup, sharding, simhash, token_store, topk
+from weirlog.llm import line_dedup, quality, sharding, simhash, token_store, topk
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,16 @@ def op7_exact_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(50)) == 0)
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+@query
+def op8_kneser_ney_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).drop("version")
+
+
 @query
 def op9_line_dedup(spark, sf_dir):
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_cut")
