@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import line_dedup, quality, sharding, simhash, token_store, topk
+from weirlog.llm import contamination, line_dedup, quality, sharding, simhash, token_store, topk
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,30 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_contained_items(spark, sf_dir):
+    found = contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("version")
+
+
+ORACLES["op2_contained_items"] = r"""
+with texts as (
+  select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+words as (
+  select kind, id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+shingles as (
+  select distinct kind, id, unnest([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]) as s from words),
+sizes as (select id as item_id, count(*) as n from shingles where kind = 'b' group by 1),
+shared as (
+  select d.id as doc_id, b.id as item_id, count(*) as m
+  from shingles d join shingles b on d.s = b.s and d.kind = 'd' and b.kind = 'b' group by 1, 2)
+select doc_id, item_id, n as shingles, m as shared, round(m / n, 6) as containment
+from shared join sizes using (item_id) where m >= 0.8 * n
+"""
+
+
 @query
 def op3_simhash_neighbours(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
