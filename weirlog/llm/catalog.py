@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import contamination, line_dedup, quality, sharding, simhash, token_store, topk
+from weirlog.llm import contamination, line_dedup, packing, quality, sharding, simhash, token_store, topk
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,8 @@ from documents d
 left join (select doc_id, string_agg(unit, '' order by i) as text from state where gone is null or not gone group by 1) a using (doc_id)
 left join (select doc_id, count(*) as n from gone group by 1) b using (doc_id)
 """
+
+
+@query
+def op10_best_fit_bins(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents")).drop("version", "copy")
