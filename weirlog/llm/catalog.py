@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import contamination, line_dedup, packing, quality, sharding, simhash, token_store, topk
+from weirlog.llm import contamination, licenses, line_dedup, packing, quality, sharding, simhash, token_store, topk
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op4_license_diagonals(spark, sf_dir):
+    return licenses.summary(*licenses.scan(table(spark, sf_dir, "documents")))
+
+
 def tokenizer_file(name: str) -> str:
     """The path of a public tokenizer's file, the same on all executors."""
     import public_tokenizers
