@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import contamination, licenses, line_dedup, packing, quality, sharding, simhash, token_store, topk
+from weirlog.llm import contamination, licenses, line_dedup, packing, quality, sharding, simhash, token_store, toolcalls, topk
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,63 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+SCHEMAS = {
+    "search": {
+        "type": "object",
+        "properties": {
+            "query": {"type": "string", "minLength": 20},
+            "limit": {"type": "integer", "minimum": 1, "maximum": 50},
+            "within": {"type": "object"},
+        },
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "translate": {
+        "type": "object",
+        "properties": {"text": {"type": "string"}, "to": {"enum": ["en", "fr", "de", "es"]}, "within": {}},
+        "required": ["text", "to"],
+    },
+}
+
+
+def tool_messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tool calls and results made of ``conversations``: an assistant calls, the turn after answers.
+
+    The arguments are the texts. Some calls refer to the turn two before, in
+    some conversations to the one two behind; some arguments break the schema
+    and some tools do not exist.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    identifier = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
+    turn = F.col("turn")
+    behind = F.pmod("conv_id", F.lit(7)) == 3
+    refers = F.pmod(turn, F.lit(4)) == F.when(behind, 1).otherwise(3)
+    other = F.struct(identifier(turn + F.when(behind, 2).otherwise(-2)).alias("$ref"))
+    within = F.when(refers, other)
+    search = F.to_json(
+        F.struct(F.col("text").alias("query"), F.pmod("conv_id", F.lit(60)).alias("limit"), within.alias("within"))
+    )
+    to = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "it"))), (F.pmod("conv_id", F.lit(4)) + 1).cast("int"))
+    translate = F.to_json(F.struct(to.alias("to"), within.alias("within"), F.col("text")))
+    odd = F.pmod(F.col("conv_id") + turn, F.lit(5))
+    calls = turns.where("role = 'assistant'").select(
+        "conv_id",
+        identifier(turn).alias("call_id"),
+        "turn",
+        F.when(odd < 2, "search").when(odd < 4, "translate").otherwise("lookup").alias("name"),
+        F.when(odd < 2, search).otherwise(translate).alias("arguments"),
+    )
+    results = turns.where("role = 'user'").select(
+        "conv_id", identifier(turn - 1).alias("call_id"), "turn", F.col("text").alias("content")
+    )
+    return calls, results
+
+
+@query
+def op1_tool_calls(spark, sf_dir):
+    return toolcalls.link_calls(*tool_messages(spark, sf_dir), SCHEMAS)
+
+
 @query
 def op2_contained_items(spark, sf_dir):
     found = contamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
