@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 512
 TEXTS_AT_ONCE = 256
+JOINED = 128
 REMEMBERED = 300_000  # pieces of text whose ids a worker keeps
 
 # Texts of these characters alone are cut here by the byte-level tokenizer's own rule,
@@ -56,7 +57,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # The cutting rule is that of a byte-level tokenizer without normalizer or prefix space.
         cutter = self.library.pre_tokenizer
@@ -67,28 +68,36 @@ class Encoder:
             and self.library.normalizer is None
         )
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<i4").tobytes() for e in found]
 
     def _simple(self, text: str) -> bool:
         return self.cuts and _SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
+    def _learn(self, pieces: set[str]) -> None:
+        """Words behind a blank stay apart when joined, so many go to the library as one text."""
+        apart = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
+        other = list(pieces.difference(apart))
+        self.known.update(zip(other, self._whole(other)))
+        groups = [apart[i : i + JOINED] for i in range(0, len(apart), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<i4").tobytes()
+            ends = np.cumsum(4 * np.bincount(e.word_ids, minlength=len(group))).tolist()
+            self.known.update((p, ids[i:j]) for p, i, j in zip(group, [0, *ends], ends))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special tokens."""
         pieces = [_PIECE.findall(t) if self._simple(t) else None for t in texts]
         whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        wanted = set(chain.from_iterable(p for p in pieces if p is not None))
-        if len(self.known) > REMEMBERED:
-            self.known = {p: self.known[p] for p in wanted if p in self.known}
-        new = [p for p in wanted if p not in self.known]
-        self.known.update(zip(new, map(tuple, self._whole(new))))
+        cut = [p for p in pieces if p is not None]
+        new = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set(chain.from_iterable(cut))
+        self._learn(new)
         find = self.known.__getitem__
-        return [
-            np.array(next(whole), np.int32)
-            if p is None
-            else np.fromiter(chain.from_iterable(map(find, p)), np.int32)
-            for p in pieces
-        ]
+        return [np.frombuffer(next(whole) if p is None else b"".join(map(find, p)), "<i4") for p in pieces]
 
 
 _ENCODERS: dict[str, Encoder] = {}
