@@ -96,7 +96,14 @@ def test_labels(spark):
     assert sum(good) / len(good) > 0.99
     assert sum(bad) / len(bad) < 0.35
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert len({r.threshold for r in rows}) >= 4
+
+
+def test_limits_by_language(spark, monkeypatch):
+    rows = QUERIES["op8_kneser_ney_quality"](spark, SF).collect()
+    assert len({r.threshold for r in rows}) == 1  # too few held-out documents to tell languages apart
+    monkeypatch.setattr(quality, "ENOUGH", 3)
+    rows = QUERIES["op8_kneser_ney_quality"](spark, SF).collect()
+    assert len({(r.lang, r.threshold) for r in rows}) == len({r.threshold for r in rows}) == 4
 
 
 def test_awkward_rows(spark):

@@ -34,6 +34,7 @@ DRAWN = 20  # tokens of median score that every document is given
 QUANTILE = 0.99
 FENCE = 0.5
 HELD_OUT = 5  # one in so many trusted texts
+ENOUGH = 50  # held-out documents that a language needs to have a stricter limit than all together
 
 POOLED = "*"
 
@@ -123,7 +124,7 @@ def _quantile(bins: DataFrame, q: float, name: str) -> DataFrame:
         "total", F.sum("n").over(Window.partitionBy("lang"))
     )
     return reached.where(F.col("upto") >= F.ceil(F.col("total") * q)).groupBy("lang").agg(
-        (F.min("bin") / BIN).alias(name)
+        (F.min("bin") / BIN).alias(name), F.max("total").alias("documents")
     )
 
 
@@ -145,8 +146,8 @@ def judge(
     ``trusted_ids`` has a column ``doc_id``. ``version`` is a hash of the text; rows
     that agree in id, text and language are one document. ``n_tokens`` counts
     the end of the text. Null and empty texts have the median score of their
-    language and stay. A language without held-out trusted documents, or none,
-    is held against all of them; without any trusted document all stay, with a
+    language and stay. A language with few held-out trusted documents, or none,
+    has at least the limit of all languages together; without any trusted document all stay, with a
     null threshold. Other columns are not looked at.
     """
     scratch = Scratch(df.sparkSession)
@@ -164,7 +165,7 @@ def judge(
     scores = scratch.table(model.scores(docs, *keys), "scores")
     raw = F.col("cost") / MICRO / F.col("n_tokens")
     held_out = scores.where(held & (F.col("n_tokens") > 1)).join(ids, F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    median = _quantile(_bins(held_out, raw), 0.5, "median")
+    median = _quantile(_bins(held_out, raw), 0.5, "median").drop("documents")
     pooled = median.where(F.col("lang") == POOLED).select(F.col("median").alias("any_median"))
     drawn = (F.col("cost") / MICRO + DRAWN * F.col("median")) / (F.col("n_tokens") + DRAWN)
     with_median = lambda rows: (
@@ -175,7 +176,9 @@ def judge(
     )
     high = _quantile(_bins(with_median(held_out), F.col("score")), QUANTILE, "high")
     limits = scratch.table(
-        median.join(high, "lang").select("lang", (F.col("high") + FENCE * (F.col("high") - F.col("median"))).alias("limit")),
+        median.join(high, "lang").select(
+            "lang", "documents", (F.col("high") + FENCE * (F.col("high") - F.col("median"))).alias("limit")
+        ),
         "limits",
     )
     any_limit = limits.where(F.col("lang") == POOLED).select(F.col("limit").alias("any_limit"))
@@ -183,7 +186,7 @@ def judge(
         with_median(scores)
         .join(F.broadcast(limits), "lang", "left")
         .join(F.broadcast(any_limit), F.lit(True), "left")
-        .withColumn("limit", F.coalesce("limit", "any_limit"))
+        .withColumn("limit", F.when(F.col("documents") >= ENOUGH, F.col("limit")).otherwise(F.greatest("limit", "any_limit")))
         .withColumn("score", F.when(F.col("n_tokens") > 1, F.col("score")).otherwise(F.col("median")))
     )
     return rated.select(
