@@ -25,16 +25,32 @@ def trim_space(column: Column) -> Column:
     return F.btrim(column, F.lit(WHITE_SPACE))
 
 
+# The reader's own limits lifted and its leniency switched off.
+_STRICT_JSON = {
+    "maxNestingDepth": str(2**31 - 1),
+    "maxNumLen": str(2**31 - 1),
+    "maxStringLen": str(2**31 - 1),
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+    "columnNameOfCorruptRecord": "broken",
+}
+
+
 def is_json(text: Column) -> Column:
-    """True where the whole text is one JSON value.
+    """True where the whole text is one JSON value, however deep and long.
 
-    ``try_parse_json`` alone stops at the end of the first value and ignores
-    what follows. Wrapped once as a list and once as an object member, trailing
-    characters break at least one of the two.
+    The parser stops at the end of the first value and ignores what follows.
+    Wrapped as a list member and as an object member, trailing characters
+    break at least one of the two.
     """
-    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull()
-    as_member = F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
-    return F.coalesce(as_item & as_member, F.lit(False))
+
+    def whole(wrapped: Column) -> Column:
+        # The member is skipped, not copied: copying has a depth limit of its own.
+        return F.from_json(wrapped, "other int, broken string", _STRICT_JSON)["broken"].isNull()
+
+    as_item = whole(F.concat(F.lit('{"x":['), text, F.lit("]}")))
+    as_member = whole(F.concat(F.lit('{"x":'), text, F.lit("}")))
+    return F.coalesce(text.isNotNull() & as_item & as_member, F.lit(False))
 
 
 def compact_json(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SCHEME_AND_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/]*)?"
+# Without a scheme two slashes begin a path.
+_SCHEME_AND_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?)?"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
 # Characters that stand for themselves in a path.
 _PATH_SAFE = r"[A-Za-z0-9\-_.~!$&'()*+,;=:@%/\[\]]"

@@ -4,9 +4,9 @@ A window without a partition key moves everything into one task, and one per
 day fails on the day (or the instant) that holds a third of the rows. So the
 order itself is cut into splits of about equal row counts:
 
-1. one aggregate over the order columns alone, range-partitioned by Spark, gives
-   the lowest key and the row count of each split. That is one small row per
-   split, collected by the driver;
+1. a sample of the order columns gives the bounds of the splits, and one aggregate,
+   combined before its shuffle, the exact number of rows in each. That is one small
+   row per split, collected by the driver;
 2. a row finds its split by binary search over those keys, its place by
    ``row_number`` inside the split, and its position by adding the rows of the
    splits before.
@@ -26,11 +26,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirlog.session import reliable_checkpoint
+from weirlog.session import new_folder
 
 # Splits per shuffle partition: several small ones even out what hashing puts
 # into one task.
 _SPLITS_PER_PARTITION = 2
+# More splits are made where they would hold more rows than this.
+_ROWS_PER_SPLIT = 2_000_000
+_SAMPLED = 24  # sampled keys for each split
 
 
 def order_key(df: DataFrame, name: str) -> Column:
@@ -106,22 +109,25 @@ def measure_splits(df: DataFrame, order: Sequence[str], splits: int | None = Non
 
     Reads the order columns only. The collected result has one row per split.
     """
+    spark = df.sparkSession
     if splits is None:
-        splits = _SPLITS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        splits = _SPLITS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*[order_key(df, name).alias(f"k{i}") for i, name in enumerate(order)])
-    names = keys.columns
-    rows = (
-        keys.repartitionByRange(splits, *names)
-        .groupBy(F.spark_partition_id().alias("part"))
-        .agg(F.min(F.struct(*names)).alias("lowest"), F.count("*").alias("rows"))
-        .orderBy("lowest")
-        .collect()
-    )
-    return Splits(
-        keys.select(F.struct(*names).alias("k")).schema["k"].dataType.simpleString(),
-        [tuple(row.lowest) for row in rows],
-        [row.rows for row in rows],
-    )
+    key_type = keys.select(F.struct(*keys.columns).alias("k")).schema["k"].dataType.simpleString()
+    while True:
+        # A uniform sample: each task keeps its share, so nothing is shuffled.
+        sample = sorted(map(tuple, keys.orderBy(F.rand(17)).limit(_SAMPLED * splits).collect()))
+        bounds = sorted({sample[len(sample) * i // splits] for i in range(splits)}) if sample else []
+        found = Splits(key_type, bounds, [0] * len(bounds))
+        if not bounds:
+            return found
+        counted = keys.groupBy(found.find(key_struct([F.col(c) for c in keys.columns])).alias("part"))
+        counts = {row["part"]: row["count"] for row in counted.count().collect()}
+        found = found._replace(counts=[counts.get(i, 0) for i in range(len(bounds))])
+        wanted = -(-found.total // _ROWS_PER_SPLIT)
+        if splits >= wanted:
+            return found
+        splits = wanted
 
 
 def measure_positions(
@@ -139,16 +145,30 @@ def measure_positions(
     keys = df.select(
         *[order_key(df, name).alias(f"k{i}") for i, name in enumerate(order)],
         positions_split(F.col(position), size).alias("part"),
+        F.col(position).cast("decimal(19,0)").alias("position"),
     )
     names = [f"k{i}" for i in range(len(order))]
     rows = (
         keys.groupBy("part")
-        .agg(F.min(F.struct(*names)).alias("lowest"), F.count("*").alias("rows"))
+        .agg(
+            F.min(F.struct(*names)).alias("lowest"),
+            F.count("*").alias("rows"),
+            F.min("position").alias("first"),
+            F.max("position").alias("last"),
+            F.sum("position").alias("sum"),
+            F.sum(F.col("position") * F.col("position")).alias("squares"),
+        )
         .orderBy("part")
         .collect()
     )
-    if sum(row.rows for row in rows) != total:
-        raise ValueError(f"{position} is not gap-free from 1")
+    # Count, sum and sum of squares of a split are those of its positions 1, 2, 3...
+    at = 1
+    for row in rows:
+        places = range(at, at + row.rows)
+        expected = (places[0], places[-1], sum(places), _squares(places[-1]) - _squares(at - 1))
+        if (row.first, row.last, row.sum, row.squares) != expected:
+            raise ValueError(f"{position} is not gap-free from 1")
+        at += row.rows
     return Splits(
         keys.select(F.struct(*names).alias("k")).schema["k"].dataType.simpleString(),
         [tuple(row.lowest) for row in rows],
@@ -156,6 +176,10 @@ def measure_positions(
     )
 
 
+def _squares(n: int) -> int:
+    return n * (n + 1) * (2 * n + 1) // 6
+
+
 def positions_split(position: Column, size: int) -> Column:
     return F.floor((position - 1) / size).cast("int")
 
@@ -192,12 +216,16 @@ def with_sequence(
 
 
 def with_arrival_id(df: DataFrame, out: str = "record_id") -> DataFrame:
-    """A unique id per row in reading order, frozen by a reliable checkpoint.
+    """A unique id per row in reading order, written down once.
 
-    The ids depend on how the input was cut into tasks, so they are written down
-    once and never computed again.
+    The ids depend on how the input was cut into tasks, so they are not computed
+    again. The table in the shared folder is columnar: a pass over the order
+    columns reads no others.
     """
-    return reliable_checkpoint(df.withColumn(out, F.monotonically_increasing_id()))
+    numbered = df.withColumn(out, F.monotonically_increasing_id())
+    folder = new_folder(df.sparkSession, "arrivals")
+    numbered.write.parquet(folder)
+    return df.sparkSession.read.schema(numbered.schema).parquet(folder)
 
 
 def prefix_sums(

@@ -51,7 +51,7 @@ _RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(?:\.\d{1,6})?(?:[Zz]|[+\-]\d\d:\
 _STRUCTURED = r'^(?:\[[^\s="\]]+(?: +[^\s="\]]+="(?:[^"\\]|\\.)*+")*+ ?\])++(?= |$)'
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 _FRAME_3164 = (
-    r"(?s)^<(\d{1,3})>([A-Z][a-z]{2}) ([ \d]\d) (\d\d):(\d\d):(\d\d) (\S+) "
+    r"(?s)^<(\d{1,3})>([A-Z][a-z]{2}) ([ \d]\d) (\d\d):(\d\d):(\d\d) ([^\s\x1f]+) "
     r"([^\s:\[\x1f]+)(?:\[[^\]]*\])?:? ?(.*)$"
 )
 _UNIT = "\x1f"
@@ -125,9 +125,12 @@ def _decode_5424(df: DataFrame, line: Column) -> DataFrame:
 
 
 def _decode_3164(df: DataFrame, line: Column, received_at: Column) -> DataFrame:
-    # One pass of the pattern; the groups come back joined by a separator.
-    groups = _UNIT.join(f"${n}" for n in range(1, 10))
-    df = df.withColumn("_g", F.split(F.regexp_replace(line, _FRAME_3164, groups), _UNIT, 9))
+    # One pass of the pattern; the groups come back joined by a separator, with one
+    # in front that tells a match from a frame that came through unchanged.
+    groups = "".join(f"{_UNIT}${n}" for n in range(1, 10))
+    replaced = F.regexp_replace(line, _FRAME_3164, groups)
+    matched = F.startswith(line, F.lit("<")) & F.startswith(replaced, F.lit(_UNIT))
+    df = df.withColumn("_g", F.when(matched, F.split(F.substr(replaced, F.lit(2)), _UNIT, 9)))
     group = lambda i: F.get(F.col("_g"), F.lit(i))
     month = (F.instr(F.lit(_MONTHS), group(1)) + 2) / 3
     number = lambda i: F.trim(group(i)).try_cast("int")

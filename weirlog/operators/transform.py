@@ -84,6 +84,8 @@ def replace(df: DataFrame, fn: Transformer) -> DataFrame:
     """
     df = _with_reply(df, fn)
     df = df.withColumn("_value", F.when(F.col("_valid"), F.try_parse_json("_reply")))
+    # A reply nested more deeply than VARIANT allows cannot become a message.
+    df = df.withColumn("_valid", F.col("_value").isNotNull())
     member = lambda name: F.variant_get(F.col("_value"), f"$.{name}", "variant")
     kind = lambda name: F.coalesce(F.schema_of_variant(member(name)), F.lit("VOID"))
     text = lambda name: F.try_variant_get(F.col("_value"), f"$.{name}", "string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirlog.functions.mime import split_content_type
@@ -703,15 +703,18 @@ def write_segments_(spark, sf_dir):
 
 def _archived(codec):
     def run_(spark, sf_dir):
+        """Every message of the archive with its place in its segment, as the files have it."""
         current, archived = new_folder(spark, "current"), new_folder(spark, "archive")
         write_segments(_segmented_messages(spark, sf_dir), current)
-        moved = archive(spark, current, archived, codec=codec)
-        rows = scan_archive(spark, archived)
-        return rows.groupBy("month").agg(
-            F.count("*").alias("messages"),
-            F.count_distinct("segment_name").alias("segments"),
-            F.count_distinct("message_sha256").alias("digests"),
-            F.lit(moved).cast("bigint").alias("moved"),
+        archive(spark, current, archived, codec=codec)
+        rows = scan_archive(spark, archived).withColumn("place", F.monotonically_increasing_id())
+        in_segment = Window.partitionBy("month", "segment_name").orderBy("place")
+        return rows.select(
+            "month",
+            "segment_name",
+            F.row_number().over(in_segment).cast("bigint").alias("position"),
+            "sequence",
+            "message_sha256",
         )
 
     run_.__name__ = f"archive_{codec}"
@@ -749,46 +752,116 @@ def audit_digests(spark, sf_dir):
 # -- streams -----------------------------------------------------------------------------
 
 
-def _streamed(spark, sf_dir, sinks, state, max_files=2):
+def _landed(spark, frames, as_text=False):
+    """Four files, written one after another, each a stretch of time in order."""
+    folder, table_ = new_folder(spark, "landed"), new_folder(spark, "frames")
+    frames.write.parquet(table_)
+    frames = spark.read.parquet(table_)
+    bounds = frames.agg(F.percentile_approx(F.unix_micros("received_at"), [0.25, 0.5, 0.75])).first()[0]
+    at = F.unix_micros("received_at")
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = frames.where((at > low) if low is not None else F.lit(True))
+        part = part.where((at <= high) if high is not None else F.lit(True)).coalesce(1)
+        part = part.sortWithinPartitions("received_at", "record_id")
+        part = part.select("line") if as_text else part
+        getattr(part.write.mode("append"), "text" if as_text else "parquet")(folder)
+    return folder
+
+
+def _streamed(spark, sf_dir, sinks, state, max_files=2, **options):
     """Land the frames as several files and run them through as several batches."""
-    folder = new_folder(spark, "landed")
-    # The range-partitioned write keeps each file to a stretch of time.
-    frames = fx.syslog_frames(spark, sf_dir).repartitionByRange(4, "received_at", "record_id")
-    frames.write.parquet(folder)
+    frames = fx.syslog_frames(spark, sf_dir)
+    folder = _landed(spark, frames)
     stream = spark.readStream.schema(frames.schema).options(**throttle(max_files=max_files)).parquet(folder)
-    records = syslog.syslog_records(stream, "rfc5424", keep=("record_id",))
-    writer = run.stream_messages(records, state, sinks)
+    if "decode" not in options:
+        stream = syslog.syslog_records(stream, "rfc5424", keep=("record_id",))
+    writer = run.stream_messages(stream, state, sinks, **options)
     run.run_to_end(writer, new_folder(spark, "checkpoint"))
 
 
+_DECODING = {
+    "decode": lambda df: syslog.syslog_records(df, "rfc5424", keep=("record_id",)),
+    "rejects": lambda df: syslog.syslog_rejects(df, "rfc5424", keep=("record_id",)),
+}
+
+
 @query
 def stream_sequence(spark, sf_dir):
-    """Numbers given over several micro-batches: none missing, none twice."""
+    """Numbers given over several micro-batches."""
     state, out = new_folder(spark, "state"), new_folder(spark, "out")
     _streamed(spark, sf_dir, [run.table_sink(out)], state)
-    rows = spark.read.parquet(out)
-    return rows.agg(
-        F.count("*").alias("messages"),
-        F.min("sequence").alias("lowest"),
-        F.max("sequence").alias("highest"),
-        F.count_distinct("sequence").alias("numbers"),
-        F.count_distinct("message_sha256").alias("digests"),
+    return spark.read.parquet(out).select("sequence", "message_sha256", micros("timestamp").alias("timestamp_us"))
+
+
+@query
+def stream_syslog(spark, sf_dir):
+    """From landed text files to numbered messages: rows without an id, one instant per batch."""
+    state, out = new_folder(spark, "state"), new_folder(spark, "out")
+    folder = _landed(spark, fx.syslog_lines(spark, sf_dir, "rfc5424"), as_text=True)
+    frames = scan_syslog(
+        spark, folder, streaming=True, identifier="gate", format="rfc5424", options=throttle(max_files=1)
     )
+    writer = run.stream_messages(frames, state, [run.table_sink(out)], **_DECODING)
+    run.run_to_end(writer, new_folder(spark, "checkpoint"))
+    return spark.read.parquet(out).select("sequence", "message_sha256", "collector_identifier")
 
 
 @query
 def stream_segments(spark, sf_dir):
-    """Messages written as segment files over several micro-batches, read back."""
-    state, store = new_folder(spark, "state"), new_folder(spark, "segments")
-    _streamed(spark, sf_dir, [run.segment_sink(store, state, 1000, "12 hours")], state)
-    rows = scan_archive(spark, store)
-    return rows.select("message_sha256", "collector_type", micros("timestamp").alias("timestamp_us"))
+    """Messages cut into segments over several micro-batches and archived as those close."""
+    state, store, archived = (new_folder(spark, n) for n in ("state", "segments", "archive"))
+    sink = run.segment_sink(store, state, 1000, "12 hours", archive_store=archived, archive_codec="gz")
+    _streamed(spark, sf_dir, [sink], state)
+    files = lambda path: scan_archive(spark, path).select("segment_name", "sequence", "message_sha256")
+    # What is open keeps its current name: the token in place of the time.
+    key = F.regexp_extract("segment_name", "-([0-9a-f]{20})\\.json-stream$", 1)
+    rows = files(archived).unionByName(files(store))
+    return rows.select(key.alias("segment_key"), "sequence", "message_sha256")
+
+
+def _drop_each_eighth(df):
+    return F.when(F.col("sequence") % 8 == 0, F.lit("null"))
+
+
+@query
+def stream_totals(spark, sf_dir):
+    """Processed, dropped and rejected messages of a stream."""
+    state, out = new_folder(spark, "state"), new_folder(spark, "out")
+    _streamed(
+        spark, sf_dir, [run.table_sink(out)], state, transformer=_drop_each_eighth, replacing=True, **_DECODING
+    )
+    totals = run.stream_totals(spark, state).agg(
+        *[F.sum(c).alias(c) for c in ("processed", "dropped", "rejected")]
+    )
+    return totals.crossJoin(F.broadcast(spark.read.parquet(out).agg(F.count("*").alias("kept"))))
+
+
+@query
+def stream_rejects(spark, sf_dir):
+    """The frames a stream refuses, kept aside with their reasons."""
+    state, aside = new_folder(spark, "state"), new_folder(spark, "rejects")
+    _streamed(spark, sf_dir, [], state, quarantine=run.table_sink(aside), **_DECODING)
+    return spark.read.parquet(aside).select(
+        "record_id", "reject_reason", F.sha2("message_raw", 256).alias("message_sha256")
+    )
 
 
 @query
 def stream_throttle(spark, sf_dir):
-    """One landed file per micro-batch: how many batches the four files took."""
+    """One landed file per micro-batch: the batch of each message."""
     state, out = new_folder(spark, "state"), new_folder(spark, "out")
     _streamed(spark, sf_dir, [run.table_sink(out)], state, max_files=1)
     rows = spark.read.parquet(out)
     return rows.agg(F.count_distinct("batch").alias("batches"), F.count("*").alias("messages"))
+
+
+@query
+def stream_merged(spark, sf_dir):
+    """Syslog records and HTTP requests in one numbered stream, decoded in the batches."""
+    state, out = new_folder(spark, "state"), new_folder(spark, "out")
+    folder = new_folder(spark, "landed")
+    collected = _collected(spark, sf_dir)
+    collected.write.parquet(folder)
+    stream = spark.readStream.schema(collected.schema).parquet(folder)
+    run.run_to_end(run.stream_messages(stream, state, [run.table_sink(out)]), new_folder(spark, "checkpoint"))
+    return spark.read.parquet(out).select("sequence", "collector_type", "message_sha256")

@@ -491,9 +491,9 @@ ORACLES["write_segments"] = (
 for _codec in ("none", "gz", "bz2", "lz4"):
     ORACLES[f"archive_{_codec}"] = (
         _with(*_ALL, _NUMBERED, *_STORED)
-        + """select strftime(ts, '%Y-%m') as month, count(*) as messages,
- count(distinct token || '/' || segment) as segments, count(distinct message_sha256) as digests,
- (select count(*) from files) as moved from segmented group by 1"""
+        + """select f.month, f.segment_name, s.record_id as sequence, s.message_sha256,
+ row_number() over (partition by s.token, s.segment order by s.record_id) as position
+ from segmented s join files f on f.token = s.token and f.segment = s.segment"""
     )
 ORACLES["fan_out"] = (
     _with(*_ALL)
@@ -505,15 +505,35 @@ ORACLES["audit_digests"] = (
  count(*) filter (raw is null and record_id % 50 <> 0) as without_raw,
  count(*) filter (record_id % 50 = 0) as mismatches from merged group by collector_type"""
 )
+_STREAMED = (
+    _L5424,
+    _D5424,
+    _S5424,
+    "numbered as (select *, row_number() over (order by received_at, record_id) as sequence from syslog)",
+)
 ORACLES["stream_sequence"] = (
-    _with(_L5424, _D5424, _S5424)
-    + """select count(*) as messages, 1::bigint as lowest, count(*) as highest, count(*) as numbers,
- count(distinct message_sha256) as digests from syslog"""
+    _with(*_STREAMED) + "select sequence, message_sha256, epoch_us(received_at) as timestamp_us from numbered"
 )
+ORACLES["stream_syslog"] = _with(*_STREAMED) + "select sequence, message_sha256, collector_identifier from numbered"
 ORACLES["stream_segments"] = (
-    _with(_L5424, _D5424, _S5424)
-    + "select message_sha256, collector_type, epoch_us(received_at) as timestamp_us from syslog"
+    _with(*_STREAMED, *_STORED)
+    + """select substr(sha256('/' || token || '/' || segment), 1, 20) as segment_key, record_id as sequence,
+ message_sha256 from segmented"""
+)
+ORACLES["stream_totals"] = (
+    _with(*_STREAMED)
+    + """select count(*) as processed, count(*) filter (sequence % 8 = 0) as dropped,
+ count(*) filter (sequence % 8 <> 0) as kept, (select count(*) from events) - count(*) as rejected from numbered"""
+)
+ORACLES["stream_rejects"] = (
+    _with(_L5424, _D5424)
+    + f"""select * from (select record_id, case when {_nil('message')} is null then 'text'
+ when {_nil('hostname')} is null then 'hostname' when {_nil('app_name')} is null then 'service' end as reject_reason,
+ sha256(line) as message_sha256 from decoded) where reject_reason is not null"""
 )
 ORACLES["stream_throttle"] = (
     _with(_L5424, _D5424, _S5424) + "select 4::bigint as batches, count(*) as messages from syslog"
 )
+ORACLES["stream_merged"] = (
+    _with(*_ALL, _NUMBERED) + "select sequence, collector_type, message_sha256 from numbered"
+)

@@ -74,6 +74,14 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def remove_listed(spark: SparkSession, path: str) -> None:
+    """Remove a folder by its path as Spark lists it: escaped. It must have been there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(path))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.delete(target, True) and system.exists(target):
+        raise OSError(f"could not remove {path}")
+
+
 class Scratch:
     """Tables written to the shared folder to be read several times, then removed."""
 

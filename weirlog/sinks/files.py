@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from weirlog import schemas
 from weirlog.operators.render import frame, with_json
 from weirlog.operators.segments import segment_key, segment_names
-from weirlog.session import reliable_checkpoint, remove_folder
+from weirlog.session import Scratch, remove_listed
+
+_REMOVERS = 8  # folders removed at a time
 
 # Codec names of the options and what the text writer calls them.
 CODECS = {"none": "none", "gz": "gzip", "bz2": "bzip2", "lz4": "lz4"}
@@ -31,16 +34,19 @@ def writer_options(codec: str = "none", level: int = schemas.DEFAULT_COMPRESSION
     return options
 
 
-def write_console(df: DataFrame, pretty: bool = True, framing: str = "blank-lines", limit: int = 20):
-    """A debugging sink: framed messages on standard output.
+def write_console(df: DataFrame, pretty: bool = True, framing: str = "blank-lines"):
+    """A debugging sink: every message, framed, on standard output in order.
 
-    A stream prints every message and returns the unstarted writer. A batch
-    prints the first ``limit`` rows, as ``show`` does.
+    Rows come to the driver one partition at a time. A stream returns the
+    unstarted writer.
     """
-    text = with_json(df, pretty).select(frame(F.col("json"), framing).alias("value"))
-    if df.isStreaming:
-        return text.writeStream.format("console").option("truncate", "false").option("numRows", 2**31 - 1)
-    return text.show(limit, truncate=False)
+
+    def show(rows: DataFrame, batch_id: int | None = None) -> None:
+        rows = rows.orderBy("sequence") if "sequence" in rows.columns else rows
+        for row in with_json(rows, pretty).select(frame(F.col("json"), framing).alias("value")).toLocalIterator():
+            print(row.value)
+
+    return df.writeStream.foreachBatch(show) if df.isStreaming else show(df)
 
 
 def write_segments(
@@ -104,39 +110,57 @@ def archive(
     """Rewrite segments of the current store compressed; returns how many.
 
     ``closed`` (column ``segment_name``) names the segments to move, by default
-    all. Originals are removed only after the compressed copy is committed, so a
-    failure leaves them in place.
+    all; its column ``archived_name``, if there, gives them other names. Messages
+    keep their order, also over the batches of a stream, each of which keeps
+    a file of its own. Originals are removed only after the compressed copy
+    is committed, and a run that is repeated after a failure replaces the
+    copies it made before. The archive must be another folder than the store.
     """
     target = archive_store or f"{current_store.rstrip('/')}-archived"
-    folders = ["month", "segment_name"]
-    lines = (
-        spark.read.schema("value string, month string, segment_name string")
-        .text(current_store)
-        .select(
-            *folders,
-            "value",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_row"),
-        )
+    if target.rstrip("/") == current_store.rstrip("/"):
+        raise ValueError("the archive must be another folder than the current store")
+    read = spark.read.option("lineSep", "\n")
+    # A store written by a stream has a folder for each batch of a segment.
+    batches = ["batch"] if "batch" in read.text(current_store).columns else []
+    schema = "value string, month string, segment_name string" + "".join(f", {b} bigint" for b in batches)
+    lines = read.schema(schema).text(current_store).select(
+        "month",
+        "segment_name",
+        *batches,
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_row"),
     )
+    name = F.col("segment_name")
     if closed is not None:
-        lines = lines.join(closed.select("segment_name").distinct(), "segment_name", "left_semi")
-    # Folder names, noted before anything is removed.
-    moved = reliable_checkpoint(lines.select(*folders).distinct())
-    (
-        lines.repartition(*folders)
-        .sortWithinPartitions(*folders, "_file", "_block", "_row")
-        .select(*folders, "value")
-        .write.mode("append")
-        .options(**writer_options(codec, level))
-        .partitionBy(*folders)
-        .text(target)
-    )
-    if remove:
-        for row in moved.toLocalIterator():  # one name at a time
-            remove_folder(spark, f"{current_store}/month={row.month}/segment_name={row.segment_name}")
-    return moved.count()
+        names = closed.withColumnRenamed("segment_name", "_closed")
+        renamed = "archived_name" in closed.columns
+        names = names.select("_closed", *(["archived_name"] if renamed else [])).distinct()
+        lines = lines.join(names, F.col("segment_name") == F.col("_closed"))
+        name = F.coalesce("archived_name", name) if renamed else name
+    lines = lines.withColumn("_name", name)
+    folders = ["month", "segment_name", *batches]
+    with Scratch(spark) as scratch:
+        # Folders, noted before anything is removed.
+        folder = F.regexp_extract("_file", "^(.*)/[^/]*$", 1)
+        moved = scratch.table(lines.select("segment_name", folder.alias("folder")).distinct(), "moved")
+        (
+            lines.repartition(*folders)
+            .sortWithinPartitions(*folders, "_file", "_block", "_row")
+            .select("month", F.col("_name").alias("segment_name"), *batches, "value")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .options(**writer_options(codec, level))
+            .partitionBy(*folders)
+            .text(target)
+        )
+        if remove:
+            with ThreadPoolExecutor(_REMOVERS) as pool:
+                rows = (row.folder for row in moved.select("folder").distinct().toLocalIterator())
+                for _ in pool.map(lambda path: remove_listed(spark, path), rows):
+                    pass
+        return moved.select("segment_name").distinct().count()
 
 
 Sink = Callable[[DataFrame], None]

@@ -49,12 +49,16 @@ def scan_syslog(
 ) -> DataFrame:
     """Frames from text files, one per line.
 
-    Columns ``message_raw``, ``received_at``, ``collector_identifier``. ``format``
-    is checked here so that a wrong one fails before anything is read.
+    Columns ``message_raw``, ``received_at``, ``collector_identifier``. Lines end with a
+    line feed; one carriage return before it is not part of the frame, others
+    are. ``format`` is checked here so that a wrong one fails before anything is read.
     """
     check_format(format)
     reader = spark.readStream if streaming else spark.read
-    lines = reader.options(**(options or {})).text(path)
+    lines = reader.option("lineSep", "\n").options(**(options or {})).text(path)
+    returned = F.endswith("value", F.lit("\r"))
+    bare = F.when(returned, F.substring("value", F.lit(1), F.length("value") - 1)).otherwise(F.col("value"))
+    lines = lines.withColumn("value", bare)
     return frames_from_column(lines, "value", streaming, identifier, received_at)
 
 
@@ -82,9 +86,19 @@ def scan_http(
     *,
     streaming: bool = False,
     identifier: str | None = None,
+    received_at: datetime | None = None,
     options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Landed requests from parquet files with the columns of ``HTTP_REQUEST``."""
+    """Landed requests from parquet files with the columns of ``HTTP_REQUEST``.
+
+    A request without ``received_at`` gets the instant of the run, or of the
+    micro-batch.
+    """
     reader = spark.readStream if streaming else spark.read
     requests = reader.schema(schemas.HTTP_REQUEST).options(**(options or {})).parquet(path)
-    return requests.withColumn("collector_identifier", F.lit(identifier).cast("string"))
+    return requests.withColumns(
+        {
+            "received_at": F.coalesce("received_at", _receipt(streaming, received_at)),
+            "collector_identifier": F.lit(identifier).cast("string"),
+        }
+    )

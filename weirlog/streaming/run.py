@@ -8,19 +8,19 @@ calendar token is still spread over all tasks.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from weirlog import schemas
 from weirlog.operators.envelope import envelope, prune_digest, prune_raw
 from weirlog.operators.numbering import measure_splits, with_positions
-from weirlog.operators.segments import open_segments, segment
+from weirlog.operators.segments import due, open_segments, segment, segment_key, segment_names
 from weirlog.operators.transform import Transformer, drop_null_replacements, enrich, replace
-from weirlog.sinks.files import write_segments
+from weirlog.sinks.files import archive, write_console, write_segments
 from weirlog.streaming.state import BatchState
 
 BatchSink = Callable[[DataFrame, int], None]
@@ -40,23 +40,10 @@ def number_batch(
     return with_positions(df, order, splits, out="sequence", start=processed + 1).drop("_split")
 
 
-def segment_batch(
-    df: DataFrame,
-    batch_id: int,
-    state: BatchState,
-    messages: int = schemas.DEFAULT_SEGMENT_MESSAGES,
-    timeout: str | None = schemas.DEFAULT_SEGMENT_TIMEOUT,
-    layout: str = schemas.DEFAULT_TOKEN_LAYOUT,
-    keys: Sequence[str] = (),
-    at: str = "timestamp",
-    tie: Sequence[str] = ("sequence",),
-    cut_at: Sequence[datetime] = (),
-) -> DataFrame:
-    """:func:`segment` for a micro-batch, going on with the segments left open.
-
-    Adds ``started_at`` too. A row that comes after its token has passed goes on
-    with that token's last segment.
-    """
+def _segment_batch(
+    df: DataFrame, batch_id: int, state: BatchState, messages, timeout, layout, keys, at, tie, cut_at
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their segments and ``started_at``, and what the caller has to unpersist."""
     opened = state.before(df.sparkSession, batch_id)
     rows = segment(df, messages, timeout, layout, keys, at, tie, cut_at, opened).persist(
         StorageLevel.MEMORY_AND_DISK
@@ -86,7 +73,31 @@ def segment_batch(
         )
     state.save(latest, batch_id)
     firsts = firsts.select(*names, "segment", F.col("_first").alias("started_at"))
-    return rows.join(firsts, [*names, "segment"])
+    return rows.join(firsts, [*names, "segment"]), rows
+
+
+def segment_batch(
+    df: DataFrame,
+    batch_id: int,
+    state: BatchState,
+    messages: int = schemas.DEFAULT_SEGMENT_MESSAGES,
+    timeout: str | None = schemas.DEFAULT_SEGMENT_TIMEOUT,
+    layout: str = schemas.DEFAULT_TOKEN_LAYOUT,
+    keys: Sequence[str] = (),
+    at: str = "timestamp",
+    tie: Sequence[str] = ("sequence",),
+    cut_at: Sequence[datetime] = (),
+) -> DataFrame:
+    """:func:`segment` for a micro-batch, going on with the segments left open.
+
+    Adds ``started_at`` too. A row that comes after its token has passed goes on
+    with that token's last segment. The rows stay cached until the caller
+    unpersists what ``df.sparkSession`` holds; :func:`segment_sink` does.
+    """
+    return _segment_batch(df, batch_id, state, messages, timeout, layout, keys, at, tie, cut_at)[0]
+
+
+Step = Callable[[DataFrame], DataFrame]
 
 
 def stream_messages(
@@ -98,34 +109,67 @@ def stream_messages(
     replacing: bool = False,
     keep_raw: bool = True,
     keep_sha256: bool = True,
+    decode: Step | None = None,
+    rejects: Step | None = None,
+    quarantine: BatchSink | None = None,
 ) -> DataStreamWriter:
     """Number, envelope, transform and prune a stream of records, for every sink.
 
     Returns the writer: choose a trigger, give it a ``checkpointLocation``, start
     it. A sink gets the messages and the batch id, by which it can replace what an
     interrupted run has left.
+
+    ``records`` may be raw frames or requests: ``decode`` makes records of them and
+    ``rejects`` lists those it refuses, for ``quarantine``. Both must keep
+    ``record_id``. Rows without that column get one, in reading order; the batch is
+    written down with it, so that a repeated batch has the same. The counts of
+    each batch are saved below ``state``: see :func:`stream_totals`.
     """
-    numbers = BatchState(f"{state.rstrip('/')}/sequence")
+    folder = state.rstrip("/")
+    numbers, arrivals, totals = (BatchState(f"{folder}/{n}") for n in ("sequence", "arrivals", "totals"))
 
     def run(df: DataFrame, batch_id: int) -> None:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        messages = envelope(number_batch(df, batch_id, numbers, order))
+        spark = df.sparkSession
+        if "record_id" not in df.columns:
+            df = arrivals.once(df.withColumn("record_id", F.monotonically_increasing_id()), batch_id)
+        refused = 0
+        if rejects is not None:
+            refused_rows = rejects(df).persist(StorageLevel.MEMORY_AND_DISK)
+            refused = refused_rows.count()
+            if quarantine is not None:
+                quarantine(refused_rows, batch_id)
+            refused_rows.unpersist()
+        taken = (decode(df) if decode is not None else df).persist(StorageLevel.MEMORY_AND_DISK)
+        messages = envelope(number_batch(taken, batch_id, numbers, order))
         if transformer is not None and replacing:
-            messages = drop_null_replacements(replace(messages, transformer))
+            messages = replace(messages, transformer)
+            messages = messages.persist(StorageLevel.MEMORY_AND_DISK)
+            kept = drop_null_replacements(messages)
         elif transformer is not None:
-            messages = enrich(messages, transformer)
-        messages = prune_digest(prune_raw(messages, keep_raw), keep_sha256)
-        messages = messages.persist(StorageLevel.MEMORY_AND_DISK)
+            kept = enrich(messages, transformer)
+        else:
+            kept = messages
+        kept = prune_digest(prune_raw(kept, keep_raw), keep_sha256).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             for sink in sinks:
-                sink(messages, batch_id)
+                sink(kept, batch_id)
+            processed = taken.count()
+            counts = (processed, processed - kept.count(), refused)
+            row = spark.createDataFrame([counts], "processed bigint, dropped bigint, rejected bigint")
+            totals.save(row, batch_id)
         finally:
+            kept.unpersist()
             messages.unpersist()
-            df.unpersist()
+            taken.unpersist()
 
     return records.writeStream.foreachBatch(run)
 
 
+def stream_totals(spark: SparkSession, state: str) -> DataFrame:
+    """``batch``, ``processed``, ``dropped`` and ``rejected`` of the batches that Spark still keeps."""
+    return spark.read.parquet(f"{state.rstrip('/')}/totals").select("batch", "processed", "dropped", "rejected")
+
+
 def table_sink(path: str) -> BatchSink:
     """Messages as parquet, one folder per batch; a replayed batch replaces its own."""
 
@@ -142,28 +186,81 @@ def segment_sink(
     timeout: str | None = schemas.DEFAULT_SEGMENT_TIMEOUT,
     layout: str = schemas.DEFAULT_TOKEN_LAYOUT,
     keys: Sequence[str] = (),
+    cut_at: Sequence[datetime] = (),
+    archive_store: str | None = None,
+    archive_codec: str = "none",
+    archive_level: int = schemas.DEFAULT_COMPRESSION_LEVEL,
+    archive_prefix: str | None = None,
+    archive_suffix: str | None = None,
+    clock: Callable[[], datetime] | None = None,
     **naming,
 ) -> BatchSink:
-    """Messages as segment files. A segment may get one file from each batch it spans."""
-    opened = BatchState(f"{state.rstrip('/')}/segments")
+    """Messages as segment files. A segment may get one file from each batch it spans.
+
+    With ``archive_store``, segments are written under their current names, and
+    after each batch those that are closed are moved there, compressed, under
+    their archived names: all but the last of a token, and the last too once
+    ``clock`` (by default the batch's latest message) finds it :func:`due`. A message
+    that comes later still adds its batch's file to the archived segment. The
+    state has a row for each token and key, and for each segment not moved yet.
+    """
+    folder = state.rstrip("/")
+    opened, waiting = BatchState(f"{folder}/segments"), BatchState(f"{folder}/waiting")
+    prefix, suffix = naming.get("prefix", ""), naming.get("suffix", schemas.DEFAULT_SUFFIX)
+    names = [*keys, "token", "segment"]
+
+    def close(rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        token, started, key = F.col("token"), F.col("started_at"), segment_key(keys)
+        current, _, _ = segment_names(token, started, key, prefix, suffix)
+        archived = segment_names(
+            token,
+            started,
+            key,
+            prefix if archive_prefix is None else archive_prefix,
+            suffix if archive_suffix is None else archive_suffix,
+            naming.get("layout", schemas.DEFAULT_ARCHIVE_LAYOUT),
+        )[2]
+        mine = rows.select(*names, "started_at").distinct()
+        mine = mine.select(*names, current.alias("segment_name"), archived.alias("archived_name"))
+        before = waiting.before(spark, batch_id)
+        mine = mine if before is None else mine.unionByName(before).distinct()
+        if clock is not None:
+            now = clock()
+        else:
+            latest = rows.agg(F.max(F.unix_micros("timestamp"))).first()[0]
+            now = None if latest is None else datetime.fromtimestamp(latest / 1_000_000, timezone.utc)
+        open_ = opened.before(spark, batch_id + 1)
+        if now is not None:
+            late = due(open_, now, timeout or "1000000 days", layout).select(*names)
+            open_ = open_.join(late, names, "left_anti")
+        left = waiting.save(mine.join(open_.select(*names), names, "left_semi"), batch_id)
+        closed = mine.join(left.select("segment_name"), "segment_name", "left_anti")
+        if not closed.isEmpty():
+            archive(spark, store, archive_store, archive_codec, archive_level, closed)
 
     def sink(df: DataFrame, batch_id: int) -> None:
-        rows = segment_batch(df, batch_id, opened, messages, timeout, layout, keys)
-        write_segments(rows, store, keys=keys, batch=batch_id, **naming)
+        rows, held = _segment_batch(
+            df, batch_id, opened, messages, timeout, layout, keys, "timestamp", ("sequence",), cut_at
+        )
+        try:
+            write_segments(
+                rows, store, keys=keys, batch=batch_id, archived_names=archive_store is None, **naming
+            )
+            if archive_store is not None:
+                close(rows, batch_id)
+        finally:
+            held.unpersist()
 
     return sink
 
 
-def console_sink(pretty: bool = True, framing: str = "blank-lines", limit: int = 20) -> BatchSink:
-    """The first messages of each batch on standard output, for debugging."""
-    from weirlog.sinks.files import write_console
-
-    return lambda df, batch_id: write_console(df, pretty, framing, limit)
+def console_sink(pretty: bool = True, framing: str = "blank-lines") -> BatchSink:
+    """The messages of each batch on standard output, for debugging."""
+    return lambda df, batch_id: write_console(df, pretty, framing)
 
 
 def run_to_end(writer: DataStreamWriter, checkpoint: str) -> None:
     """Process everything available now and stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-
-

@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirlog.session import remove_folder
 
-KEPT_BATCHES = 10
+RETAINED = "spark.sql.streaming.minBatchesToRetain"
 
 
 class BatchState:
+    """Tables are kept for as many batches as Spark can go back to."""
+
     def __init__(self, folder: str):
         self.folder = folder.rstrip("/")
 
@@ -26,6 +28,17 @@ class BatchState:
             return None
         return spark.read.parquet(self._path(batch_id - 1))
 
-    def save(self, df: DataFrame, batch_id: int) -> None:
-        df.coalesce(1).write.mode("overwrite").parquet(self._path(batch_id))
-        remove_folder(df.sparkSession, self._path(batch_id - KEPT_BATCHES))
+    def save(self, df: DataFrame, batch_id: int) -> DataFrame:
+        """Save a batch's table and give it back as read."""
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(self._path(batch_id))
+        remove_folder(spark, self._path(batch_id - int(spark.conf.get(RETAINED, "100")) - 1))
+        return spark.read.schema(df.schema).parquet(self._path(batch_id))
+
+    def once(self, df: DataFrame, batch_id: int) -> DataFrame:
+        """The batch's table as first saved: what a repeated batch finds is not written again."""
+        spark = df.sparkSession
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(batch_id)}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            return spark.read.schema(df.schema).parquet(self._path(batch_id))
+        return self.save(df, batch_id)
