@@ -168,3 +168,41 @@ def test_heartbeats(spark):
     targets = ["/__/heartbeat", "/__/heartbeat?x=1", "/p", None]
     df = spark.createDataFrame([(t,) for t in targets], "request_uri string")
     assert [r[0] for r in http.drop_heartbeats(df).collect()] == targets[1:]
+
+
+def test_separators_inside_frames(spark):
+    rows = [
+        ("a\x1fb\x1fc",),
+        ("\x1f13\x1fMar\x1f 5\x1f01\x1f02\x1f03\x1fhost\x1fapp\x1fnot syslog",),
+        ("<13>Mar  5 01:02:03 ho\x1fst app: x",),
+        ("<13>Mar  5 01:02:03 host app: x\x1fy",),
+    ]
+    df = spark.createDataFrame(rows, "line string").select(
+        F.col("line").cast("binary").alias("message_raw"), F.lit("2024-03-05 10:00:00").cast("timestamp").alias("received_at")
+    )
+    parts = [r.parts for r in syslog.decode_syslog(df, "rfc3164").collect()]
+    assert parts[:3] == [None, None, None]
+    assert (parts[3].hostname, parts[3].tag, parts[3].content) == ("host", "app", "x\x1fy")
+
+
+def test_lines_end_with_a_line_feed(spark, folder):
+    import os
+
+    from weirlog.sources.frames import scan_syslog
+
+    os.makedirs(f"{folder}/in")
+    with open(f"{folder}/in/a.log", "wb") as f:
+        f.write(b"one\rstill one\r\ntwo\nthree\r\r\n")
+    rows = scan_syslog(spark, f"{folder}/in").collect()
+    assert [bytes(r.message_raw) for r in rows] == [b"one\rstill one", b"two", b"three\r"]
+
+
+def test_requests_without_a_receive_time(spark, folder):
+    from weirlog import schemas
+    from weirlog.sources.frames import scan_http
+
+    row = {name: None for name in schemas.HTTP_REQUEST.names}
+    spark.createDataFrame([row, row], schemas.HTTP_REQUEST).write.parquet(f"{folder}/in")
+    scan = scan_http(spark, f"{folder}/in")
+    instants = {r.received_at for r in scan.collect()} | {r.received_at for r in scan.collect()}
+    assert len(instants) == 1 and None not in instants

@@ -115,3 +115,18 @@ def test_headers(spark):
     rows = [r.m for r in df.collect()]
     assert {"x-a": ["1", "2", "3"], "n": None, "b": ["1", "2", "3"]} in rows
     assert {"only": ["1"]} in rows and None in rows
+
+
+def test_json_of_any_depth_and_length(spark):
+    texts = {"[" * 1500 + "]" * 1500: True, "1" * 1500: True, '["' + "x" * 3000 + '"]': True, "[" * 1500 + "]" * 1499: False,
+             "{'a': 1}": False, "NaN": False, "[1],[2]": False, "1} {": False, "01": False, "": False, " ": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.ok for r in df.select("t", is_json(F.col("t")).alias("ok")).collect()} == texts
+
+
+@pytest.mark.parametrize(
+    "target, path", [("//foo/bar", "//foo/bar"), ("//", "//"), ("http://h/p", "/p"), ("http:", None), ("/a//b", "/a//b")]
+)
+def test_two_slashes_begin_a_path(spark, target, path):
+    df = spark.createDataFrame([(target,)], "t string")
+    assert df.select(split_url(F.col("t"))["path"]).first()[0] == path

@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from test_decoding import NOW, request, typed
 from test_ordering import START, make, replay
 from weirlog import schemas
-from weirlog.operators import http, render, segments, syslog, transform
+from weirlog.operators import http, numbering, render, segments, syslog, transform
 from weirlog.operators.audit import audit_digests
 from weirlog.operators.envelope import envelope, merge_collectors, prune_digest, prune_raw
 from weirlog.operators.numbering import with_sequence
 from weirlog.sinks.files import archive, fan_out, write_console, write_segments, writer_options
-from weirlog.sources.archive import scan_archive
+from weirlog.sources.archive import scan_archive, scan_unreadable
 from weirlog.sources.frames import scan_syslog, throttle
 from weirlog.streaming import run
 from weirlog.streaming.state import BatchState
@@ -294,3 +294,118 @@ def test_time_report_on_a_stream(spark, folder):
     run.run_to_end(writer, f"{folder}/checkpoint")
     got = spark.read.parquet(f"{folder}/out").orderBy("start").collect()
     assert [r.messages for r in got] == [3, 3, 3, 3]
+
+
+def test_archive_keeps_the_order_of_batches_and_can_be_repeated(spark, folder):
+    df = messages(spark)
+    for batch, part in ((9, F.col("sequence") <= 2), (10, F.col("sequence") > 2)):
+        cut = segments.segment(df, 100, "1 hour", at="timestamp", position="sequence").where(part)
+        cut = cut.withColumn("started_at", F.lit(NOW))
+        write_segments(cut, f"{folder}/current", batch=batch)
+    for _ in range(2):  # as after a failure before the originals were removed
+        archive(spark, f"{folder}/current", f"{folder}/archived", "gz", remove=False)
+    rows = scan_archive(spark, f"{folder}/archived").select("sequence", F.input_file_name().alias("f")).collect()
+    by_batch = lambda r: int(r.f.split("batch=")[1].split("/")[0])
+    assert [r.sequence for r in sorted(rows, key=by_batch)] == list(range(1, 11))
+    assert archive(spark, f"{folder}/current", f"{folder}/archived", "gz") == 1
+    assert not glob.glob(f"{folder}/current/month=*/segment_name=*/batch=*")
+    assert scan_archive(spark, f"{folder}/archived").count() == 10
+
+
+def test_archive_removes_originals_with_escaped_names_and_renames(spark, folder):
+    cut = segments.segment(messages(spark), 4, "1 hour", at="timestamp", position="sequence")
+    write_segments(cut, f"{folder}/current", layout="yyyy-MM-dd'T'HH:mm:ss")
+    names = scan_archive(spark, f"{folder}/current").select("segment_name").distinct()
+    assert all(":" in r.segment_name for r in names.collect())
+    closed = spark.createDataFrame(
+        [(r.segment_name, "new:" + r.segment_name) for r in names.collect()], "segment_name string, archived_name string"
+    )
+    assert archive(spark, f"{folder}/current", f"{folder}/archived", closed=closed) == 3
+    assert not glob.glob(f"{folder}/current/month=*/segment_name=*")
+    back = scan_archive(spark, f"{folder}/archived")
+    assert back.count() == 10 and all(r.segment_name.startswith("new:") for r in back.collect())
+    with pytest.raises(ValueError):
+        archive(spark, f"{folder}/current", f"{folder}/current/")
+
+
+def test_unreadable_records_are_not_lost_silently(spark, folder):
+    df = messages(spark)
+    write_segments(segments.segment(df, 100, "1 hour", at="timestamp", position="sequence"), f"{folder}/s")
+    (file,) = glob.glob(f"{folder}/s/month=*/segment_name=*/part-*")
+    with open(file) as f:
+        text = f.read()
+    for crc in glob.glob(os.path.join(os.path.dirname(file), ".*.crc")):
+        os.remove(crc)
+    with open(file, "w") as f:
+        f.write(text[:-40] + "\n")
+    with pytest.raises(Exception, match="unreadable record"):
+        scan_archive(spark, f"{folder}/s").collect()
+    assert scan_archive(spark, f"{folder}/s", unreadable="skip").count() == 9
+    (bad,) = scan_unreadable(spark, f"{folder}/s").collect()
+    assert bad.record and bad.month and bad.segment_name
+
+
+def test_console_prints_every_message_in_order(spark, capfd):
+    df = spark.range(100).select(F.lit(1).alias("one"), (100 - F.col("id")).alias("number"))
+    df = messages(spark).limit(1).drop("sequence").crossJoin(df.select(F.col("number").alias("sequence")))
+    write_console(df.select(*messages(spark).columns), pretty=False)
+    out = capfd.readouterr().out
+    numbers = [json.loads(line)["sequence"] for line in out.splitlines() if line.startswith("{")]
+    assert numbers == list(range(1, 101))
+
+
+def test_stream_from_text_gives_ids_and_spreads_one_instant(spark, folder):
+    os.makedirs(f"{folder}/in")
+    with open(f"{folder}/in/a.log", "w") as f:
+        for i in range(500):
+            f.write(f"<13>1 2024-03-01T10:00:00Z h a - - - n{i}\n" if i % 50 else "not syslog\n")
+    frames = scan_syslog(spark, f"{folder}/in", streaming=True, format="rfc5424")
+    sizes = []
+    measured = numbering.measure_splits
+
+    def spy(df, order, splits=None):
+        found = measured(df, order, splits)
+        sizes.append(found.counts)
+        return found
+
+    aside = f"{folder}/rejects"
+    run.measure_splits, kept = spy, run.measure_splits
+    try:
+        writer = run.stream_messages(
+            frames, f"{folder}/state", [run.table_sink(f"{folder}/out")],
+            decode=lambda df: syslog.syslog_records(df, "rfc5424", keep=("record_id",)),
+            rejects=lambda df: syslog.syslog_rejects(df, "rfc5424", keep=("record_id",)),
+            quarantine=run.table_sink(aside),
+        )
+        run.run_to_end(writer, f"{folder}/checkpoint")
+    finally:
+        run.measure_splits = kept
+    rows = spark.read.parquet(f"{folder}/out").orderBy("sequence").collect()
+    assert [r.message_text for r in rows] == [f"n{i}" for i in range(500) if i % 50]
+    assert [r.sequence for r in rows] == list(range(1, 491))
+    assert len(sizes[0]) > 1 and max(sizes[0]) < 400
+    assert spark.read.parquet(aside).count() == 10
+    (totals,) = run.stream_totals(spark, f"{folder}/state").collect()
+    assert (totals.processed, totals.dropped, totals.rejected) == (490, 0, 10)
+
+
+def test_stream_leaves_nothing_cached(spark, folder):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    rows = sorted(make(3, 60), key=lambda r: (r[2], r[0]))
+    land(spark, rows[:30], f"{folder}/in", "1")
+    land(spark, rows[30:], f"{folder}/in", "2")
+    sink = run.segment_sink(
+        f"{folder}/seg", f"{folder}/state", 9, "1 hour", cut_at=[rows[10][2]], archive_store=f"{folder}/old",
+        archive_codec="gz", archive_prefix="old-",
+    )
+    run.run_to_end(run.stream_messages(stream(spark, f"{folder}/in"), f"{folder}/state", [sink]), f"{folder}/checkpoint")
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    old = scan_archive(spark, f"{folder}/old").collect()
+    now = scan_archive(spark, f"{folder}/seg").collect()
+    assert sorted(r.sequence for r in old + now) == list(range(1, 61))
+    assert all(r.segment_name.startswith("old-") for r in old) and len({r.segment_name for r in now}) == 1
+    files = {}
+    for r in old + now:
+        files.setdefault(r.segment_name.removesuffix(".json-stream")[-20:], set()).add(r.sequence)
+    cut_before = {i + 1 for i, r in enumerate(rows) if r[2] < rows[10][2]}
+    assert all(s <= cut_before or not s & cut_before for s in files.values()), (files, cut_before)
