@@ -163,7 +163,8 @@ def segment(
         )
     count = runs.count()
     rows = number(df)
-    if position is not None and count <= _RUNS_PER_SPLIT * max(1, len(measured.counts)):
+    few = min(_RUNS_PER_SPLIT * max(1, len(measured.counts)), MAX_BROADCAST_MARKS)
+    if position is not None and count <= few:
         rows = _runs_by_search(rows, runs, measured, count)
     else:
         rows = _runs_by_scan(rows, runs, measured, count, order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -16,7 +18,7 @@ from weirlog.operators import audit, envelope as env, http, render, reports, seg
 from weirlog.operators.numbering import with_sequence
 from weirlog.plans import fixtures as fx
 from weirlog.session import configure, new_folder
-from weirlog.sinks.files import archive, fan_out, write_segments
+from weirlog.sinks.files import archive, fan_out, write_console, write_segments
 from weirlog.sources.archive import scan_archive
 from weirlog.sources.frames import scan_http, scan_syslog, throttle
 from weirlog.streaming import run
@@ -196,6 +198,26 @@ def syslog_rejects(spark, sf_dir):
     return rejects.groupBy("reject_reason").agg(F.count("*").alias("frames"))
 
 
+@query
+def syslog_reject_reasons(spark, sf_dir):
+    """Each frame that is refused, over frames with every kind of fault."""
+    rejects = syslog.syslog_rejects(fx.syslog_frames(spark, sf_dir, "odd"), "rfc5424", keep=("record_id",))
+    return rejects.select("record_id", "reject_reason")
+
+
+@query
+def syslog_structured(spark, sf_dir):
+    """Structured data and text of the frames that the grammar takes."""
+    part = lambda name: F.col("parts")[name]
+    decoded = syslog.decode_syslog(fx.syslog_frames(spark, sf_dir, "odd"), "rfc5424")
+    return decoded.where("parts is not null").select(
+        "record_id",
+        part("priority").cast("bigint").alias("priority"),
+        F.unix_micros(part("timestamp")).alias("timestamp_us"),
+        *[part(n).alias(n) for n in ("structured_data", "message")],
+    )
+
+
 @query
 def service_levels(spark, sf_dir):
     """The flagship: enveloped records by service and level."""
@@ -655,6 +677,38 @@ def frame_blank_lines(spark, sf_dir):
     return _framing(spark, sf_dir, "blank-lines")
 
 
+class _Printed:
+    """Counts what is printed instead of keeping it."""
+
+    def __init__(self):
+        self.messages, self.first, self.last, self.ordered = 0, None, None, True
+
+    def write(self, text):
+        if not text.strip():
+            return
+        number = json.loads(text)["sequence"]
+        self.ordered &= self.last is None or number > self.last
+        self.first = number if self.first is None else self.first
+        self.last, self.messages = number, self.messages + 1
+
+    def flush(self):
+        pass
+
+
+@query
+def write_console_(spark, sf_dir):
+    """What the console sink printed: how many messages, from which to which, and whether in order."""
+    table = new_folder(spark, "messages")
+    _sequenced_messages(spark, sf_dir).drop("record_id").write.parquet(table)
+    printed = _Printed()
+    with contextlib.redirect_stdout(printed):
+        write_console(spark.read.parquet(table))
+    return spark.createDataFrame(
+        [(printed.messages, printed.first, printed.last, printed.ordered)],
+        "messages bigint, first_sequence bigint, last_sequence bigint, ordered boolean",
+    )
+
+
 def _segmented_messages(spark, sf_dir):
     # The message table is written before it is cut up, as a deployment would.
     table = new_folder(spark, "messages")

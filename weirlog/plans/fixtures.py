@@ -29,6 +29,19 @@ LINE_3164 = """
  || '[' || cast(user_id as {{str}}) || ']: ' || props
 """.format(priority=PRIORITY)
 
+# Frames with every part well formed, nil, odd or broken, by different moduli of the id.
+LINE_ODD = """
+case when event_id % 17 = 0 then '' else
+ '<' || case event_id % 11 when 0 then '192' when 1 then '007' else cast({priority} as {{str}}) end || '>'
+ || case event_id % 13 when 0 then '0' when 1 then '' else '1' end || ' '
+ || case event_id % 7 when 0 then '-' when 1 then '2024-13-01T00:00:00Z' else {{ts}} end
+ || case event_id % 5 when 0 then ' -' else ' node' end || case event_id % 6 when 0 then ' -' else ' app' end
+ || ' 7 - ' || case event_id % 8 when 0 then '-' when 1 then '[a@1 k="v"]' when 2 then '[a@1 k="x \\\\] y" l=""][b]'
+    when 3 then '[broken' when 4 then '[a@1 k=v]' else '-' end
+ || case event_id % 3 when 0 then '' when 1 then ' text ' || cast(event_id as {{str}}) else ' -' end
+end
+""".format(priority=PRIORITY)
+
 PARTS = {
     "hostname": "case when event_id % 23 = 0 then '-' else 'node' || cast(user_id % 7 as {str}) end",
     "app_name": "case when event_id % 2 = 0 then event_type end",
@@ -78,8 +91,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def syslog_lines(spark: SparkSession, sf_dir: str, format: str) -> DataFrame:
     """``record_id``, ``line``, ``received_at`` from the events table."""
-    if format == "rfc5424":
-        line = LINE_5424.format(ts="""date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")""", **SPARK)
+    if format in ("rfc5424", "odd"):
+        formula = LINE_5424 if format == "rfc5424" else LINE_ODD
+        line = formula.format(ts="""date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")""", **SPARK)
     else:
         line = LINE_3164.format(ts="date_format(ts, 'MMM dd HH:mm:ss')", **SPARK)
     return table(spark, sf_dir, "events").select(

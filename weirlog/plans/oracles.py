@@ -209,6 +209,27 @@ ORACLES["syslog_rejects"] = (
  when {_nil('hostname')} is null then 'hostname' when {_nil('app_name')} is null then 'service' end as reject_reason,
  count(*) as frames from decoded group by 1) where reject_reason is not null"""
 )
+_ODD = "lines as (select event_id as record_id, ts, {} as line from events)".format(
+    fx.LINE_ODD.format(ts="strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ')", **DUCK).replace("\\\\", "\\")
+)
+_ODD_PARTS = r"""parts as (
+  select record_id, line, g.*, try_cast(replace(g.at, 'Z', '') as timestamp) as instant,
+    coalesce(try_cast(g.pri as bigint) <= 191, false) as good
+  from (select *, regexp_extract(line,
+    '^<(0|[1-9]\d{0,2})>([1-9]\d{0,2}) (-|\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d{1,6})?Z) (\S+) (\S+) (\S+) (\S+) (-|(?:\[[^\s="\]]+(?: +[^\s="\]]+="(?:[^"\\]|\\.)*")* ?\])+)(?: (.*))?$',
+    ['pri', 'ver', 'at', 'hostname', 'app_name', 'proc_id', 'msg_id', 'structured_data', 'message']) as g from lines))"""
+ORACLES["syslog_reject_reasons"] = (
+    _with(_ODD, _ODD_PARTS)
+    + f"""select * from (select record_id, case when line = '' then 'empty' when not good then 'unparseable'
+ when {_nil('message')} is null then 'text' when instant is null then 'timestamp'
+ when {_nil('hostname')} is null then 'hostname' when {_nil('app_name')} is null then 'service' end as reject_reason
+ from parts) where reject_reason is not null"""
+)
+ORACLES["syslog_structured"] = (
+    _with(_ODD, _ODD_PARTS)
+    + """select record_id, cast(pri as bigint) as priority, epoch_us(instant) as timestamp_us, structured_data,
+ message from parts where good"""
+)
 ORACLES["service_levels"] = (
     _with(_L5424, _D5424, _S5424)
     + """select service, level, count(*) as records, count(message_json) as json_records,
@@ -472,6 +493,11 @@ ORACLES["scan_archive"] = (
  sha256(raw) as raw_sha256, sha256(message_text) as text_sha256, replace(message_json, ' ', '') as message_json,
  coalesce(service, method) as what, fields, headers from numbered"""
 )
+ORACLES["write_console"] = (
+    _with(*_ALL, _NUMBERED)
+    + """select count(*) as messages, min(sequence) as first_sequence, max(sequence) as last_sequence,
+ true as ordered from numbered"""
+)
 _STORED = (
     "rows_ as (select sequence as record_id, received_at as ts, message_sha256, '' as series,"
     " cast(cast(received_at as date) as varchar) as token, 0 as cuts from numbered)",

@@ -12,7 +12,6 @@ SYSLOG = "syslog"
 HTTP = "http"
 
 # Defaults of the options.
-DEFAULT_QUEUE = 16384
 DEFAULT_SEGMENT_MESSAGES = 16384
 DEFAULT_SEGMENT_TIMEOUT = "1 hour"
 DEFAULT_TOKEN_LAYOUT = "yyyy-MM-dd"
@@ -89,17 +88,6 @@ HTTP_REQUEST = T.StructType(
     ]
 )
 
-COLLECTOR_COLUMNS = (
-    "collector_type",
-    "collector_identifier",
-    "received_at",
-    "message_raw",
-    "message_sha256",
-    "message_text",
-    "message_json",
-    "message_metadata",
-)
-
 MESSAGE = T.StructType(
     [
         T.StructField("schema", T.StringType()),
