@@ -145,6 +145,7 @@ def find_items(
         rows.select("doc_id", "version", F.col("r.items.item_id").alias("item_id"), "r.n.shingles", "r.n.shared")
         .withColumn("containment", F.round(F.col("shared") / F.col("shingles"), 6))
         .where(F.col("shared") >= threshold * F.col("shingles"))
+        .withColumns({c: F.col(c).cast("bigint") for c in ("shingles", "shared")})
         .distinct()
     )
 

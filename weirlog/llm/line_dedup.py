@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlog.llm.rows import pack, quoted, unpack
+from weirlog.session import Scratch
 
 UNIT = r"[^\n]*?[.!?] |[^\n]*\n|[^\n]+"
 BLANKS = " \t\r\n"
@@ -63,6 +64,8 @@ def covered(docs: DataFrame, min_chars: int) -> DataFrame:
         .where("n > 1")
         .drop("n")
     )
+    # Written down, so that both sides of the join are plain and a hot window can be split.
+    repeated = Scratch(docs.sparkSession).table(repeated, "repeated-windows")
     marked = all_windows.join(repeated, ["a", "b"]).repartition("doc_id", "version")
     # In the first document only the first place of a window stays.
     same = Window.partitionBy("doc_id", "version", "a", "b").orderBy("at")
