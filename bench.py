@@ -22,6 +22,7 @@ HEADLINE = (
     "throughput_by_count",
     "render_message",
     "archive_gz",
+    "stream_syslog",
 )
 REPEATS = 2
 

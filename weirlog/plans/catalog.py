@@ -345,6 +345,7 @@ def http_headers(spark, sf_dir):
     return rows.select(
         "record_id",
         pairs(F.col("headers")).alias("headers"),
+        pairs(F.col("trailers")).alias("trailers"),
         F.array_join("transfer_encoding", "|").alias("transfer_encoding"),
     )
 

@@ -144,7 +144,10 @@ def http_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "host": F.lit("Collector.Example"),
         "remote_addr": F.lit("192.0.2.1:50000"),
         "headers": F.map_from_entries(headers),
-        "trailers": F.lit(None),
+        "trailers": F.when(
+            F.col("page_id") % 6 == 2,
+            F.create_map(F.lit("X-Sum"), F.array(F.col("page_id").cast("string"), F.lit("x")), F.lit("X-None"), empty),
+        ),
         "transfer_encoding": F.when(F.col("transfer") == "", empty).when(
             F.col("transfer").isNotNull(), F.array("transfer")
         ),

@@ -299,7 +299,9 @@ ORACLES["http_fold_case"] = (
 )
 ORACLES["http_headers"] = (
     _with(_REQUESTS, _BODIES)
-    + f"""select record_id, {_HEADERS} as headers, nullif(transfer, '') as transfer_encoding from bodies"""
+    + f"""select record_id, {_HEADERS} as headers,
+ case when record_id % 6 = 2 then 'x-none=;x-sum=' || record_id || '|x' end as trailers,
+ nullif(transfer, '') as transfer_encoding from bodies"""
 )
 ORACLES["http_records"] = (
     _with(*_HTTP_CHAIN, _URL, _TARGET, _QUERY)
