@@ -2,8 +2,8 @@
 
 The model is trained on all trusted texts but a held-out fifth, chosen by a hash
 of the text so that copies fall on one side. Counts are aggregates, combined
-before their shuffle. What the model knows of n-grams seen once is folded into
-the lower order, as count cutoffs do, so its tables hold repeated bigrams and
+before their shuffle. What the model knows of rare n-grams is folded into the
+lower order, as count cutoffs do, so its tables hold repeated bigrams and
 words only.
 
 Scoring joins the words and word pairs of all documents to those tables by
@@ -28,7 +28,8 @@ from weirlog.session import Scratch
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 EDGE = 0  # stands for the start and the end of a text
 MICRO = 1_000_000
-BROADCAST_ROWS = 4_000_000  # of 16 to 24 bytes
+CUTOFF = 3  # bigrams seen less often are left to the lower order
+BROADCAST_ROWS = 2_500_000  # of some 80 bytes as a hash table
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
 QUANTILE = 0.99
@@ -77,7 +78,7 @@ class Model:
         )
         after = _discounts(counts, "c")
         totals = scratch.table(counts.groupBy("v").agg(F.sum("c").alias("total")), "totals")
-        seen = counts.where("c > 1").join(totals, "v").select(
+        seen = counts.where(F.col("c") >= CUTOFF).join(totals, "v").select(
             "v", F.xxhash64("v", "w").alias("pair"), (_discounted(F.col("c"), after) / F.col("total")).alias("seen")
         )
         seen = scratch.table(seen, "seen")
@@ -105,8 +106,9 @@ class Model:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
         small = self.words.count() + self.pairs.count() <= BROADCAST_ROWS
         table = F.broadcast if small else (lambda df: df.hint("merge"))
-        before = self.words.select(F.col("word").alias("v"), "back_off")
-        alone = self.words.select(F.col("word").alias("w"), "alone")
+        # Rows that say no more than the defaults do are not sent.
+        before = self.words.where("back_off < 1").select(F.col("word").alias("v"), "back_off")
+        alone = self.words.where(F.col("alone") > self.unknown).select(F.col("word").alias("w"), "alone")
         rows = _pairs(docs, *keep).withColumn("pair", F.xxhash64("v", "w"))
         for part, key in ((self.pairs, "pair"), (before, "v"), (alone, "w")):
             rows = rows.join(table(part), key, "left")
