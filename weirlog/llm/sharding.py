@@ -30,7 +30,7 @@ KEY_BITS = 63
 PLACE_BITS = 24
 CELLS = 1 << 16  # histogram cells a round brings to the driver, at most
 PART_BYTES = 64 << 20  # aimed at for a part, the piece of a shard that one task sorts
-MAX_PARTS = 64  # parts of a shard, at most
+MAX_PARTS = 1024  # parts of a shard, at most
 SHARD_TOLERANCE = 0.0005  # of a shard's bytes
 PART_TOLERANCE = 0.1  # of a part's bytes
 
