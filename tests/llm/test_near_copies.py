@@ -1,0 +1,74 @@
+import random
+
+import corpus_pipeline
+import pytest
+from brute import documents, groups
+
+from weirlog.llm import near_copies, simhash
+from weirlog.session import Scratch
+
+
+def shingles(text, words=5):
+    found = (text or "").lower().split()
+    return frozenset(tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+
+
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+def planted(families, seed=1):
+    """Texts of 60 to 200 words with near copies of each, some words replaced."""
+    pick = random.Random(seed)
+    out = []
+    for _ in range(families):
+        words = [f"w{pick.randrange(5000)}" for _ in range(pick.randrange(60, 200))]
+        out.append(" ".join(words))
+        for _ in range(pick.randrange(1, 4)):
+            copy = list(words)
+            for _ in range(pick.randrange(1, 5)):
+                copy[pick.randrange(len(copy))] = f"x{pick.randrange(5000)}"
+            out.append(" ".join(copy))
+    return out
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+
+def test_stage_finds_what_brute_force_finds(spark):
+    texts = planted(60)
+    sets = [shingles(t) for t in texts]
+    root = groups(list(range(len(texts))), lambda a, b: similar(sets[a], sets[b]))
+    expected = sorted(set(root.values()))
+    assert len(expected) < len(texts) - 60
+    df = frame(spark, texts)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == expected
+    # The fingerprints of op3 are too far apart for most of these.
+    assert simhash.keep_one_of_each(df).count() > 1.5 * len(expected)
+
+
+def test_large_family_is_one_group(spark):
+    words = [f"w{i}" for i in range(150)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(120)]
+    df = frame(spark, texts)
+    found = near_copies.near_copies(df).select("component_id").distinct().collect()
+    assert [r.component_id for r in found] == [0]
+
+
+@pytest.mark.parametrize("copies", [200, 400])
+def test_pairs_are_linear_in_a_bucket(spark, copies):
+    met = spark.createDataFrame([(1, i) for i in range(copies)], "key bigint, node bigint")
+    assert near_copies.candidates(met, Scratch(spark)).count() <= near_copies.SLOTS * copies
+
+
+def test_awkward_rows(spark):
+    df = documents(spark, clashing=("fp", "bands", "node", "version"))
+    kept = simhash.keep_one_of_each(df, words=5, find=near_copies.near_copies)
+    assert kept.columns == df.columns
+    texts = {shingles(r.text) for r in df.collect()}
+    root = groups(sorted(texts, key=lambda s: sorted(map(str, s))), similar)
+    assert kept.count() == len(set(root.values()))
+    empty = documents(spark, texts=[])
+    assert simhash.keep_one_of_each(empty, words=5, find=near_copies.near_copies).count() == 0

@@ -14,7 +14,7 @@ of a batch are reduced to stars before they leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +164,24 @@ def links(fps: DataFrame) -> DataFrame:
     )
 
 
+def named(
+    hashed: DataFrame, links: DataFrame, scratch: Scratch, distinct: DataFrame | None = None
+) -> DataFrame:
+    """The rows ``doc_id``, ``version``, ``fp`` with the components that links between fingerprints make."""
+    if distinct is None:
+        distinct = scratch.table(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
+    roots = components(links)
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
+        "fp", "least_id", F.coalesce("root", "fp").alias("root")
+    )
+    rooted = scratch.table(rooted, "rooted")
+    names = scratch.table(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
+    named = scratch.table(rooted.join(names, "root").select("fp", "component_id"), "named")
+    return hashed.join(named, "fp").select(
+        "doc_id", "version", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3
 ) -> DataFrame:
@@ -181,26 +199,19 @@ def near_duplicates(
     )
     hashed = scratch.table(docs, "fingerprints")
     distinct = scratch.table(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
-    roots = components(links(distinct))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    rooted = scratch.table(rooted, "rooted")
-    names = scratch.table(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
-    named = scratch.table(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return hashed.join(named, "fp").select(
-        "doc_id", "version", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return named(hashed, links(distinct), scratch, distinct)
 
 
-def keep_one_of_each(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: one row of each component stays.
+def keep_one_of_each(
+    df: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3, find: Callable = near_duplicates
+) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: one row of each component that ``find`` gives stays.
 
     It is the row with the smallest id, and of rows with that id the one whose
     text hashes lowest. A component without any id keeps one row too. No
     column is added.
     """
-    found = near_duplicates(df, id_column, text_column, words)
+    found = find(df, id_column, text_column, words)
     kept = found.groupBy(
         F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("nameless"), "component_id"
     ).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("version"))).alias("version"))
