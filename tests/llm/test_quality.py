@@ -128,3 +128,17 @@ def test_without_trusted_documents_all_stay(spark):
     assert quality.keep_good(df, none).count() == df.count()
     assert all(r.threshold is None for r in quality.judge(df, none).collect())
     assert quality.judge(documents(spark, texts=[]), none).count() == 0
+
+
+@pytest.mark.parametrize("rows", [4_000_000, 20, 0])
+def test_rare_pairs_are_kept(spark, monkeypatch, rows):
+    """Pairs seen once or twice have a probability of their own."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", rows)
+    texts = ["a b c d", "a b c e", "a b d e", "e d c b", "b a", "c a d b e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = quality.Model(df, Scratch(spark))
+    pairs = {p for t in texts for p in zip(["", *tokens(t)], [*tokens(t), ""])}
+    assert model.pairs.count() == len(pairs)
+    asked = spark.createDataFrame([(1, "e d c b"), (2, "a c e a")], "doc_id bigint, text string")
+    seen, unseen = (r.cost for r in model.scores(asked, "doc_id").orderBy("doc_id").collect())
+    assert seen < unseen

@@ -2,15 +2,14 @@
 
 The model is trained on all trusted texts but a held-out fifth, chosen by a hash
 of the text so that copies fall on one side. Counts are aggregates, combined
-before their shuffle. What the model knows of rare n-grams is folded into the
-lower order, as count cutoffs do, so its tables hold repeated bigrams and
-words only.
+before their shuffle. All bigrams are kept; words that follow one word only are
+given the share of an unknown word.
 
 Scoring joins the words and word pairs of all documents to those tables by
-hash: as broadcasts while the tables are counted to be small, else sharded by
-key. The sum per document is combined in the task that reads the document. Log
-probabilities are summed as integers, so that a result does not depend on the
-order of the sum.
+hash: words and the most frequent pairs as broadcasts, as many as are counted to
+be small, the others sharded by key. So a word is only shuffled if its pair is
+rare or unseen, as hashes; the sum of a document finds it by a hash of its key. Log probabilities are summed as integers, so that a result does not
+depend on the order of the sum.
 
 A document is rejected if its score is high above those of held-out trusted
 documents of its language: above their 99th percentile by more than half the
@@ -28,8 +27,8 @@ from weirlog.session import Scratch
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 EDGE = 0  # stands for the start and the end of a text
 MICRO = 1_000_000
-CUTOFF = 3  # bigrams seen less often are left to the lower order
-BROADCAST_ROWS = 2_500_000  # of some 80 bytes as a hash table
+CUTOFF = 1  # bigrams seen less often are left to the lower order: none
+BROADCAST_ROWS = 2_000_000  # in all, of some 80 bytes as a hash table
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
 QUANTILE = 0.99
@@ -70,19 +69,20 @@ def _discounted(count: Column, d: list[float]) -> Column:
 
 
 class Model:
-    """``pairs`` (``pair``, ``seen``), ``words`` (``word``, ``back_off``, ``alone``) and the share of an unknown word."""
+    """``pairs`` (``pair``, ``c``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
 
     def __init__(self, trusted: DataFrame, scratch: Scratch):
         counts = scratch.table(
             _pairs(trusted).groupBy("v", "w").agg(F.count("*").alias("c")).sortWithinPartitions("v"), "pairs"
         )
-        after = _discounts(counts, "c")
-        totals = scratch.table(counts.groupBy("v").agg(F.sum("c").alias("total")), "totals")
-        seen = counts.where(F.col("c") >= CUTOFF).join(totals, "v").select(
-            "v", F.xxhash64("v", "w").alias("pair"), (_discounted(F.col("c"), after) / F.col("total")).alias("seen")
+        self.after = _discounts(counts, "c")
+        kept = counts.where(F.col("c") >= CUTOFF)
+        self.pairs = kept.select(F.xxhash64("v", "w").alias("pair"), "c")
+        taken = F.sum(F.when(F.col("c") >= CUTOFF, _discounted(F.col("c"), self.after)))
+        total = F.sum("c")
+        back_off = counts.groupBy("v").agg(
+            total.alias("total"), (1 - F.coalesce(taken, F.lit(0.0)) / total).alias("back_off")
         )
-        seen = scratch.table(seen, "seen")
-        back_off = seen.groupBy("v").agg((1 - F.sum("seen")).alias("back_off"))
         # Words count by the number of different words they follow.
         follows = scratch.table(counts.groupBy("w").agg(F.count("*").alias("c")), "follows")
         single = _discounts(follows, "c")
@@ -96,27 +96,52 @@ class Model:
         self.unknown = left / (shape["words"] + 1)
         words = known.join(back_off.withColumnRenamed("v", "word"), "word", "full").select(
             "word",
+            "total",
             F.coalesce("back_off", F.lit(1.0)).alias("back_off"),
             (F.coalesce("own", F.lit(0.0)) + self.unknown).alias("alone"),
         )
         self.words = scratch.table(words, "words")
-        self.pairs = seen.select("pair", "seen")
 
     def scores(self, docs: DataFrame, *keep: str) -> DataFrame:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
-        small = self.words.count() + self.pairs.count() <= BROADCAST_ROWS
-        table = F.broadcast if small else (lambda df: df.hint("merge"))
         # Rows that say no more than the defaults do are not sent.
-        before = self.words.where("back_off < 1").select(F.col("word").alias("v"), "back_off")
+        before = self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off")
         alone = self.words.where(F.col("alone") > self.unknown).select(F.col("word").alias("w"), "alone")
-        rows = _pairs(docs, *keep).withColumn("pair", F.xxhash64("v", "w"))
-        for part, key in ((self.pairs, "pair"), (before, "v"), (alone, "w")):
-            rows = rows.join(table(part), key, "left")
-        share = F.coalesce("seen", F.lit(0.0)) + F.coalesce("back_off", F.lit(1.0)) * F.coalesce(
-            "alone", F.lit(self.unknown)
-        )
-        cost = F.round(-F.log(share) * MICRO).cast("bigint")
-        return rows.groupBy(*keep).agg(F.sum(cost).alias("cost"), F.count("*").alias("n_tokens"))
+        tables, parts, room = [], [(before.count(), before, "v"), (alone.count(), alone, "w")], BROADCAST_ROWS
+        for n, part, key in sorted(parts, key=lambda p: p[0]):
+            small = n <= room
+            room -= n if small else 0
+            tables.append((F.broadcast(part) if small else part.hint("merge"), key))
+        doc = F.xxhash64(*keep).alias("doc")
+        tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
+
+        def weighed(rows: DataFrame) -> DataFrame:
+            for part, key in tables:
+                rows = rows.join(part, key, "left").drop(key)
+            lower = F.coalesce("back_off", F.lit(1.0)) * F.coalesce("alone", F.lit(self.unknown))
+            return rows.withColumn("lower", lower).drop("back_off", "alone")
+
+        def summed(rows: DataFrame) -> DataFrame:
+            seen = F.when(F.col("c").isNotNull(), _discounted(F.col("c"), self.after) / F.col("total"))
+            share = F.coalesce(seen, F.lit(0.0)) + F.col("lower")
+            cost = F.round(-F.log(share) * MICRO).cast("bigint")
+            return rows.groupBy("doc").agg(F.sum(cost).alias("cost"))
+
+        # Pairs that are seen often are sent to the words; only the words of the others are shuffled.
+        levels = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]
+        seen = self.pairs.agg(*[F.count_if(F.col("c") >= i).alias(f"n{i}") for i in levels]).first()
+        level = next((i for i in levels if seen[f"n{i}"] <= room), 1 << 40)
+        often = F.broadcast(self.pairs.where(F.col("c") >= level))
+        if level == 1:
+            costs = summed(weighed(tokens.join(often, "pair", "left")))
+        else:
+            others = weighed(tokens.join(often.select("pair"), "pair", "left_anti"))
+            others = others.join(self.pairs.where(F.col("c") < level).hint("merge"), "pair", "left")
+            costs = summed(weighed(tokens.join(often, "pair"))).unionByName(summed(others))
+            costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"))
+        counted = docs.select(*keep, F.size(token_pairs(F.col("text"))).alias("n")).groupBy(*keep)
+        counted = counted.agg(F.sum("n").alias("n_tokens")).withColumn("doc", doc)
+        return counted.join(costs, "doc").select(*keep, "cost", "n_tokens")
 
 
 def _quantile(bins: DataFrame, q: float, name: str) -> DataFrame:
