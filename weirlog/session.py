@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the SQL settings to a session that already exists."""
@@ -95,7 +97,13 @@ class Scratch:
     def table(self, df: DataFrame, label: str) -> DataFrame:
         folder = new_folder(self.spark, label)
         self.folders.append(folder)
-        df.write.parquet(folder)
+        # What was shuffled to make the table is of no use once it is written.
+        before = self.spark.conf.get(SHUFFLE_CLEANUP)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.parquet(folder)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def __exit__(self, *_) -> None:
