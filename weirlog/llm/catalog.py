@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import contamination, licenses, line_dedup, packing, quality, sharding, simhash, token_store, toolcalls, topk
+from weirlog.llm import (
+    centroids,
+    contamination,
+    licenses,
+    line_dedup,
+    packing,
+    passages,
+    phrases,
+    quality,
+    sharding,
+    simhash,
+    token_store,
+    toolcalls,
+    topk,
+)
 from weirlog.session import configure, new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +217,116 @@ left join (select doc_id, count(*) as n from gone group by 1) b using (doc_id)
 @query
 def op10_best_fit_bins(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("version", "copy")
+
+
+@query
+def op11_repeated_passages(spark, sf_dir):
+    rows = passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op11_repeated_passages"] = r"""
+with words as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (
+  select doc_id, unnest(range(1, len(w) - 11)) as i, unnest([array_to_string(w[i:i + 12], ' ') for i in range(1, len(w) - 11)]) as s
+  from words),
+firsts as (select s, min(doc_id) as first_id from windows group by 1),
+gone as (
+  select distinct doc_id, i + d as i
+  from windows join firsts using (s), (select unnest(range(13)) as d) where doc_id > first_id),
+cut as (select doc_id, list(i) as gone from gone group by 1),
+kept as (
+  select doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed, w, gone from words left join cut using (doc_id)),
+places as (
+  select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from words),
+texts as (
+  select p.doc_id, string_agg(word, ' ' order by p.i) as kept
+  from places p left join gone g on p.doc_id = g.doc_id and p.i = g.i where g.i is null group by 1)
+select doc_id, n_words, n_removed, sha256(coalesce(t.kept, '')) as kept_sha256
+from kept left join texts t using (doc_id)
+"""
+
+
+@query
+def op12_pivot_clusters(spark, sf_dir):
+    return centroids.with_inertia(*centroids.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """All rounds written out one after the other."""
+    steps = [
+        f"""
+points as materialized (
+  select vec_id, unnest(range(64)) as dim, unnest([cast(floor(1024 * cast(x as double)) as bigint) for x in embedding]) as x
+  from embeddings
+  where len(embedding) = 64 and len([x for x in embedding if x is not null and isfinite(x)]) = 64),
+starts as (
+  select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from (select distinct vec_id from points)),
+c0 as materialized (select c, dim, x from points join starts using (vec_id) where c < {k})"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""
+d{i} as (select vec_id, c, sum((p.x - m.x) * (p.x - m.x)) as d from points p join c{i} m using (dim) group by 1, 2),
+a{i} as materialized (
+  select vec_id, c, d from d{i} qualify row_number() over (partition by vec_id order by d, c) = 1)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""
+m{i} as (
+  select c, dim, sum(x) as s, count(*) as n from points join a{i} using (vec_id) group by 1, 2),
+c{i + 1} as materialized (
+  select c, dim, coalesce(cast((s - ((s % n) + n) % n) // n as bigint), x) as x from c{i} left join m{i} using (c, dim))"""
+            )
+    return (
+        "with "
+        + ",".join(steps)
+        + f"""
+select vec_id, cast(c as int) as cluster, cast(d as bigint) as distance,
+  cast(sum(d) over (partition by c) as bigint) as cluster_inertia, cast(sum(d) over () as bigint) as inertia, centroid_sha256
+from a{rounds} join (
+  select c, sha256(string_agg(cast(x as varchar), ',' order by dim)) as centroid_sha256 from c{rounds} group by 1) using (c)
+"""
+    )
+
+
+ORACLES["op12_pivot_clusters"] = _clusters_sql(8, 10)
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^.,;:!?\x0A-\x0D]+')) as p from documents),
+words as (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from pieces),
+sizes as (select unnest([1, 2, 3, 4]) as k),
+grams as (
+  select lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as phrase from words, sizes),
+counts as (select lang, k, phrase, count(*) as f from grams group by all),
+totals as (select lang, sum(f) as n from counts where k = 1 group by 1),
+candidates as (
+  select lang, k, phrase, f as a, string_split(phrase, ' ') as w from counts where k > 1 and f >= 30),
+cuts as (
+  select lang, phrase, a, k, j, array_to_string(w[1:j], ' ') as one, array_to_string(w[j + 1:], ' ') as two
+  from candidates, (select unnest([1, 2, 3]) as j) where j < k),
+scores as (
+  select c.lang, c.phrase, c.a, j, x.f as l, y.f as r, (2000000 * c.a::hugeint) // (x.f + y.f) as score
+  from cuts c join counts x on c.lang = x.lang and c.one = x.phrase join counts y on c.lang = y.lang and c.two = y.phrase),
+worst as (select * from scores qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+inside as (
+  select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as longer
+  from candidates, (select unnest([2, 3]) as m), (select unnest([1, 2, 3]) as i) where m < k and i + m - 1 <= k group by 1, 2),
+kept as (
+  select w.* from worst w left join inside i using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score
+from ranked join totals using (lang) where rank <= 2000
+"""
