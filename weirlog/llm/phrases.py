@@ -23,6 +23,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ WORDS = ["w1", "w2", "w3", "w4"]
 UNKNOWN = "und"
 DICTIONARY = 1_000_000  # words that are sent to all tasks
 COUNTED_AT_ONCE = 500_000  # distinct words a task holds
-WINDOWS_AT_ONCE = 1 << 20
+WINDOWS_AT_ONCE = 1 << 18
 HASHED = 1 << 62  # the numbers of words outside the dictionary start here
 SALTS = 64
 PARTS = 1_000_000  # a score of one
@@ -83,22 +84,17 @@ def _hashed(lang: Column, word: Column, seed: int) -> Column:
 class _Numbers(dict):
     """Words of one language to numbers; 0 for the end of a piece and for words too rare to matter."""
 
-    def __init__(self, lang: str, known: dict[bytes, int], seed: int | None):
-        super().__init__(known)
+    def __init__(self, lang: str, known: tuple[bytes, np.ndarray] | None, seed: int | None):
+        if known is not None:
+            words, numbers = known
+            super().__init__(zip(words.split(_BREAK), numbers.tolist()))
         self.update({b"": -1, _BREAK: 0})
-        self.lang, self.seed, self.room = lang.encode(), seed, len(known) + DICTIONARY
-        self.known = known
+        self.lang, self.seed = lang.encode(), seed
 
     def __missing__(self, word: bytes) -> int:
         if self.seed is None:
             return 0
-        if len(self) > self.room:
-            self.clear()
-            self.update(self.known)
-            self.update({b"": -1, _BREAK: 0})
-        h = xxhash.xxh64_intdigest(b"%s %s %d" % (self.lang, word, self.seed), 42)
-        number = self[word] = h >> 2 | HASHED
-        return number
+        return xxhash.xxh64_intdigest(b"%s %s %d" % (self.lang, word, self.seed), 42) >> 2 | HASHED
 
 
 def windows(numbers: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -137,7 +133,7 @@ def _count_windows(dictionary, seed: int | None):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if lang not in numbers:
-                    numbers[lang] = _Numbers(lang, dictionary.value.get(lang, {}), seed)
+                    numbers[lang] = _Numbers(lang, dictionary.value.get(lang), seed)
                 found = tokens(text)
                 coded = np.fromiter(map(numbers[lang].__getitem__, found), np.int64, len(found))
                 held += [coded[coded >= 0], end]  # -1 stands for the empty pieces between blanks
@@ -168,9 +164,11 @@ def _numbered(words: DataFrame, least: int, room: int, scratch: Scratch):
     # At most ``room`` rows.
     top = words.where(known).orderBy(F.desc("n"), "lang", "word").select("lang", "word", "n").toArrow()
     top = top.append_column("number", pa.array(np.arange(1, top.num_rows + 1)))
-    dictionary: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for lang, word, number in zip(*(top[c].to_pylist() for c in ("lang", "word", "number"))):
-        dictionary[lang][word.encode()] = number
+    # Packed per language; each worker makes its own dictionary of it.
+    dictionary: dict[str, tuple[bytes, np.ndarray]] = {}
+    for lang in top["lang"].unique().to_pylist():
+        mine = top.filter(pc.equal(top["lang"], lang))
+        dictionary[lang] = ("\n".join(mine["word"].to_pylist()).encode(), mine["number"].to_numpy())
     schema = "lang string, word string, n bigint, number bigint"
     frequent = words.sparkSession.createDataFrame(top, schema) if top.num_rows else None
     if seed is not None:
@@ -179,7 +177,7 @@ def _numbered(words: DataFrame, least: int, room: int, scratch: Scratch):
         frequent = rest if frequent is None else frequent.unionByName(rest)
     if frequent is None:
         frequent = words.sparkSession.createDataFrame([], schema)
-    return scratch.table(frequent, "frequent-words"), dict(dictionary), seed
+    return scratch.table(frequent, "frequent-words"), dictionary, seed
 
 
 def _phrase_counts(counted: DataFrame, least: int) -> DataFrame:
@@ -274,7 +272,9 @@ def collocations(
         frequent, known, seed = _numbered(words, least, dictionary, scratch)
         sent = spark.sparkContext.broadcast(known)
         counted = docs.mapInArrow(_count_windows(sent, seed), ", ".join(f"{c} bigint" for c in [*WORDS, "n"]))
-        counted = scratch.table(counted.groupBy(*WORDS).agg(F.sum("n").alias("n")), "windows")
+        # In order, so that prefixes stand together where the ROLLUP adds them up, and pack well.
+        counted = counted.groupBy(*WORDS).agg(F.sum("n").alias("n")).sortWithinPartitions(*WORDS)
+        counted = scratch.table(counted, "windows")
         counts = scratch.table(_phrase_counts(counted, least), "phrase-counts")
         sent.unpersist()
         candidates = counts.where("w2 != 0").withColumnRenamed("f", "a")
