@@ -4,15 +4,20 @@ A window without a partition key moves everything into one task, and one per
 day fails on the day (or the instant) that holds a third of the rows. So the
 order itself is cut into splits of about equal row counts:
 
-1. a sample of the order columns gives the bounds of the splits, and one aggregate,
-   combined before its shuffle, the exact number of rows in each. That is one small
-   row per split, collected by the driver;
-2. a row finds its split by binary search over those keys, its place by
-   ``row_number`` inside the split, and its position by adding the rows of the
-   splits before.
-
-A row's split depends on its own key only, so a recomputed task, after a lost
-executor, gives the same positions.
+1. the rows are written down as they come, so that what is before, the decoding of raw
+   input say, is computed once. Their count is then in the files, and a sample of the
+   order columns at the rate that gives some keys per split, however many tasks read
+   them, has the bounds of the splits;
+2. a row finds its split by binary search over the bounds;
+3. with :func:`with_sequence` the rows move to their splits once, are sorted there and
+   written. A number is the rows of the splits before, one aggregate over a
+   column that is the same all along a split, plus the row's place in its file. So
+   reading the table again, after a lost executor or for another query, gives the
+   same numbers without sorting anything.
+
+Where rows are not written (:func:`with_positions`), their place comes from
+``row_number`` inside the split. A row's split depends on its own key only, so a
+recomputed task gives the same positions.
 """
 
 from __future__ import annotations
@@ -26,14 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirlog.session import new_folder
+from weirlog.session import Scratch, new_folder
 
 # Splits per shuffle partition: several small ones even out what hashing puts
 # into one task.
 _SPLITS_PER_PARTITION = 2
 # More splits are made where they would hold more rows than this.
 _ROWS_PER_SPLIT = 2_000_000
-_SAMPLED = 24  # sampled keys for each split
+_SAMPLED = 24  # sampled keys for each split, on the average
+# So many bounds are part of the plan; more are a table of one row.
+_PLANNED_BOUNDS = 2_000
 
 
 def order_key(df: DataFrame, name: str) -> Column:
@@ -62,13 +69,26 @@ class Splits(NamedTuple):
     def total(self) -> int:
         return sum(self.counts)
 
+    def _texts(self) -> tuple[str, str]:
+        names = [f"k{i}" for i in range(len(self.bounds[0]))] if self.bounds else []
+        return json.dumps([dict(zip(names, bound)) for bound in self.bounds]), json.dumps(self.before())
+
     def find(self, key: Column) -> Column:
         """Number (from 0) of the split that ``key`` falls into."""
-        n = len(self.bounds)
-        names = [f"k{i}" for i in range(len(self.bounds[0]))] if n else []
-        text = json.dumps([dict(zip(names, bound)) for bound in self.bounds])
-        bounds = F.from_json(F.lit(text), f"array<{self.key_type}>")
-        return last_at_or_below(bounds, F.lit(n), key, n)
+        bounds = F.from_json(F.lit(self._texts()[0]), f"array<{self.key_type}>")
+        return last_at_or_below(bounds, F.lit(len(self.bounds)), key, len(self.bounds))
+
+    def with_split(self, df: DataFrame, key: Column, out: str) -> DataFrame:
+        """:meth:`find` as a column; bounds that are too many for a plan come from a broadcast row."""
+        if len(self.bounds) <= _PLANNED_BOUNDS:
+            return df.withColumn(out, self.find(key))
+        # Some 50 bytes per split, and a split holds millions of rows where there are so many.
+        folder = new_folder(df.sparkSession, "bounds")
+        table = df.sparkSession.createDataFrame([tuple(b) for b in self.bounds], self.key_type)
+        table.select(F.struct(*table.columns).alias("k")).write.parquet(folder)
+        rows = df.sparkSession.read.parquet(folder).agg(F.array_sort(F.collect_list("k")).alias("_bounds"))
+        found = last_at_or_below(F.col("_bounds"), F.lit(len(self.bounds)), key, len(self.bounds))
+        return df.crossJoin(F.broadcast(rows)).withColumn(out, found).drop("_bounds")
 
     def find_position(self, position: Column) -> Column:
         """Number (from 0) of the split that holds a position (from 1)."""
@@ -80,7 +100,7 @@ class Splits(NamedTuple):
         return [0, *accumulate(self.counts)][: len(self.counts)]
 
     def rows_before(self, split: Column) -> Column:
-        return F.get(F.from_json(F.lit(json.dumps(self.before())), "array<bigint>"), split)
+        return F.get(F.from_json(F.lit(self._texts()[1]), "array<bigint>"), split)
 
 
 def last_at_or_below(bounds: Column, n: Column, key: Column, at_most: int) -> Column:
@@ -104,30 +124,44 @@ def key_struct(columns: Sequence[Column]) -> Column:
     return F.struct(*[column.alias(f"k{i}") for i, column in enumerate(columns)])
 
 
+def _keys(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    return df.select(*[order_key(df, name).alias(f"k{i}") for i, name in enumerate(order)])
+
+
+def cut_splits(df: DataFrame, order: Sequence[str], splits: int | None = None) -> Splits:
+    """Bounds that cut the order into splits of about equal size, not counted yet.
+
+    Reads the order columns only, twice: the rows are counted, then sampled at
+    a rate that brings some keys per split to the driver, whatever the number
+    of tasks.
+    """
+    if splits is None:
+        splits = _SPLITS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = _keys(df, order)
+    key_type = keys.select(F.struct(*keys.columns).alias("k")).schema["k"].dataType.simpleString()
+    total = keys.count()
+    splits = max(splits, -(-total // _ROWS_PER_SPLIT))
+    if total > _SAMPLED * splits:
+        keys = keys.where(F.rand(17) < _SAMPLED * splits / total)
+    sample = sorted(map(tuple, keys.collect())) if total else []
+    bounds = sorted({sample[len(sample) * i // splits] for i in range(splits)}) if sample else []
+    if total and not bounds:  # nothing was drawn: all rows are one split
+        bounds = [tuple(keys.limit(1).first() or _keys(df, order).first())]
+    return Splits(key_type, bounds, [])
+
+
 def measure_splits(df: DataFrame, order: Sequence[str], splits: int | None = None) -> Splits:
     """Cut the order into splits of about equal size and count each exactly.
 
     Reads the order columns only. The collected result has one row per split.
     """
-    spark = df.sparkSession
-    if splits is None:
-        splits = _SPLITS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(*[order_key(df, name).alias(f"k{i}") for i, name in enumerate(order)])
-    key_type = keys.select(F.struct(*keys.columns).alias("k")).schema["k"].dataType.simpleString()
-    while True:
-        # A uniform sample: each task keeps its share, so nothing is shuffled.
-        sample = sorted(map(tuple, keys.orderBy(F.rand(17)).limit(_SAMPLED * splits).collect()))
-        bounds = sorted({sample[len(sample) * i // splits] for i in range(splits)}) if sample else []
-        found = Splits(key_type, bounds, [0] * len(bounds))
-        if not bounds:
-            return found
-        counted = keys.groupBy(found.find(key_struct([F.col(c) for c in keys.columns])).alias("part"))
-        counts = {row["part"]: row["count"] for row in counted.count().collect()}
-        found = found._replace(counts=[counts.get(i, 0) for i in range(len(bounds))])
-        wanted = -(-found.total // _ROWS_PER_SPLIT)
-        if splits >= wanted:
-            return found
-        splits = wanted
+    found = cut_splits(df, order, splits)
+    if not found.bounds:
+        return found
+    keys = _keys(df, order)
+    parts = found.with_split(keys, key_struct([F.col(c) for c in keys.columns]), "part")
+    counts = {row["part"]: row["count"] for row in parts.groupBy("part").count().collect()}
+    return found._replace(counts=[counts.get(i, 0) for i in range(len(found.bounds))])
 
 
 def measure_positions(
@@ -193,26 +227,60 @@ def with_positions(
     start: int = 1,
 ) -> DataFrame:
     """Number the rows ``start``, ``start + 1``, ... along ``order``; keeps the split."""
-    df = df.withColumn(split, splits.find(key_struct([order_key(df, name) for name in order])))
+    df = splits.with_split(df, key_struct([order_key(df, name) for name in order]), split)
     inside = Window.partitionBy(split).orderBy(*order)
     return df.withColumn(
         out, F.row_number().over(inside).cast("bigint") + splits.rows_before(F.col(split)) + (start - 1)
     )
 
 
+def write_in_order(df: DataFrame, order: Sequence[str], splits: int | None = None) -> tuple[DataFrame, int]:
+    """The rows in a table of the shared folder, sorted along ``order``, with ``_place`` from 0; and how many.
+
+    Every split lies in one file without a gap, so a row's place is known from
+    its row number in the file. All columns are written: select those that
+    are wanted first.
+    """
+    spark = df.sparkSession
+    with Scratch(spark) as scratch:
+        return _write_in_order(scratch.table(df, "unordered"), order, splits)
+
+
+def _write_in_order(df: DataFrame, order: Sequence[str], splits: int | None) -> tuple[DataFrame, int]:
+    spark = df.sparkSession
+    found = cut_splits(df, order, splits)
+    moved = found.with_split(df, key_struct([order_key(df, name) for name in order]), "_split")
+    parts = max(1, min(len(found.bounds), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    folder = new_folder(spark, "ordered")
+    # Neighbouring splits share a task, and no task has more than its share of them.
+    share = F.floor(F.col("_split") * parts / max(1, len(found.bounds))).cast("int")
+    moved = moved.repartitionById(parts, share)
+    moved.sortWithinPartitions("_split", *order).write.parquet(folder)
+    rows = spark.read.schema(moved.schema).parquet(folder)
+    measured = rows.groupBy("_split").agg(F.count("*").alias("n"), F.min(F.col("_metadata.row_index")).alias("first"))
+    begins, at = [], 0
+    for row in measured.orderBy("_split").collect():
+        begins.append((row["_split"], at - row["first"]))
+        at += row["n"]
+    # One row per split.
+    table = spark.createDataFrame(begins, "_split int, _begins bigint")
+    rows = rows.withColumn("_row", F.col("_metadata.row_index")).join(F.broadcast(table), "_split")
+    return rows.withColumn("_place", F.col("_row") + F.col("_begins")).select(*df.columns, "_place"), at
+
+
 def with_sequence(
     df: DataFrame,
     order: Sequence[str] = ("received_at", "collector_type", "record_id"),
     start: int = 1,
     splits: int | None = None,
 ) -> DataFrame:
-    """Add ``sequence``: 1, 2, 3... in arrival order over all rows.
+    """Add ``sequence``: 1, 2, 3... in arrival order over all rows, which are written down sorted.
 
     ``order`` should tell rows apart. Rows equal in all of it are numbered within
     one task, so where copies may be many, add :func:`with_arrival_id` first.
     """
-    measured = measure_splits(df, order, splits)
-    return with_positions(df, order, measured, out="sequence", start=start).drop("_split")
+    rows, _ = write_in_order(df, order, splits)
+    return rows.withColumn("sequence", F.col("_place") + start).drop("_place")
 
 
 def with_arrival_id(df: DataFrame, out: str = "record_id") -> DataFrame:

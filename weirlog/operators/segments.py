@@ -15,9 +15,11 @@ day, which may be a third of all rows, into one task. Here it is done in paralle
   i + messages - 1 is ``timeout`` later, or missing. There are at most
   ``messages`` such *candidate* rows in any ``timeout``, so at most about
   ``messages * (strip span / timeout + 2)`` per strip however many rows it has.
-* Following the chain of starts needs the candidates only. That is a scan in
-  constant memory over candidate positions, one task per token. It yields *runs*:
-  stretches of rows whose segment number is plain arithmetic on the position.
+* Following the chain of starts needs the candidates only. For a token with few of
+  them that is a scan in constant memory by one task; a token with many, as a slow
+  stream with a high ``messages`` has, is ranked by pointer doubling, by all tasks
+  (:mod:`weirlog.operators.chains`). Both yield *runs*: stretches of rows whose
+  segment number is plain arithmetic on the position.
 * Runs are few. They go back to the rows by position: broadcast if their counted
   size allows it, by a shuffled join otherwise.
 """
@@ -33,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlog import schemas
+from weirlog.operators import chains
 from weirlog.operators.numbering import (
     Splits,
     key_struct,
@@ -47,20 +50,26 @@ from weirlog.session import Scratch, reliable_checkpoint
 
 # Marks are about 40 bytes each; beyond this count they are joined by shuffle.
 MAX_BROADCAST_MARKS = 500_000
+# Candidates of one token that a single task follows; more are ranked by all tasks.
+MAX_SCANNED = 2_000_000
 # Up to so many runs per split they are looked up in a list.
 _RUNS_PER_SPLIT = 64
 
 _UNITS = "yMdHms"
 
 
-def check_layout(layout: str) -> str:
-    """Accept a layout only if no token can come back later.
+def comes_back(layout: str) -> bool:
+    """Whether a token of the layout can come back later, like the hour without its day.
 
-    It must name the year and every larger unit down to its finest one.
+    It cannot if the layout names the year and every larger unit down to its finest one.
     """
     letters = set(re.sub(r"'[^']*'", "", layout)) & set("GyuYQqMLwWdDeEFaBhHKkmsSnNAVvzOXx")
-    expected = set(_UNITS[: len(letters)])
-    if not letters or letters != expected:
+    return not letters or letters != set(_UNITS[: len(letters)])
+
+
+def check_layout(layout: str) -> str:
+    """Accept a layout only if no token can come back later."""
+    if comes_back(layout):
         raise ValueError(f"layout {layout!r} must name the year and every larger unit down to its finest")
     return layout
 
@@ -83,7 +92,7 @@ def with_token(
     df: DataFrame, layout: str = schemas.DEFAULT_TOKEN_LAYOUT, at: str = "received_at", out: str = "token"
 ) -> DataFrame:
     """Add the calendar token of the processing time."""
-    return df.withColumn(out, F.date_format(at, check_layout(layout)))
+    return df.withColumn(out, F.date_format(at, layout))
 
 
 def _micros(instant: datetime) -> int:
@@ -116,6 +125,7 @@ def segment(
     opened: DataFrame | None = None,
     position: str | None = None,
     splits: int | None = None,
+    scanned: int | None = None,
 ) -> DataFrame:
     """Add ``token`` and ``segment`` (0, 1, 2... within series and token).
 
@@ -126,12 +136,21 @@ def segment(
     ``position`` may name a column that already numbers the rows 1, 2, 3...
     without gaps in the order of ``at``, such as ``sequence`` where nothing was
     dropped. Then no row has to be sorted or, with few runs, even moved.
+
+    With a layout whose tokens come back, such as the hour alone, every stretch of
+    rows with the same token is cut on its own and its token's numbers go on. Such
+    a layout cannot go on with ``opened`` segments, which do not say which
+    stretch they are of.
+
+    ``scanned`` (by default ``MAX_SCANNED``) is how many candidates of a token one
+    task may follow; the result does not depend on it.
     """
     if messages < 1:
         raise ValueError("messages must be at least 1")
     if position is not None and keys:
         raise ValueError("positions number all rows, so they cannot be used with keys")
-    check_layout(layout)
+    if opened is not None:
+        check_layout(layout)
     spark = df.sparkSession
     if position is not None:
         order = [at, position]
@@ -149,18 +168,15 @@ def segment(
     narrow = with_token(number(df.select(*order)), layout, at).withColumns(
         {"_series": _series(keys), "_cuts": _cuts_until(F.col(at), cut_at)}
     )
+    if comes_back(layout):
+        narrow = _with_stretches(narrow, order)
     if timeout is not None:
         narrow = _with_status(narrow, order, strip, messages, timeout, at)
     with Scratch(spark) as scratch:
         # Time and place of each row, written once and read by the steps below.
         narrow = scratch.table(narrow.drop(*[c for c in order if c not in (*keys, at)]), "positions")
         steps = _steps(narrow, scratch, measured, strip, messages, timeout, keys, at, order, cut_at, opened)
-        runs = reliable_checkpoint(
-            steps.select(*strip, "kind", "a", "b")
-            .repartition("_series", "token")
-            .sortWithinPartitions(*strip, "kind", "a")
-            .mapInPandas(_follow(messages), "start bigint, last bigint, base bigint, segment bigint")
-        )
+        runs = reliable_checkpoint(_runs(steps, strip, messages, scratch, MAX_SCANNED if scanned is None else scanned))
     count = runs.count()
     rows = number(df)
     few = min(_RUNS_PER_SPLIT * max(1, len(measured.counts)), MAX_BROADCAST_MARKS)
@@ -176,6 +192,61 @@ def segment(
     )
 
 
+_TOKEN = ["_series", "token"]
+_RUN = ["start", "last", "base", "segment"]
+
+
+def _runs(steps: DataFrame, strip: list[str], messages: int, scratch: Scratch, scanned: int) -> DataFrame:
+    """Runs of all tokens: scanned where that is little work, by pointer doubling elsewhere."""
+    steps = scratch.table(steps.select(*strip, "kind", "a", "b"), "steps")
+    long = steps.groupBy(*_TOKEN).count().where(F.col("count") > scanned).select(*_TOKEN)
+    long = scratch.table(long, "long-tokens")
+    few = steps
+    if not long.isEmpty():
+        few = steps.join(long, _TOKEN, "left_anti")
+    runs = (
+        few.repartition(*_TOKEN)
+        .sortWithinPartitions(*strip, "kind", "a")
+        .mapInPandas(_follow(messages), "start bigint, last bigint, base bigint, segment bigint")
+    )
+    if few is steps:
+        return runs
+    return runs.unionByName(_ranked(steps.join(long, _TOKEN), strip, messages, scratch))
+
+
+def _ranked(steps: DataFrame, strip: list[str], messages: int, scratch: Scratch) -> DataFrame:
+    """What :func:`_follow` yields, without following: see :mod:`weirlog.operators.chains`."""
+    opened = steps.where("kind = 0").select(
+        *_TOKEN, F.col("_cuts").alias("_opened"), F.col("a").alias("_number"), F.col("b").alias("_count")
+    )
+    strips = steps.where("kind = 1").join(opened, _TOKEN, "left")
+    goes_on = F.coalesce(F.col("_cuts") == F.col("_opened"), F.lit(False))
+    strips = strips.select(
+        *strip,
+        F.col("a").alias("strip"),
+        F.col("a").alias("first"),
+        F.col("b").alias("last"),
+        (F.col("a") - F.when(goes_on, F.col("_count")).otherwise(0)).alias("base"),
+        goes_on.alias("goes_on"),
+        F.coalesce(F.col("_cuts") >= F.col("_opened"), F.lit(False)).alias("after"),
+        "_number",
+    )
+    strips = scratch.table(strips, "strips")
+    candidates = steps.where("kind = 2").join(strips.select(*strip, "strip"), strip)
+    candidates = candidates.select("strip", F.col("a").alias("pos"), F.col("b").alias("aged"))
+    found = scratch.table(chains.runs(strips, candidates, messages, scratch), "chain-runs")
+    # A token's strips, one for each cut, go on counting where the one before ended.
+    segments = F.col("number") + F.floor((F.col("last") - F.col("base")) / messages) + 1
+    sizes = strips.join(found.groupBy("strip").agg(F.max(segments).alias("_size")), "strip", "left")
+    earlier = Window.partitionBy(*_TOKEN, "after").orderBy("_cuts")
+    before = F.coalesce(F.sum("_size").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_first = F.max("goes_on").over(earlier)
+    begins = F.when(F.col("after"), F.col("_number") + F.when(open_first, 0).otherwise(1)).otherwise(0)
+    numbers = sizes.select("strip", (before + begins).cast("bigint").alias("_begins"))
+    runs = found.join(numbers, "strip").withColumn("segment", F.col("number") + F.col("_begins"))
+    return runs.select(*[F.col(c).cast("bigint") for c in _RUN])
+
+
 def _by_split(runs: DataFrame, measured: Splits) -> DataFrame:
     """Runs, once for each split they reach into, at their first row there."""
     part = F.explode(
@@ -271,6 +342,31 @@ def _steps(
     )
 
 
+def _with_stretches(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``_cuts`` with the changes of series and token so far added, so that a stretch is a strip.
+
+    Changes are counted inside the splits; what lies between two splits, and the
+    counts of those before, come from one row per split.
+    """
+    inside = Window.partitionBy("_split").orderBy(*order)
+    here = F.struct("_series", "token")
+    rows = rows.withColumn("_changed", F.coalesce((F.lag(here).over(inside) != here).cast("bigint"), F.lit(0)))
+    splits = rows.groupBy(F.col("_split").alias("_part")).agg(
+        F.min_by(here, "_position").alias("_first"),
+        F.max_by(here, "_position").alias("_last"),
+        F.sum("_changed").alias("_changes"),
+    )
+    before = Window.orderBy("_part")
+    new = F.coalesce((F.lag("_last").over(before) != F.col("_first")).cast("bigint"), F.lit(0))
+    splits = splits.withColumn("_new", new).select(
+        "_part", (F.sum(F.col("_changes") + F.col("_new")).over(before) - F.col("_changes")).alias("_before")
+    )
+    so_far = F.sum("_changed").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_cuts", F.col("_cuts") + so_far).drop("_changed")
+    rows = rows.join(splits, rows["_split"] == splits["_part"])
+    return rows.withColumn("_cuts", F.col("_cuts") + F.col("_before")).drop("_part", "_before")
+
+
 def _fills_up(ahead: Column, strip: list[str], timeout: str, at: str) -> Column:
     """Whether the row ``messages - 1`` further on comes in the same strip and in time."""
     in_time = ahead[at] < F.col(at) + F.expr(f"INTERVAL {timeout}")

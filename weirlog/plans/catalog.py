@@ -419,7 +419,8 @@ def envelope(spark, sf_dir):
 
 @query
 def sequence(spark, sf_dir):
-    return with_sequence(_collected(spark, sf_dir), ORDER).select("collector_type", "record_id", "sequence")
+    rows = with_sequence(_collected(spark, sf_dir).select(*ORDER), ORDER)
+    return rows.select("collector_type", "record_id", "sequence")
 
 
 @query
@@ -536,7 +537,7 @@ def replace_drops(spark, sf_dir):
 
 
 def _numbered(spark, sf_dir):
-    rows = with_sequence(_collected(spark, sf_dir), ORDER)
+    rows = with_sequence(_collected(spark, sf_dir).select(*ORDER), ORDER)
     return rows.withColumn("dropped", F.col("record_id") % 8 == 0)
 
 
@@ -599,6 +600,20 @@ def segment_flush(spark, sf_dir):
     return rows.select("record_id", "token", "segment")
 
 
+@query
+def segment_hot_token(spark, sf_dir):
+    """One token holds all rows and more messages may come than do: the chain is ranked by all tasks."""
+    rows = segments.segment(_events(spark, sf_dir), 1000, "1 hour", layout="yyyy", scanned=1000)
+    return rows.select("record_id", "token", "segment")
+
+
+@query
+def segment_hourly(spark, sf_dir):
+    """Tokens that come back every day: the hour alone."""
+    rows = segments.segment(_events(spark, sf_dir), 10, "40 minutes", layout="HH")
+    return rows.select("record_id", "token", "segment")
+
+
 @query
 def segment_manifest(spark, sf_dir):
     rows = segments.segment(_events(spark, sf_dir), 10, "1 hour", cut_at=CUTS)

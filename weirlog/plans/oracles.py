@@ -409,8 +409,8 @@ ORACLES["throughput_by_time"] = (
 
 # -- segments ----------------------------------------------------------------------------
 
-_ROWS = """rows_ as (select event_id as record_id, ts, {series} as series, cast(cast(ts as date) as varchar) as token,
-  {cuts} as cuts from events)"""
+_DAY = "cast(cast(ts as date) as varchar)"
+_ROWS = """rows_ as (select event_id as record_id, ts, {series} as series, {token} as token, {cuts} as cuts from {table})"""
 _PLACED = """placed as (
   select *, row_number() over (partition by series, token, cuts order by ts, record_id) as rn,
     row_number() over (partition by series, token, cuts order by ts, record_id)
@@ -432,9 +432,11 @@ _CUT = """segmented as (
 _CUT_COUNT = " + ".join(f"(case when ts >= timestamp '{c}' then 1 else 0 end)" for c in CUTS)
 
 
-def _segmented(messages: int, seconds: int, series: str = "''", cuts: str = "0") -> str:
+def _segmented(
+    messages: int, seconds: int, series: str = "''", cuts: str = "0", token: str = _DAY, table: str = "events"
+) -> str:
     return _with(
-        _ROWS.format(series=series, cuts=cuts),
+        _ROWS.format(series=series, cuts=cuts, token=token, table=table),
         _PLACED,
         _NEXT.format(messages=messages, micros=seconds * 1_000_000 - 1),
         _STARTS,
@@ -452,6 +454,11 @@ ORACLES["segment_series"] = (
     _segmented(5, 7200, "event_type") + "select record_id, series as event_type, token, segment from segmented"
 )
 ORACLES["segment_flush"] = _segmented(10, 3600, cuts=_CUT_COUNT) + _SEGMENT
+ORACLES["segment_hot_token"] = _segmented(1000, 3600, token="strftime(ts, '%Y')") + _SEGMENT
+# A day's hours are strips of their own, so the hours before are the stretch's number.
+ORACLES["segment_hourly"] = (
+    _segmented(10, 2400, cuts="epoch_us(ts) // 3600000000", token="strftime(ts, '%H')") + _SEGMENT
+)
 ORACLES["segment_manifest"] = (
     _segmented(10, 3600, cuts=_CUT_COUNT)
     + """, grouped as (
