@@ -40,6 +40,16 @@ TOOLS = {
         (None, "{}", ["/a: missing"]),
         ('{"a": 1, "tags": ["é\\u00e9"]}', '{"a":1,"tags":["éé"]}', ["/tags/0: wrong pattern"]),
         ("[" * 100_000, None, ["nested too deeply"]),
+        ('{"a": "\\ud800"}', '{"a":"\\ud800"}', ["/a: not number"]),
+        ('{"\\udc00": 1, "a": 1}', '{"a":1,"\\udc00":1}', ["/\\udc00: unknown"]),
+        ('{"a": 1e400}', '{"a":1E+400}', ["/a: out of range"]),
+        ('{"a": 1e-400}', '{"a":1E-400}', []),
+        ('{"a": 1.0, "b": 3.0}', '{"a":1.0,"b":3.0}', []),
+        ('{"a": 1, "b": ' + "7" * 5000 + "}", '{"a":1,"b":' + "7" * 5000 + "}", []),
+        ('{"a": 1, "b": 1e400}', '{"a":1,"b":1E+400}', []),
+        ('{"a": 1, "b": 25e-401}', '{"a":1,"b":2.5E-400}', ["/b: not integer or null"]),
+        ('{"a": 1, "mode": true}', '{"a":1,"mode":true}', ["/mode: not one of the choices"]),
+        ('{"a": 9, "a": 1, "mode": 1.0}', '{"a":1,"mode":1.0}', []),
     ],
 )
 def test_arguments(text, arguments, errors):
@@ -164,3 +174,25 @@ def test_query(spark):
     got = [(x.conv_id, x.level, x.turn, x.call_id, x.name, x.status, x.arguments, x.errors, x.result_turn, x.record) for x in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
     assert {x.status for x in rows} >= {"linked", "orphan"} and any(x.errors for x in rows) and any(x.level for x in rows)
+
+
+@pytest.mark.parametrize("limit", [10**9, 0])
+def test_chains_and_cycles(spark, monkeypatch, limit):
+    """A chain against its turns, one that ends in a cycle, and awkward JSON, in one task and by rounds."""
+    monkeypatch.setattr(toolcalls, "MAX_WAITS", limit)
+    n = 2000 if limit else 6
+    ref = lambda *ids: json.dumps({"x": [{"$ref": i} for i in ids]})
+    calls = [(1, f"c{i}", n - i, "t", ref(f"c{i - 1}") if i else "{}") for i in range(n)]
+    calls += [(2, "p", 1, "t", ref("q")), (2, "q", 2, "t", ref("p")), (2, "r", 3, "t", ref("q", "s")), (2, "s", 4, "t", "{}")]
+    calls += [(3, "u", 1, "t", '{"y": "\\ud800", "z": 1e400}'), (3, "v", 2, "t", '{"$ref": "\\ud800"}')]
+    df = spark.createDataFrame(calls, "conv_id bigint, call_id string, turn bigint, name string, arguments string")
+    none = spark.createDataFrame([(3, "u", 2, "fine \u00e9")], "conv_id bigint, call_id string, turn bigint, content string")
+    rows = {(r["conv_id"], r["call_id"]): r for r in toolcalls.link_calls(df, none, {"t": {}}).collect()}
+    assert [rows[1, f"c{i}"]["level"] for i in range(n)] == list(range(n))
+    assert [rows[1, f"c{i}"]["position"] for i in range(n)] == list(range(n))
+    last = toolcalls.CYCLE_LEVEL
+    assert [rows[2, c]["level"] for c in "pqrs"] == [last, last, last, 0]
+    assert rows[3, "u"]["record"] == (
+        '{"arguments":{"y":"\\ud800","z":1E+400},"errors":[],"id":"u","name":"t","result":"fine \u00e9","status":"linked"}'
+    )
+    assert rows[3, "v"]["errors"] == ["no call \\ud800"]

@@ -5,19 +5,25 @@ occurs more than once its first call meets its first result, found by an
 aggregate that is combined before its shuffle, so the join is one to one. A call's
 arguments may name earlier calls as ``{"$ref": id}``. In most conversations
 the order of the turns already puts each call behind the ones it names; a join
-finds those where it does not, and only there the depth of each call is found, by
-taking away in rounds the calls that wait for nothing. Positions come from a
+finds those where it does not, and only there the depth of each call is found: a
+conversation with few references is ordered by one task, of one with many all
+tasks take away the calls that wait for nothing, in rounds. Positions come from a
 parallel numbering, so a conversation that holds a third of all rows is not
 brought into one task.
 
 Arguments are parsed, held against the tool's JSON schema and written in
-canonical form: members sorted, no blanks, text not escaped.
+canonical form: members sorted, no blanks, text not escaped but for what UTF-8
+cannot hold. No number is too large: those beyond a double or some thousand digits
+are kept as decimals.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
+from collections import defaultdict
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,10 +40,51 @@ _TYPES = {
     "null": type(None),
 }
 CYCLE_LEVEL = 2**31 - 1
+MAX_WAITS = 200_000  # references of a conversation that one task puts in order
+
+
+_LONG = 4000  # digits of whole numbers that Python reads and writes without a limit
+_ALONE = re.compile("[\ud800-\udfff]")
+
+
+def _whole(text: str) -> int | Decimal:
+    return int(text) if len(text) <= _LONG else Decimal(text)
+
+
+def _fraction(text: str) -> float | Decimal:
+    """A double, or a decimal where it would be infinite, or zero without being zero."""
+    value = float(text)
+    if math.isinf(value) or (value == 0 and re.search("[1-9]", re.split("[eE]", text)[0])):
+        return Decimal(text)
+    return value
+
+
+def parse(text: str):
+    """A JSON text of any numbers; of members that repeat the last counts. ValueError where it is none."""
+    return json.loads(text, parse_constant=_refuse, parse_int=_whole, parse_float=_fraction)
+
+
+def escaped(text: str) -> str:
+    """Surrogates that stand alone as JSON escapes, since UTF-8 has no place for them."""
+    return _ALONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _written(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{_written(k)}:{_written(value[k])}" for k in sorted(value)) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_written, value)) + "]"
+    if isinstance(value, Decimal):
+        return str(value)
+    return json.dumps(value, ensure_ascii=False, allow_nan=False)
 
 
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    try:
+        text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    except TypeError:  # it holds decimals
+        text = _written(value)
+    return escaped(text)
 
 
 def _refuse(text: str):
@@ -46,10 +93,31 @@ def _refuse(text: str):
 
 def _is(value, kind: str) -> bool:
     if kind in ("integer", "number"):
-        return not isinstance(value, bool) and isinstance(value, int if kind == "integer" else (int, float))
+        if isinstance(value, bool) or not isinstance(value, (int, float, Decimal)):
+            return False
+        # A number without a fraction is whole however it is written.
+        return kind == "number" or isinstance(value, int) or _without_fraction(value)
     return isinstance(value, _TYPES[kind])
 
 
+def _without_fraction(value: float | Decimal) -> bool:
+    if isinstance(value, float):
+        return value.is_integer()
+    _, digits, exponent = value.as_tuple()
+    return exponent >= 0 or not any(digits[exponent:])
+
+
+def _same(a, b) -> bool:
+    """Equality of JSON values: a truth value is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_same(a[k], b[k]) for k in a)
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_same, a, b))
+    return a == b
+
+
 def violations(value, schema: dict, at: str = "") -> list[str]:
     """Where a value breaks a schema of types, members, items, choices and bounds.
 
@@ -62,7 +130,7 @@ def violations(value, schema: dict, at: str = "") -> list[str]:
     if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at or '/'}: not {' or '.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(_same(value, choice) for choice in schema["enum"]):
         out.append(f"{at or '/'}: not one of the choices")
     if _is(value, "number"):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
@@ -100,12 +168,12 @@ def references(value) -> set[str]:
 def examine(name: str | None, text: str | None, schemas: dict[str, dict]) -> dict:
     """The canonical arguments of a call, what is wrong with them, and the calls they name."""
     try:
-        value = json.loads(text if text else "{}", parse_constant=_refuse)
-        out = {"arguments": canonical(value), "errors": [], "refs": sorted(references(value))}
+        value = parse(text if text else "{}")
+        out = {"arguments": canonical(value), "errors": [], "refs": sorted(map(escaped, references(value)))}
         if name not in schemas:
             out["errors"] = ["unknown tool"]
         else:
-            out["errors"] = violations(value, schemas[name])
+            out["errors"] = list(map(escaped, violations(value, schemas[name])))
     except (ValueError, RecursionError) as e:
         why = "nested too deeply" if isinstance(e, RecursionError) else "not JSON"
         out = {"arguments": None, "errors": [why], "refs": []}
@@ -132,14 +200,51 @@ def record(*columns: Column) -> Column:
         out = []
         for row in rows:
             value = dict(zip(keys, row))
-            value["arguments"] = None if value["arguments"] is None else json.loads(value["arguments"])
+            value["arguments"] = None if value["arguments"] is None else parse(value["arguments"])
             out.append(canonical(value))
         return pa.array(out, pa.string())
 
     return run(*columns)
 
 
-def _depths(calls: DataFrame, waits: DataFrame) -> tuple[DataFrame, Scratch]:
+def _ordered(table: pa.Table) -> pa.Table:
+    """The levels of one conversation's calls: one more than the deepest call that each waits for."""
+    conv, call, needs = (table.column(c).to_pylist() for c in ("conv_id", "call_id", "needs"))
+    level = dict.fromkeys(call, CYCLE_LEVEL)
+    missing, waiting = dict.fromkeys(call, 0), defaultdict(list)
+    for c, n in zip(call, needs):
+        if n is not None:
+            missing[c] += 1
+            waiting[n].append(c)
+    ready, depth = [c for c, n in missing.items() if n == 0], 0
+    while ready:
+        later = []
+        for done in ready:
+            level[done] = depth
+            for c in waiting[done]:
+                missing[c] -= 1
+                if not missing[c]:
+                    later.append(c)
+        ready, depth = later, depth + 1
+    columns = [pa.array([conv[0]] * len(level), pa.int64()), pa.array(list(level), pa.string()), pa.array(list(level.values()), pa.int32())]
+    return pa.table(columns, names=["conv_id", "call_id", "level"])
+
+
+def _depths(calls: DataFrame, waits: DataFrame) -> DataFrame:
+    """``level`` of each of the calls (``conv_id``, ``call_id``), given what they wait for (``needs``)."""
+    spark = calls.sparkSession
+    waits = Scratch(spark).table(waits, "waits")
+    long = waits.groupBy("conv_id").count().where(F.col("count") > MAX_WAITS).select("conv_id")
+    long = Scratch(spark).table(long, "long-conversations")
+    nodes = calls.withColumn("needs", F.lit(None).cast("string"))
+    both = nodes.unionByName(waits).join(long, "conv_id", "left_anti").select("conv_id", "call_id", "needs")
+    short = both.groupBy("conv_id").applyInArrow(_ordered, "conv_id bigint, call_id string, level int")
+    if long.isEmpty():
+        return short
+    return short.unionByName(_depths_by_rounds(calls.join(long, "conv_id"), waits.join(long, "conv_id")))
+
+
+def _depths_by_rounds(calls: DataFrame, waits: DataFrame) -> DataFrame:
     """Rounds over calls (``conv_id``, ``call_id``) and what they wait for (``needs``): ``level`` of each."""
     spark = calls.sparkSession
     kept, scratch = Scratch(spark), Scratch(spark)
@@ -168,7 +273,7 @@ def _depths(calls: DataFrame, waits: DataFrame) -> tuple[DataFrame, Scratch]:
     out = levels[0]
     for more in levels[1:]:
         out = out.unionByName(more)
-    return out, kept
+    return out
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -185,6 +290,9 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
       identifier), ``orphan`` (a result without call) or ``cycle`` (a call that waits
       for itself).
     * First is the smallest turn, then the smallest text. Equal rows count once.
+    * Numbers have no limit, and 1.0 is as whole as 1. Of members that repeat the last
+      counts. A lone surrogate is kept as its escape. Texts nested beyond what
+      Python follows are an error of the call.
     * The order is that of the turns where it suits all calls of a conversation,
       else that of the depth and then the turn; calls in a cycle come last. A
       reference to a call that does not exist is an error of the call, not a wait.
@@ -225,7 +333,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     turned = waits.where(F.col("needed") >= F.struct("turn", "tie")).select("conv_id").distinct()
     turned = scratch.table(turned, "turned")
     some = leading.select(*keys).join(turned, "conv_id", "left_semi")
-    levels, _ = _depths(some, waits.join(turned, "conv_id", "left_semi").select(*keys, "needs").distinct())
+    levels = _depths(some, waits.join(turned, "conv_id", "left_semi").select(*keys, "needs").distinct())
 
     linked = (
         leading.hint("shuffle_hash")
