@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_decoding import NOW, request, typed
-from test_ordering import START, make, replay
+from test_ordering import START, frame, make, replay
 from weirlog import schemas
-from weirlog.operators import http, numbering, render, segments, syslog, transform
+from weirlog.operators import http, numbering, render, reports, segments, syslog, transform
 from weirlog.operators.audit import audit_digests
 from weirlog.operators.envelope import envelope, merge_collectors, prune_digest, prune_raw
 from weirlog.operators.numbering import with_sequence
@@ -389,6 +389,37 @@ def test_stream_from_text_gives_ids_and_spreads_one_instant(spark, folder):
     assert (totals.processed, totals.dropped, totals.rejected) == (490, 0, 10)
 
 
+def test_totals_of_a_long_stream(spark, folder):
+    """More batches than Spark keeps: the totals are those of all of them."""
+    spark.conf.set("spark.sql.streaming.minBatchesToRetain", "3")
+    try:
+        for i in range(9):
+            land(spark, [(10 * i + k, "a", START + timedelta(minutes=10 * i + k)) for k in range(i + 1)], f"{folder}/in", str(i))
+        source = stream(spark, f"{folder}/in", 1)
+        writer = run.stream_messages(source, f"{folder}/state", [], transformer=lambda df: F.when(F.col("sequence") % 5 == 0, F.lit("null")), replacing=True)
+        run.run_to_end(writer, f"{folder}/checkpoint")
+    finally:
+        spark.conf.unset("spark.sql.streaming.minBatchesToRetain")
+    assert tuple(run.stream_totals(spark, f"{folder}/state").first()) == (45, 9, 0)
+    assert run.stream_batches(spark, f"{folder}/state").count() <= 5
+
+
+def test_reports_of_batches_equal_those_of_all(spark, folder):
+    rows = sorted(make(21, 230), key=lambda r: (r[2], r[0]))
+    df = with_sequence(frame(spark, rows), ("received_at", "record_id")).withColumn("dropped", F.col("record_id") % 3 == 0)
+    df = spark.createDataFrame(df.collect(), df.schema)
+    state = BatchState(f"{folder}/reports")
+    sizes, at, got = [1, 60, 3, 25, 80, 0, 24, 37], 0, []
+    for batch, n in enumerate(sizes):
+        part = df.where((F.col("sequence") > at) & (F.col("sequence") <= at + n))
+        once = run.report_batch(part, batch, state, 25, "received_at").collect()
+        assert sorted(once) == sorted(run.report_batch(part, batch, state, 25, "received_at").collect())
+        got += once
+        at += n
+    expected = [r for r in reports.throughput_by_count(df, 25).orderBy("report").collect() if r.messages == 25]
+    assert at == 230 and [tuple(r) for r in sorted(got)] == [tuple(r) for r in expected]
+
+
 def test_stream_leaves_nothing_cached(spark, folder):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     rows = sorted(make(3, 60), key=lambda r: (r[2], r[0]))

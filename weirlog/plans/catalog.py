@@ -900,12 +900,21 @@ def stream_totals(spark, sf_dir):
     _streamed(
         spark, sf_dir, [run.table_sink(out)], state, transformer=_drop_each_eighth, replacing=True, **_DECODING
     )
-    totals = run.stream_totals(spark, state).agg(
-        *[F.sum(c).alias(c) for c in ("processed", "dropped", "rejected")]
-    )
+    totals = run.stream_totals(spark, state)
     return totals.crossJoin(F.broadcast(spark.read.parquet(out).agg(F.count("*").alias("kept"))))
 
 
+@query
+def stream_reports(spark, sf_dir):
+    """The reports of 700 messages that several uneven batches close, with what a transformer drops."""
+    state, out = new_folder(spark, "state"), new_folder(spark, "out")
+    _streamed(
+        spark, sf_dir, [], state, transformer=_drop_each_eighth, replacing=True, max_files=3,
+        report=run.table_sink(out), report_every=700, **_DECODING
+    )
+    return spark.read.parquet(out).drop("batch")
+
+
 @query
 def stream_rejects(spark, sf_dir):
     """The frames a stream refuses, kept aside with their reasons."""

@@ -560,6 +560,17 @@ ORACLES["stream_totals"] = (
     + """select count(*) as processed, count(*) filter (sequence % 8 = 0) as dropped,
  count(*) filter (sequence % 8 <> 0) as kept, (select count(*) from events) - count(*) as rejected from numbered"""
 )
+ORACLES["stream_reports"] = (
+    _with(*_STREAMED)
+    + """, reports as (
+  select (sequence - 1) // 700 as report, count(*) as messages, epoch_us(max(received_at)) as last_us,
+    epoch_us(min(received_at)) as first_us, count(*) filter (sequence % 8 = 0) as dropped
+  from numbered group by 1)
+select report, messages, seconds, messages / (seconds + 1e-10) as rate, processed, dropped_sum as dropped from (
+  select *, (last_us - coalesce(lag(last_us) over (order by report), first_us)) / 1e6 as seconds,
+    cast(sum(messages) over (order by report) as bigint) as processed,
+    cast(sum(dropped) over (order by report) as bigint) as dropped_sum from reports) where messages = 700"""
+).replace(")\n, reports", "),\nreports")
 ORACLES["stream_rejects"] = (
     _with(_L5424, _D5424)
     + f"""select * from (select record_id, case when {_nil('message')} is null then 'text'

@@ -11,11 +11,12 @@ from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from weirlog import schemas
+from weirlog.operators import reports
 from weirlog.operators.envelope import envelope, prune_digest, prune_raw
 from weirlog.operators.numbering import measure_splits, with_positions
 from weirlog.operators.segments import due, open_segments, segment, segment_key, segment_names
@@ -30,14 +31,53 @@ ARRIVAL = ("received_at", "collector_type", "record_id")
 
 def number_batch(
     df: DataFrame, batch_id: int, state: BatchState, order: Sequence[str] = ARRIVAL
-) -> DataFrame:
-    """:func:`with_sequence` for a micro-batch, going on after the batch before."""
+) -> tuple[DataFrame, int]:
+    """:func:`with_sequence` for a micro-batch, going on after the batch before; and how many rows it has."""
     spark = df.sparkSession
     before = state.before(spark, batch_id)
     processed = before.first()["processed"] if before is not None else 0
     splits = measure_splits(df, order)
     state.save(spark.range(1).select(F.lit(processed + splits.total).alias("processed")), batch_id)
-    return with_positions(df, order, splits, out="sequence", start=processed + 1).drop("_split")
+    numbered = with_positions(df, order, splits, out="sequence", start=processed + 1).drop("_split")
+    return numbered, splits.total
+
+
+def report_batch(
+    df: DataFrame, batch_id: int, state: BatchState, every: int = schemas.DEFAULT_REPORT_MESSAGES, at: str = "timestamp"
+) -> DataFrame:
+    """The reports of ``every`` messages that a micro-batch closes, each of them once.
+
+    Partial reports, one small row each, are merged with the one that the batch
+    before left open. What stays open is saved, with the running totals and the end of
+    the last report closed, so that a replayed batch closes the same reports.
+    """
+    spark = df.sparkSession
+    partials = reports.count_partials(df, every, at)
+    before = state.before(spark, batch_id)
+    closed_before = None
+    if before is not None:
+        open_ = before.where("report is not null").select(*partials.columns)
+        partials = reports.merge_partials(partials.unionByName(open_))
+        closed_before = before.select(F.col("closed_at").alias("last_at"), "processed", F.col("closed_dropped").alias("dropped"))
+    partials = partials.persist(StorageLevel.MEMORY_AND_DISK)
+    full = F.col("messages") == every
+    found = reports.count_reports(partials.where(full), closed_before).persist(StorageLevel.MEMORY_AND_DISK)
+    ended = partials.where(full).agg(F.max_by("last_at", "report").alias("closed_at"))
+    sums = found.agg(F.max("processed").alias("processed"), F.max("dropped").alias("closed_dropped"))
+    done = ended.crossJoin(F.broadcast(sums))
+    if closed_before is not None:
+        old = closed_before.select(*[F.col(c).alias(f"_{c}") for c in closed_before.columns])
+        done = done.crossJoin(F.broadcast(old)).select(
+            F.coalesce("closed_at", "_last_at").alias("closed_at"),
+            F.coalesce("processed", "_processed").alias("processed"),
+            F.coalesce("closed_dropped", "_dropped").alias("closed_dropped"),
+        )
+    zero = F.lit(0).cast("bigint")
+    done = done.withColumns({c: F.coalesce(c, zero) for c in ("processed", "closed_dropped")})
+    # One row: the totals, and the open report if there is one.
+    state.save(done.join(partials.where(~full), F.lit(True), "left"), batch_id)
+    partials.unpersist()
+    return found
 
 
 def _segment_batch(
@@ -112,6 +152,8 @@ def stream_messages(
     decode: Step | None = None,
     rejects: Step | None = None,
     quarantine: BatchSink | None = None,
+    report: BatchSink | None = None,
+    report_every: int = schemas.DEFAULT_REPORT_MESSAGES,
 ) -> DataStreamWriter:
     """Number, envelope, transform and prune a stream of records, for every sink.
 
@@ -123,10 +165,13 @@ def stream_messages(
     ``rejects`` lists those it refuses, for ``quarantine``. Both must keep
     ``record_id``. Rows without that column get one, in reading order; the batch is
     written down with it, so that a repeated batch has the same. The counts of
-    each batch are saved below ``state``: see :func:`stream_totals`.
+    each batch and of all so far are saved below ``state``: see :func:`stream_totals`.
+    ``report`` gets the throughput reports of ``report_every`` messages that a
+    batch closes.
     """
     folder = state.rstrip("/")
-    numbers, arrivals, totals = (BatchState(f"{folder}/{n}") for n in ("sequence", "arrivals", "totals"))
+    names = ("sequence", "arrivals", "totals", "reports")
+    numbers, arrivals, totals, reported = (BatchState(f"{folder}/{n}") for n in names)
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
@@ -140,7 +185,8 @@ def stream_messages(
                 quarantine(refused_rows, batch_id)
             refused_rows.unpersist()
         taken = (decode(df) if decode is not None else df).persist(StorageLevel.MEMORY_AND_DISK)
-        messages = envelope(number_batch(taken, batch_id, numbers, order))
+        numbered, processed = number_batch(taken, batch_id, numbers, order)
+        messages = envelope(numbered)
         if transformer is not None and replacing:
             messages = replace(messages, transformer)
             messages = messages.persist(StorageLevel.MEMORY_AND_DISK)
@@ -151,12 +197,20 @@ def stream_messages(
             kept = messages
         kept = prune_digest(prune_raw(kept, keep_raw), keep_sha256).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            # One pass computes the batch, keeps it for the sinks and counts what is kept.
+            seen = Observation()
+            kept.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
             for sink in sinks:
                 sink(kept, batch_id)
-            processed = taken.count()
-            counts = (processed, processed - kept.count(), refused)
-            row = spark.createDataFrame([counts], "processed bigint, dropped bigint, rejected bigint")
-            totals.save(row, batch_id)
+            if report is not None:
+                closed = report_batch(messages, batch_id, reported, report_every)
+                report(closed, batch_id)
+                closed.unpersist()
+            counts = {"processed": processed, "dropped": processed - seen.get["rows"], "rejected": refused}
+            before = totals.before(spark, batch_id)
+            earlier = before.first() if before is not None else None
+            so_far = {f"all_{c}": n + (earlier[f"all_{c}"] if earlier else 0) for c, n in counts.items()}
+            totals.save(spark.createDataFrame([{**counts, **so_far}], _TOTALS), batch_id)
         finally:
             kept.unpersist()
             messages.unpersist()
@@ -165,9 +219,20 @@ def stream_messages(
     return records.writeStream.foreachBatch(run)
 
 
+_COUNTS = ("processed", "dropped", "rejected")
+_TOTALS = ", ".join(f"{c} bigint" for c in (*_COUNTS, *[f"all_{c}" for c in _COUNTS]))
+
+
 def stream_totals(spark: SparkSession, state: str) -> DataFrame:
-    """``batch``, ``processed``, ``dropped`` and ``rejected`` of the batches that Spark still keeps."""
-    return spark.read.parquet(f"{state.rstrip('/')}/totals").select("batch", "processed", "dropped", "rejected")
+    """``processed``, ``dropped`` and ``rejected`` of a stream since its beginning, one row."""
+    rows = stream_batches(spark, state)
+    return rows.agg(*[F.max_by(f"all_{c}", "batch").alias(c) for c in _COUNTS])
+
+
+def stream_batches(spark: SparkSession, state: str) -> DataFrame:
+    """``batch``, its counts and those since the beginning (``all_...``), of the batches that Spark still keeps."""
+    rows = spark.read.parquet(f"{state.rstrip('/')}/totals")
+    return rows.select("batch", *_COUNTS, *[f"all_{c}" for c in _COUNTS])
 
 
 def table_sink(path: str) -> BatchSink:
