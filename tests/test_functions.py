@@ -91,6 +91,24 @@ def test_url(spark, target, url, path, query_raw, query):
     assert (got.url, got.url_raw, got.path, got.query_raw, got.query) == (url, target, path, query_raw, query)
 
 
+@pytest.mark.parametrize(
+    "method, target, url, path, query_raw",
+    [
+        ("CONNECT", "example.com:443", "//example.com:443", None, None),
+        ("CONNECT", "example.com:443?a=b", "//example.com:443?a=b", None, "a=b"),
+        ("CONNECT", "[::1]:80", "//[::1]:80", None, None),
+        ("CONNECT", "/rpc", "/rpc", "/rpc", None),
+        ("connect", "/p?x=1", "/p?x=1", "/p", "x=1"),
+        ("GET", "http://h/p", "http://h/p", "/p", None),
+        (None, "/p", "/p", "/p", None),
+    ],
+)
+def test_targets_of_connect(spark, method, target, url, path, query_raw):
+    df = spark.createDataFrame([(target, method)], "t string, m string")
+    got = df.select(split_url(F.col("t"), F.col("m")).alias("x")).first().x
+    assert (got.url, got.url_raw, got.path, got.query_raw) == (url, target, path, query_raw)
+
+
 def test_xml_golden_table(spark):
     cases = {
         "<r><a>1</a></r>": {"r": {"a": 1}},

@@ -404,6 +404,34 @@ def test_totals_of_a_long_stream(spark, folder):
     assert run.stream_batches(spark, f"{folder}/state").count() <= 5
 
 
+def test_cuts_asked_for_while_the_stream_runs(spark, folder):
+    """A cut that lands between two batches splits the open segment; a replayed batch does not see later ones."""
+    rows = [(i, "a", START + timedelta(seconds=10 * i)) for i in range(60)]
+    control = f"{folder}/control"
+    sink = run.segment_sink(f"{folder}/seg", f"{folder}/state", 1000, "1 hour", control=control)
+    start = lambda: run.run_to_end(
+        run.stream_messages(stream(spark, f"{folder}/in"), f"{folder}/state", [sink]), f"{folder}/checkpoint"
+    )
+    land(spark, rows[:20], f"{folder}/in", "1")
+    start()
+    run.ask_for_cut(spark, control, rows[25][2])
+    land(spark, rows[20:40], f"{folder}/in", "2")
+    start()
+    run.ask_for_cut(spark, control, rows[39][2] + timedelta(seconds=1))
+    # The second batch once more, as after a failure.
+    again = spark.createDataFrame([(i + 1, t) for i, _, t in rows[20:40]], "sequence bigint, timestamp timestamp")
+    state = BatchState(f"{folder}/state/segments")
+    seen = [r["cut_at"] for r in BatchState(f"{folder}/state/cuts").before(spark, 2).collect()]
+    assert seen == [rows[25][2]]
+    assert {r.segment for r in run.segment_batch(again, 1, state, 1000, "1 hour", cut_at=seen).collect()} == {0, 1}
+    land(spark, rows[40:], f"{folder}/in", "3")
+    start()
+    found = {}
+    for r in scan_archive(spark, f"{folder}/seg").collect():
+        found.setdefault(r.segment_name, set()).add(r.sequence)
+    assert sorted(map(sorted, found.values())) == [list(range(1, 26)), list(range(26, 41)), list(range(41, 61))]
+
+
 def test_reports_of_batches_equal_those_of_all(spark, folder):
     rows = sorted(make(21, 230), key=lambda r: (r[2], r[0]))
     df = with_sequence(frame(spark, rows), ("received_at", "record_id")).withColumn("dropped", F.col("record_id") % 3 == 0)

@@ -17,11 +17,22 @@ def url_decode(text: Column) -> Column:
     return F.when(~text.rlike(_BAD_ESCAPE), F.try_url_decode(text))
 
 
-def split_url(target: Column) -> Column:
+def split_url(target: Column, method: Column | None = None) -> Column:
     """STRUCT(url, url_raw, path, query_raw, query) of a request target.
 
-    A request target has no fragment: ``#`` belongs to the path or the query.
+    A request target has no fragment: ``#`` belongs to the path or the query. That
+    of the ``method`` CONNECT is a host and port where it does not begin with a slash.
     """
+    if method is not None:
+        asked = target
+        authority = (method == "CONNECT") & ~F.startswith(asked, F.lit("/"))
+        # Behind two slashes and a scheme the same rules find the host; the scheme goes again.
+        target = F.when(authority, F.concat(F.lit("http://"), asked)).otherwise(asked)
+        found = split_url(target)
+        url = F.when(authority, F.substr(found["url"], F.lit(6))).otherwise(found["url"])
+        return F.struct(
+            url.alias("url"), asked.alias("url_raw"), *[found[n].alias(n) for n in ("path", "query_raw", "query")]
+        )
     before = F.substring_index(target, "?", 1)
     query_raw = F.when(
         F.contains(target, F.lit("?")), F.substring(target, F.length(before) + 2, F.length(target))

@@ -96,7 +96,8 @@ def trim_structured(text: Column, media_type: Column) -> tuple[Column, Column]:
 
 def split_target(df: DataFrame, target: str = "request_uri") -> DataFrame:
     """Add ``target``: url, url_raw, path, query_raw and the query map."""
-    return df.withColumn("target", split_url(F.col(target)))
+    method = F.col("method") if "method" in df.columns else None
+    return df.withColumn("target", split_url(F.col(target), method))
 
 
 def fold_case(df: DataFrame) -> DataFrame:
@@ -187,7 +188,8 @@ def http_records(
     ``keep`` names input columns to carry along, such as a record id. The column
     ``outcome`` may be kept too.
     """
-    df = split_target(fold_case(_parse(drop_heartbeats(df), parse_json, parse_xml)))
+    # Methods are told apart by case, so the target is read before that is folded.
+    df = fold_case(split_target(_parse(drop_heartbeats(df), parse_json, parse_xml)))
     http = F.struct(
         F.lit(schemas.HTTP_SCHEMA).alias("schema"),
         blank_to_null(F.col("proto")).alias("protocol"),

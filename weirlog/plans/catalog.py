@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
-import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -18,7 +16,7 @@ from weirlog.operators import audit, envelope as env, http, render, reports, seg
 from weirlog.operators.numbering import with_sequence
 from weirlog.plans import fixtures as fx
 from weirlog.session import configure, new_folder
-from weirlog.sinks.files import archive, fan_out, write_console, write_segments
+from weirlog.sinks.files import archive, console_text, fan_out, write_segments
 from weirlog.sources.archive import scan_archive
 from weirlog.sources.frames import scan_http, scan_syslog, throttle
 from weirlog.streaming import run
@@ -693,35 +691,17 @@ def frame_blank_lines(spark, sf_dir):
     return _framing(spark, sf_dir, "blank-lines")
 
 
-class _Printed:
-    """Counts what is printed instead of keeping it."""
-
-    def __init__(self):
-        self.messages, self.first, self.last, self.ordered = 0, None, None, True
-
-    def write(self, text):
-        if not text.strip():
-            return
-        number = json.loads(text)["sequence"]
-        self.ordered &= self.last is None or number > self.last
-        self.first = number if self.first is None else self.first
-        self.last, self.messages = number, self.messages + 1
-
-    def flush(self):
-        pass
-
-
 @query
 def write_console_(spark, sf_dir):
-    """What the console sink printed: how many messages, from which to which, and whether in order."""
-    table = new_folder(spark, "messages")
-    _sequenced_messages(spark, sf_dir).drop("record_id").write.parquet(table)
-    printed = _Printed()
-    with contextlib.redirect_stdout(printed):
-        write_console(spark.read.parquet(table))
-    return spark.createDataFrame(
-        [(printed.messages, printed.first, printed.last, printed.ordered)],
-        "messages bigint, first_sequence bigint, last_sequence bigint, ordered boolean",
+    """What the console prints, message by message: its text read as JSON, and its frame."""
+    rows = console_text(_sequenced_messages(spark, sf_dir).drop("record_id"))
+    member = lambda path: F.get_json_object("value", path)
+    return rows.select(
+        "sequence",
+        member("$.sequence").cast("bigint").alias("printed_sequence"),
+        member("$.message_sha256").alias("message_sha256"),
+        F.sha2(member("$.message_text"), 256).alias("text_sha256"),
+        F.endswith("value", F.lit("}\n")).alias("framed"),
     )
 
 

@@ -504,8 +504,8 @@ ORACLES["scan_archive"] = (
 )
 ORACLES["write_console"] = (
     _with(*_ALL, _NUMBERED)
-    + """select count(*) as messages, min(sequence) as first_sequence, max(sequence) as last_sequence,
- true as ordered from numbered"""
+    + """select sequence, sequence as printed_sequence, message_sha256, sha256(message_text) as text_sha256,
+ true as framed from numbered"""
 )
 _STORED = (
     "rows_ as (select sequence as record_id, received_at as ts, message_sha256, '' as series,"

@@ -34,6 +34,12 @@ def writer_options(codec: str = "none", level: int = schemas.DEFAULT_COMPRESSION
     return options
 
 
+def console_text(df: DataFrame, pretty: bool = True, framing: str = "blank-lines") -> DataFrame:
+    """What the console prints for each message, as column ``value`` beside ``sequence``, in order."""
+    rows = df.orderBy("sequence") if "sequence" in df.columns else df.withColumn("sequence", F.lit(None).cast("bigint"))
+    return with_json(rows, pretty).select("sequence", frame(F.col("json"), framing).alias("value"))
+
+
 def write_console(df: DataFrame, pretty: bool = True, framing: str = "blank-lines"):
     """A debugging sink: every message, framed, on standard output in order.
 
@@ -42,8 +48,7 @@ def write_console(df: DataFrame, pretty: bool = True, framing: str = "blank-line
     """
 
     def show(rows: DataFrame, batch_id: int | None = None) -> None:
-        rows = rows.orderBy("sequence") if "sequence" in rows.columns else rows
-        for row in with_json(rows, pretty).select(frame(F.col("json"), framing).alias("value")).toLocalIterator():
+        for row in console_text(rows, pretty, framing).select("value").toLocalIterator():
             print(row.value)
 
     return df.writeStream.foreachBatch(show) if df.isStreaming else show(df)

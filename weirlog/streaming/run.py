@@ -21,6 +21,7 @@ from weirlog.operators.envelope import envelope, prune_digest, prune_raw
 from weirlog.operators.numbering import measure_splits, with_positions
 from weirlog.operators.segments import due, open_segments, segment, segment_key, segment_names
 from weirlog.operators.transform import Transformer, drop_null_replacements, enrich, replace
+from weirlog.session import folder_exists
 from weirlog.sinks.files import archive, write_console, write_segments
 from weirlog.streaming.state import BatchState
 
@@ -258,6 +259,7 @@ def segment_sink(
     archive_prefix: str | None = None,
     archive_suffix: str | None = None,
     clock: Callable[[], datetime] | None = None,
+    control: str | None = None,
     **naming,
 ) -> BatchSink:
     """Messages as segment files. A segment may get one file from each batch it spans.
@@ -266,11 +268,16 @@ def segment_sink(
     after each batch those that are closed are moved there, compressed, under
     their archived names: all but the last of a token, and the last too once
     ``clock`` (by default the batch's latest message) finds it :func:`due`. A message
-    that comes later still adds its batch's file to the archived segment. The
+    that comes later still adds its batch's file to the archived segment.
+
+    ``control`` is a folder of Parquet files with a column ``cut_at``: the open
+    segment is closed at each of these instants, also at those that land while the
+    stream runs (see :func:`ask_for_cut`). A batch sees the cuts that are there when it first
+    runs; they are written down, so that a replayed batch sees the same. The
     state has a row for each token and key, and for each segment not moved yet.
     """
     folder = state.rstrip("/")
-    opened, waiting = BatchState(f"{folder}/segments"), BatchState(f"{folder}/waiting")
+    opened, waiting, cuts = (BatchState(f"{folder}/{n}") for n in ("segments", "waiting", "cuts"))
     prefix, suffix = naming.get("prefix", ""), naming.get("suffix", schemas.DEFAULT_SUFFIX)
     names = [*keys, "token", "segment"]
 
@@ -304,9 +311,20 @@ def segment_sink(
         if not closed.isEmpty():
             archive(spark, store, archive_store, archive_codec, archive_level, closed)
 
+    def cuts_of(spark: SparkSession, batch_id: int) -> list[datetime]:
+        if control is None or not folder_exists(spark, control):
+            asked = spark.createDataFrame([], _CUT)
+        else:
+            asked = spark.read.schema(_CUT).option("recursiveFileLookup", "true").parquet(control)
+        # As many rows as cuts were ever asked for.
+        found = cuts.once(asked.where("cut_at is not null").distinct(), batch_id)
+        micros = found.select(F.unix_micros("cut_at").alias("at")).collect()
+        return [*cut_at, *[datetime.fromtimestamp(r["at"] / 1_000_000, timezone.utc) for r in micros]]
+
     def sink(df: DataFrame, batch_id: int) -> None:
+        asked = cuts_of(df.sparkSession, batch_id)
         rows, held = _segment_batch(
-            df, batch_id, opened, messages, timeout, layout, keys, "timestamp", ("sequence",), cut_at
+            df, batch_id, opened, messages, timeout, layout, keys, "timestamp", ("sequence",), asked
         )
         try:
             write_segments(
@@ -320,6 +338,16 @@ def segment_sink(
     return sink
 
 
+_CUT = "cut_at timestamp"
+
+
+def ask_for_cut(spark: SparkSession, control: str, at: datetime) -> None:
+    """Land a cut for the streams that read the folder: the segment open at that instant is closed there."""
+    micros = round((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1_000_000)
+    row = spark.range(1).select(F.timestamp_micros(F.lit(micros)).alias("cut_at"))
+    row.write.mode("append").parquet(control)
+
+
 def console_sink(pretty: bool = True, framing: str = "blank-lines") -> BatchSink:
     """The messages of each batch on standard output, for debugging."""
     return lambda df, batch_id: write_console(df, pretty, framing)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weirlog.session import remove_folder
+from weirlog.session import folder_exists, remove_folder
 
 RETAINED = "spark.sql.streaming.minBatchesToRetain"
 
@@ -38,7 +38,6 @@ class BatchState:
     def once(self, df: DataFrame, batch_id: int) -> DataFrame:
         """The batch's table as first saved: what a repeated batch finds is not written again."""
         spark = df.sparkSession
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{self._path(batch_id)}/_SUCCESS")
-        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        if folder_exists(spark, f"{self._path(batch_id)}/_SUCCESS"):
             return spark.read.schema(df.schema).parquet(self._path(batch_id))
         return self.save(df, batch_id)
