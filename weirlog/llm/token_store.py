@@ -18,7 +18,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 512
 TEXTS_AT_ONCE = 256
-JOINED = 128
+JOINED = 512
 REMEMBERED = 300_000  # pieces of text whose ids a worker keeps
 
 # Texts of these characters alone are cut here by the byte-level tokenizer's own rule,
@@ -67,6 +67,10 @@ class Encoder:
             and cutter.use_regex
             and self.library.normalizer is None
         )
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.sizes[number] = len(token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,28 +80,47 @@ class Encoder:
         return self.cuts and _SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
     def _learn(self, pieces: set[str]) -> None:
-        """Words behind a blank stay apart when joined, so many go to the library as one text."""
+        """Words behind a blank stay apart when joined, so many go to the library as one text.
+
+        A byte-level token has as many characters as it stands for bytes, which
+        tells where in the ids a word ends.
+        """
         apart = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
         other = list(pieces.difference(apart))
         self.known.update(zip(other, self._whole(other)))
-        groups = [apart[i : i + JOINED] for i in range(0, len(apart), JOINED)]
-        for group, e in zip(groups, self.library.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, "<i4").tobytes()
-            ends = np.cumsum(4 * np.bincount(e.word_ids, minlength=len(group))).tolist()
-            self.known.update((p, ids[i:j]) for p, i, j in zip(group, [0, *ends], ends))
+        if not apart:
+            return
+        groups = ["".join(apart[i : i + JOINED]) for i in range(0, len(apart), JOINED)]
+        found = self.library.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, "<i4") for e in found])
+        stops = np.cumsum([len(p.encode()) for p in apart])
+        ends = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1)
+        ids, ends = ids.tobytes(), ends.tolist()
+        self.known.update((p, ids[i:j]) for p, i, j in zip(apart, [0, *ends], ends))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special tokens."""
         pieces = [_PIECE.findall(t) if self._simple(t) else None for t in texts]
         whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        cut = [p for p in pieces if p is not None]
-        new = set(filterfalse(self.known.__contains__, chain.from_iterable(cut)))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = set(chain.from_iterable(cut))
+        every = list(chain.from_iterable(p for p in pieces if p is not None))
+        found = list(map(self.known.get, every))
+        new = {p for p, ids in zip(every, found) if ids is None}
         self._learn(new)
-        find = self.known.__getitem__
-        return [np.frombuffer(next(whole) if p is None else b"".join(map(find, p)), "<i4") for p in pieces]
+        if new:
+            find = self.known.__getitem__
+            found = [find(p) if ids is None else ids for p, ids in zip(every, found)]
+        out, at = [], 0
+        for p in pieces:
+            if p is None:
+                out.append(np.frombuffer(next(whole), "<i4"))
+            else:
+                out.append(np.frombuffer(b"".join(found[at : at + len(p)]), "<i4"))
+                at += len(p)
+        if len(self.known) > REMEMBERED:
+            # What was met first is what is met most; the pieces met last are mostly rare.
+            for piece in new:
+                del self.known[piece]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
