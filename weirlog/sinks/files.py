@@ -93,11 +93,15 @@ def write_segments(
         "sequence",
         frame(F.col("json"), framing).alias("value"),
     )
-    writer = df.sortWithinPartitions(*folders, "sequence").drop("sequence").write
+    # A folder that is the same for all rows would drop out of the sort as a constant; the
+    # writer would then sort by the folders again, and the order of the messages be lost.
+    nothing = F.substring("value", 1, 0)
+    df = df.withColumns({name: F.concat(name, nothing) for name in folders})
     if batch is not None:
-        df = df.withColumn("batch", F.lit(batch))
+        df = df.withColumn("batch", F.length(nothing) + batch)
         folders.append("batch")
-        writer = df.sortWithinPartitions(*folders, "sequence").drop("sequence").write
+    writer = df.sortWithinPartitions(*folders, "sequence").drop("sequence").write
+    if batch is not None:
         writer = writer.option("partitionOverwriteMode", "dynamic")
         mode = "overwrite"
     writer.mode(mode).options(**writer_options(codec, level)).partitionBy(*folders).text(store)

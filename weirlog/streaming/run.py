@@ -30,10 +30,10 @@ BatchSink = Callable[[DataFrame, int], None]
 ARRIVAL = ("received_at", "collector_type", "record_id")
 
 
-def number_batch(
-    df: DataFrame, batch_id: int, state: BatchState, order: Sequence[str] = ARRIVAL
+def _number_batch(
+    df: DataFrame, batch_id: int, state: BatchState, order: Sequence[str]
 ) -> tuple[DataFrame, int]:
-    """:func:`with_sequence` for a micro-batch, going on after the batch before; and how many rows it has."""
+    """The numbered rows, and how many they are."""
     spark = df.sparkSession
     before = state.before(spark, batch_id)
     processed = before.first()["processed"] if before is not None else 0
@@ -43,6 +43,13 @@ def number_batch(
     return numbered, splits.total
 
 
+def number_batch(
+    df: DataFrame, batch_id: int, state: BatchState, order: Sequence[str] = ARRIVAL
+) -> DataFrame:
+    """:func:`with_sequence` for a micro-batch, going on after the batch before."""
+    return _number_batch(df, batch_id, state, order)[0]
+
+
 def report_batch(
     df: DataFrame, batch_id: int, state: BatchState, every: int = schemas.DEFAULT_REPORT_MESSAGES, at: str = "timestamp"
 ) -> DataFrame:
@@ -186,7 +193,7 @@ def stream_messages(
                 quarantine(refused_rows, batch_id)
             refused_rows.unpersist()
         taken = (decode(df) if decode is not None else df).persist(StorageLevel.MEMORY_AND_DISK)
-        numbered, processed = number_batch(taken, batch_id, numbers, order)
+        numbered, processed = _number_batch(taken, batch_id, numbers, order)
         messages = envelope(numbered)
         if transformer is not None and replacing:
             messages = replace(messages, transformer)
