@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirlog.llm import contamination, line_dedup, near_copies, packing, quality, simhash
+from weirlog.llm import contamination, line_dedup, packing, quality, simhash
 from weirlog.llm.catalog import table, trusted_ids
 from weirlog.session import configure, new_folder
 
@@ -27,8 +27,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
-    return simhash.keep_one_of_each(docs, words=near_copies.WORDS, find=near_copies.near_copies)
+    """One document of each group of near copies stays: three-word shingles, three bits at most."""
+    return simhash.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
