@@ -61,7 +61,7 @@ class Plain:
         ]
 
 
-@pytest.mark.parametrize("rows", [4_000_000, 0])
+@pytest.mark.parametrize("rows", [4_000_000, 40_000, 0])
 def test_costs_like_a_plain_model(spark, monkeypatch, rows):
     monkeypatch.setattr(quality, "BROADCAST_ROWS", rows)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")

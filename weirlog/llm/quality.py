@@ -5,11 +5,15 @@ of the text so that copies fall on one side. Counts are aggregates, combined
 before their shuffle. All bigrams are kept; words that follow one word only are
 given the share of an unknown word.
 
-Scoring joins the words and word pairs of all documents to those tables by
-hash: words and the most frequent pairs as broadcasts, as many as are counted to
-be small, the others sharded by key. So a word is only shuffled if its pair is
-rare or unseen, as hashes; the sum of a document finds it by a hash of its key. Log probabilities are summed as integers, so that a result does not
-depend on the order of the sum.
+A document first costs what its words cost by the lower order, which is summed
+where they are read; each pair of the model knows what it saves, and a join
+adds that up. Words and the most frequent pairs are broadcast, as many as are
+counted to be small, the others sharded by key. A broadcast filter of the rare
+pairs (a blocked Bloom filter) decides which tokens can have one at all, and only
+those are shuffled, as two hashes. The filter is bounded; where the pairs are too
+many for it, all tokens whose pair is not frequent are shuffled, with the same
+result. Log probabilities are summed as integers, so that a result does not depend
+on the order of the sum.
 
 A document is rejected if its score is high above those of held-out trusted
 documents of its language: above their 99th percentile by more than half the
@@ -18,6 +22,8 @@ way from the median to it. Scores of short documents are drawn to the median.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +35,10 @@ EDGE = 0  # stands for the start and the end of a text
 MICRO = 1_000_000
 CUTOFF = 1  # bigrams seen less often are left to the lower order: none
 BROADCAST_ROWS = 2_000_000  # in all, of some 80 bytes as a hash table
+OFTEN = 4  # one in so many of the rows that words leave is a frequent pair, the others are filter blocks
+LANES = 4  # 64-bit words of a filter block; a pair sets one bit in each
+PAIRS_A_BLOCK = 16
+USELESS = 128  # pairs a block at which the filter lets over half of all tokens pass
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
 QUANTILE = 0.99
@@ -77,7 +87,7 @@ class Model:
         )
         self.after = _discounts(counts, "c")
         kept = counts.where(F.col("c") >= CUTOFF)
-        self.pairs = kept.select(F.xxhash64("v", "w").alias("pair"), "c")
+        self.pairs = kept.select(F.xxhash64("v", "w").alias("pair"), "v", "w", "c")
         taken = F.sum(F.when(F.col("c") >= CUTOFF, _discounted(F.col("c"), self.after)))
         total = F.sum("c")
         back_off = counts.groupBy("v").agg(
@@ -102,8 +112,8 @@ class Model:
         )
         self.words = scratch.table(words, "words")
 
-    def scores(self, docs: DataFrame, *keep: str) -> DataFrame:
-        """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
+    def _spread(self) -> tuple[list[tuple[DataFrame, str]], int]:
+        """The tables of words with their keys, as broadcasts where they are counted to be small, and the rows left for others."""
         # Rows that say no more than the defaults do are not sent.
         before = self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off")
         alone = self.words.where(F.col("alone") > self.unknown).select(F.col("word").alias("w"), "alone")
@@ -112,36 +122,68 @@ class Model:
             small = n <= room
             room -= n if small else 0
             tables.append((F.broadcast(part) if small else part.hint("merge"), key))
+        return tables, room
+
+    def _filter(self, rare: DataFrame, n: int, blocks: int) -> Callable[[DataFrame], DataFrame]:
+        """A filter of word pairs that lets all of ``rare`` (``n`` rows) and few others pass."""
+        blocks = min(blocks, n // PAIRS_A_BLOCK + 1)
+        if n > blocks * USELESS:
+            return lambda tokens: tokens
+        # Pairs that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
+        parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        each = blocks // parts + 1
+        block = F.pmod(F.hash("v", "w"), F.lit(parts)).cast("bigint") * each + F.pmod("pair", F.lit(each))
+        one = F.lit(1).cast("bigint")
+        marks = [
+            F.call_function("shiftleft", one, F.shiftrightunsigned("pair", 40 + 6 * i).bitwiseAND(63).cast("int"))
+            for i in range(LANES)
+        ]
+        lanes = [f"lane{i}" for i in range(LANES)]
+        filled = rare.select(block.alias("block"), *[m.alias(x) for m, x in zip(marks, lanes)])
+        filled = F.broadcast(filled.groupBy("block").agg(*[F.bit_or(x).alias(x) for x in lanes]))
+
+        def run(tokens: DataFrame) -> DataFrame:
+            met = tokens.withColumn("block", block).join(filled, "block")
+            for mark, lane in zip(marks, lanes):
+                met = met.where(F.col(lane).bitwiseAND(mark) != 0)
+            return met.drop("block", *lanes)
+
+        return run
+
+    def scores(self, docs: DataFrame, *keep: str) -> DataFrame:
+        """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
+        tables, room = self._spread()
         doc = F.xxhash64(*keep).alias("doc")
         tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
+        micro = lambda share: F.round(-F.log(share) * MICRO).cast("bigint")
 
         def weighed(rows: DataFrame) -> DataFrame:
             for part, key in tables:
-                rows = rows.join(part, key, "left").drop(key)
+                rows = rows.join(part, key, "left")
             lower = F.coalesce("back_off", F.lit(1.0)) * F.coalesce("alone", F.lit(self.unknown))
             return rows.withColumn("lower", lower).drop("back_off", "alone")
 
-        def summed(rows: DataFrame) -> DataFrame:
-            seen = F.when(F.col("c").isNotNull(), _discounted(F.col("c"), self.after) / F.col("total"))
-            share = F.coalesce(seen, F.lit(0.0)) + F.col("lower")
-            cost = F.round(-F.log(share) * MICRO).cast("bigint")
-            return rows.groupBy("doc").agg(F.sum(cost).alias("cost"))
-
-        # Pairs that are seen often are sent to the words; only the words of the others are shuffled.
+        # Pairs that are seen often are sent to the words; tokens of the others that the filter lets pass are shuffled.
         levels = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]
         seen = self.pairs.agg(*[F.count_if(F.col("c") >= i).alias(f"n{i}") for i in levels]).first()
-        level = next((i for i in levels if seen[f"n{i}"] <= room), 1 << 40)
-        often = F.broadcast(self.pairs.where(F.col("c") >= level))
-        if level == 1:
-            costs = summed(weighed(tokens.join(often, "pair", "left")))
-        else:
-            others = weighed(tokens.join(often.select("pair"), "pair", "left_anti"))
-            others = others.join(self.pairs.where(F.col("c") < level).hint("merge"), "pair", "left")
-            costs = summed(weighed(tokens.join(often, "pair"))).unionByName(summed(others))
-            costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"))
-        counted = docs.select(*keep, F.size(token_pairs(F.col("text"))).alias("n")).groupBy(*keep)
-        counted = counted.agg(F.sum("n").alias("n_tokens")).withColumn("doc", doc)
-        return counted.join(costs, "doc").select(*keep, "cost", "n_tokens")
+        level = next((i for i in levels if seen[f"n{i}"] <= room // OFTEN), 1 << 40)
+        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("lower")
+        saved = weighed(self.pairs).select("pair", "c", (micro(share) - micro(F.col("lower"))).alias("saved"))
+        often = F.broadcast(saved.where(F.col("c") >= level).drop("c"))
+        near = weighed(tokens.join(often, "pair", "left"))
+        cost = micro(F.col("lower")) + F.coalesce("saved", F.lit(0))
+        costs = near.groupBy("doc").agg(F.sum(cost).alias("cost"), F.count("*").alias("n_tokens"))
+        if level > 1:
+            rest = room - seen.asDict().get(f"n{level}", 0)
+            rare = self.pairs.where(F.col("c") < level)
+            met = self._filter(rare, seen["n1"], rest)(tokens).select("doc", "pair")
+            met = met.join(often.select("pair"), "pair", "left_anti")
+            found = met.join(saved.where(F.col("c") < level).drop("c").hint("merge"), "pair")
+            found = found.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
+            costs = costs.unionByName(found).groupBy("doc").agg(
+                F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens")
+            )
+        return docs.select(*keep).distinct().withColumn("doc", doc).join(costs, "doc").select(*keep, "cost", "n_tokens")
 
 
 def _quantile(bins: DataFrame, q: float, name: str) -> DataFrame:
