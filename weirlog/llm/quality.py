@@ -37,7 +37,7 @@ CUTOFF = 1  # bigrams seen less often are left to the lower order: none
 BROADCAST_ROWS = 2_000_000  # in all, of some 80 bytes as a hash table
 OFTEN = 4  # one in so many of the rows that words leave is a frequent pair, the others are filter blocks
 LANES = 4  # 64-bit words of a filter block; a pair sets one bit in each
-PAIRS_A_BLOCK = 16
+PAIRS_A_BLOCK = 32
 USELESS = 128  # pairs a block at which the filter lets over half of all tokens pass
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
@@ -49,16 +49,14 @@ ENOUGH = 50  # held-out documents that a language needs to have a stricter limit
 POOLED = "*"
 
 
-def token_pairs(text: Column) -> Column:
+def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
     """Hashes ``v``, ``w`` of each two neighbouring words, the text's edges included."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
+    # A column of its own, or a text is cut into words once for ``v`` and once for ``w``.
+    hashed = docs.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
     edge = F.array(F.lit(EDGE).cast("bigint"))
-    return F.arrays_zip(F.concat(edge, hashes).alias("v"), F.concat(hashes, edge).alias("w"))
-
-
-def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
-    return docs.select(*keep, F.explode(token_pairs(F.col("text"))).alias("p")).select(*keep, "p.v", "p.w")
+    zipped = F.arrays_zip(F.concat(edge, F.col("hashes")).alias("v"), F.concat(F.col("hashes"), edge).alias("w"))
+    return hashed.select(*keep, F.explode(zipped).alias("p")).select(*keep, "p.v", "p.w")
 
 
 def _discounts(counts: DataFrame, column: str) -> list[float]:
@@ -82,6 +80,7 @@ class Model:
     """``pairs`` (``pair``, ``c``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
 
     def __init__(self, trusted: DataFrame, scratch: Scratch):
+        self.scratch = scratch
         counts = scratch.table(
             _pairs(trusted).groupBy("v", "w").agg(F.count("*").alias("c")).sortWithinPartitions("v"), "pairs"
         )
@@ -112,18 +111,6 @@ class Model:
         )
         self.words = scratch.table(words, "words")
 
-    def _spread(self) -> tuple[list[tuple[DataFrame, str]], int]:
-        """The tables of words with their keys, as broadcasts where they are counted to be small, and the rows left for others."""
-        # Rows that say no more than the defaults do are not sent.
-        before = self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off")
-        alone = self.words.where(F.col("alone") > self.unknown).select(F.col("word").alias("w"), "alone")
-        tables, parts, room = [], [(before.count(), before, "v"), (alone.count(), alone, "w")], BROADCAST_ROWS
-        for n, part, key in sorted(parts, key=lambda p: p[0]):
-            small = n <= room
-            room -= n if small else 0
-            tables.append((F.broadcast(part) if small else part.hint("merge"), key))
-        return tables, room
-
     def _filter(self, rare: DataFrame, n: int, blocks: int) -> Callable[[DataFrame], DataFrame]:
         """A filter of word pairs that lets all of ``rare`` (``n`` rows) and few others pass."""
         blocks = min(blocks, n // PAIRS_A_BLOCK + 1)
@@ -152,27 +139,31 @@ class Model:
 
     def scores(self, docs: DataFrame, *keep: str) -> DataFrame:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
-        tables, room = self._spread()
         doc = F.xxhash64(*keep).alias("doc")
         tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
+        n = self.words.count()
+        small = n <= BROADCAST_ROWS
+        room = BROADCAST_ROWS - n if small else BROADCAST_ROWS
+        spread = F.broadcast if small else lambda table: table.hint("merge")
         micro = lambda share: F.round(-F.log(share) * MICRO).cast("bigint")
-
-        def weighed(rows: DataFrame) -> DataFrame:
-            for part, key in tables:
-                rows = rows.join(part, key, "left")
-            lower = F.coalesce("back_off", F.lit(1.0)) * F.coalesce("alone", F.lit(self.unknown))
-            return rows.withColumn("lower", lower).drop("back_off", "alone")
+        # Every word of a text, and its edge, is the first of one pair and the second of another.
+        left, own = micro(F.col("back_off")), micro(F.col("alone"))
+        lower = spread(self.words.select(F.col("word").alias("w"), (left + own).alias("low")))
+        first = spread(self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off"))
+        second = spread(self.words.select(F.col("word").alias("w"), "alone"))
 
         # Pairs that are seen often are sent to the words; tokens of the others that the filter lets pass are shuffled.
         levels = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]
         seen = self.pairs.agg(*[F.count_if(F.col("c") >= i).alias(f"n{i}") for i in levels]).first()
         level = next((i for i in levels if seen[f"n{i}"] <= room // OFTEN), 1 << 40)
-        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("lower")
-        saved = weighed(self.pairs).select("pair", "c", (micro(share) - micro(F.col("lower"))).alias("saved"))
+        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("back_off") * F.col("alone")
+        saved = self.pairs.join(first, "v").join(second, "w").select("pair", "c", (micro(share) - left - own).alias("saved"))
         often = F.broadcast(saved.where(F.col("c") >= level).drop("c"))
-        near = weighed(tokens.join(often, "pair", "left"))
-        cost = micro(F.col("lower")) + F.coalesce("saved", F.lit(0))
+        near = tokens.join(lower, "w", "left").join(often, "pair", "left")
+        cost = F.coalesce("low", micro(F.lit(self.unknown))) + F.coalesce("saved", F.lit(0))
         costs = near.groupBy("doc").agg(F.sum(cost).alias("cost"), F.count("*").alias("n_tokens"))
+        # Written first, so that its broadcasts are gone when those of the rare pairs are made.
+        costs = self.scratch.table(costs, "costs")
         if level > 1:
             rest = room - seen.asDict().get(f"n{level}", 0)
             rare = self.pairs.where(F.col("c") < level)
