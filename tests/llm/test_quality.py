@@ -44,7 +44,7 @@ class Plain:
             follows[w] += 1
         d, e = discounts(pairs.values()), discounts(follows.values())
         self.seen = {(v, w): (c - d[min(c, 3) - 1]) / total[v] for (v, w), c in pairs.items() if c >= quality.CUTOFF}
-        own = {w: (c - e[min(c, 3) - 1]) / len(pairs) for w, c in follows.items() if c > 1}
+        own = {w: (c - e[min(c, 3) - 1]) / len(pairs) for w, c in follows.items()}
         self.unknown = (1 - sum(own.values())) / (len(follows) + 1)
         self.own = own
         self.used = defaultdict(float)

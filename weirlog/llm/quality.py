@@ -2,8 +2,7 @@
 
 The model is trained on all trusted texts but a held-out fifth, chosen by a hash
 of the text so that copies fall on one side. Counts are aggregates, combined
-before their shuffle. All bigrams are kept; words that follow one word only are
-given the share of an unknown word.
+before their shuffle. All bigrams and all continuations are kept.
 
 A document first costs what its words cost by the lower order, which is summed
 where they are read; each pair of the model knows what it saves, and a join
@@ -96,7 +95,7 @@ class Model:
         follows = scratch.table(counts.groupBy("w").agg(F.count("*").alias("c")), "follows")
         single = _discounts(follows, "c")
         shape = follows.agg(F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("pairs")).first()
-        known = follows.where("c > 1").select(
+        known = follows.select(
             F.col("w").alias("word"), (_discounted(F.col("c"), single) / F.lit(max(1, shape["pairs"]))).alias("own")
         )
         known = scratch.table(known, "known")
