@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirlog.llm.rows import pack, quoted, unpack
-from weirlog.session import Scratch
+from weirlog.session import Scratch, remove_folder
 
 WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 EDGE = 0  # stands for the start and the end of a text
@@ -75,17 +75,20 @@ def _discounted(count: Column, d: list[float]) -> Column:
     return count - F.when(count == 1, d[0]).when(count == 2, d[1]).otherwise(d[2])
 
 
+def micro(share: Column) -> Column:
+    return F.round(-F.log(share) * MICRO).cast("bigint")
+
+
 class Model:
-    """``pairs`` (``pair``, ``c``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
+    """``pairs`` (``pair``, ``part``, ``c``, ``saved``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
 
     def __init__(self, trusted: DataFrame, scratch: Scratch):
         self.scratch = scratch
         counts = scratch.table(
             _pairs(trusted).groupBy("v", "w").agg(F.count("*").alias("c")).sortWithinPartitions("v"), "pairs"
         )
+        folder = scratch.folders[-1]
         self.after = _discounts(counts, "c")
-        kept = counts.where(F.col("c") >= CUTOFF)
-        self.pairs = kept.select(F.xxhash64("v", "w").alias("pair"), "v", "w", "c")
         taken = F.sum(F.when(F.col("c") >= CUTOFF, _discounted(F.col("c"), self.after)))
         total = F.sum("c")
         back_off = counts.groupBy("v").agg(
@@ -109,6 +112,28 @@ class Model:
             (F.coalesce("own", F.lit(0.0)) + self.unknown).alias("alone"),
         )
         self.words = scratch.table(words, "words")
+        n = self.words.count()
+        small = n <= BROADCAST_ROWS
+        self.room = BROADCAST_ROWS - n if small else BROADCAST_ROWS
+        self.spread = F.broadcast if small else lambda table: table.hint("merge")
+        # What a pair saves, in its part of the shuffle that counted it; the words of pairs are of no more use then.
+        self.parts = int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        first = self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off")
+        second = self.words.select(F.col("word").alias("w"), "alone")
+        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("back_off") * F.col("alone")
+        saved = micro(share) - micro(F.col("back_off")) - micro(F.col("alone"))
+        pairs = counts.where(F.col("c") >= CUTOFF).join(self.spread(first), "v").join(self.spread(second), "w")
+        self.pairs = scratch.table(
+            pairs.select(
+                F.xxhash64("v", "w").alias("pair"),
+                F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part"),
+                "c",
+                saved.alias("saved"),
+            ),
+            "saved",
+        )
+        remove_folder(trusted.sparkSession, folder)
+        scratch.folders.remove(folder)
 
     def _filter(self, rare: DataFrame, n: int, blocks: int) -> Callable[[DataFrame], DataFrame]:
         """A filter of word pairs that lets all of ``rare`` (``n`` rows) and few others pass."""
@@ -116,9 +141,8 @@ class Model:
         if n > blocks * USELESS:
             return lambda tokens: tokens
         # Pairs that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
-        parts = int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        each = blocks // parts + 1
-        block = F.pmod(F.hash("v", "w"), F.lit(parts)).cast("bigint") * each + F.pmod("pair", F.lit(each))
+        each = blocks // self.parts + 1
+        block = F.col("part").cast("bigint") * each + F.pmod("pair", F.lit(each))
         one = F.lit(1).cast("bigint")
         marks = [
             F.call_function("shiftleft", one, F.shiftrightunsigned("pair", 40 + 6 * i).bitwiseAND(63).cast("int"))
@@ -129,10 +153,11 @@ class Model:
         filled = F.broadcast(filled.groupBy("block").agg(*[F.bit_or(x).alias(x) for x in lanes]))
 
         def run(tokens: DataFrame) -> DataFrame:
-            met = tokens.withColumn("block", block).join(filled, "block")
+            part = F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part")
+            met = tokens.select("doc", "pair", part).withColumn("block", block).join(filled, "block")
             for mark, lane in zip(marks, lanes):
                 met = met.where(F.col(lane).bitwiseAND(mark) != 0)
-            return met.drop("block", *lanes)
+            return met.select("doc", "pair")
 
         return run
 
@@ -140,35 +165,25 @@ class Model:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
         doc = F.xxhash64(*keep).alias("doc")
         tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
-        n = self.words.count()
-        small = n <= BROADCAST_ROWS
-        room = BROADCAST_ROWS - n if small else BROADCAST_ROWS
-        spread = F.broadcast if small else lambda table: table.hint("merge")
-        micro = lambda share: F.round(-F.log(share) * MICRO).cast("bigint")
         # Every word of a text, and its edge, is the first of one pair and the second of another.
-        left, own = micro(F.col("back_off")), micro(F.col("alone"))
-        lower = spread(self.words.select(F.col("word").alias("w"), (left + own).alias("low")))
-        first = spread(self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off"))
-        second = spread(self.words.select(F.col("word").alias("w"), "alone"))
+        low = micro(F.col("back_off")) + micro(F.col("alone"))
+        lower = self.spread(self.words.select(F.col("word").alias("w"), low.alias("low")))
 
         # Pairs that are seen often are sent to the words; tokens of the others that the filter lets pass are shuffled.
         levels = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]
         seen = self.pairs.agg(*[F.count_if(F.col("c") >= i).alias(f"n{i}") for i in levels]).first()
-        level = next((i for i in levels if seen[f"n{i}"] <= room // OFTEN), 1 << 40)
-        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("back_off") * F.col("alone")
-        saved = self.pairs.join(first, "v").join(second, "w").select("pair", "c", (micro(share) - left - own).alias("saved"))
-        often = F.broadcast(saved.where(F.col("c") >= level).drop("c"))
+        level = next((i for i in levels if seen[f"n{i}"] <= self.room // OFTEN), 1 << 40)
+        often = F.broadcast(self.pairs.where(F.col("c") >= level).select("pair", "saved"))
         near = tokens.join(lower, "w", "left").join(often, "pair", "left")
         cost = F.coalesce("low", micro(F.lit(self.unknown))) + F.coalesce("saved", F.lit(0))
         costs = near.groupBy("doc").agg(F.sum(cost).alias("cost"), F.count("*").alias("n_tokens"))
-        # Written first, so that its broadcasts are gone when those of the rare pairs are made.
+        # Written by itself, so that the driver makes few broadcasts at once.
         costs = self.scratch.table(costs, "costs")
         if level > 1:
-            rest = room - seen.asDict().get(f"n{level}", 0)
             rare = self.pairs.where(F.col("c") < level)
-            met = self._filter(rare, seen["n1"], rest)(tokens).select("doc", "pair")
+            met = self._filter(rare, seen["n1"], self.room - seen.asDict().get(f"n{level}", 0))(tokens).select("doc", "pair")
             met = met.join(often.select("pair"), "pair", "left_anti")
-            found = met.join(saved.where(F.col("c") < level).drop("c").hint("merge"), "pair")
+            found = met.join(rare.select("pair", "saved").hint("merge"), "pair")
             found = found.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
             costs = costs.unionByName(found).groupBy("doc").agg(
                 F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens")
