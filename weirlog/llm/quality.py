@@ -6,12 +6,12 @@ before their shuffle. All bigrams and all continuations are kept.
 
 A document first costs what its words cost by the lower order, which is summed
 where they are read; each pair of the model knows what it saves, and a join
-adds that up. Words and the most frequent pairs are broadcast, as many as are
-counted to be small, the others sharded by key. A broadcast filter of the rare
-pairs (a blocked Bloom filter) decides which tokens can have one at all, and only
-those are shuffled, as two hashes. The filter is bounded; where the pairs are too
-many for it, all tokens whose pair is not frequent are shuffled, with the same
-result. Log probabilities are summed as integers, so that a result does not depend
+adds that up. The most frequent words and pairs are broadcast, a bounded number
+of them; all others stay sharded by key. A broadcast filter (a blocked Bloom
+filter) of the rare words, and one of the rare pairs, decide which tokens can
+have one at all, and only those are shuffled. The filters are bounded; where
+a model is too large for them, all tokens that are not frequent are shuffled, with the
+same result. Log probabilities are summed as integers, so that a result does not depend
 on the order of the sum.
 
 A document is rejected if its score is high above those of held-out trusted
@@ -33,11 +33,12 @@ WORD = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 EDGE = 0  # stands for the start and the end of a text
 MICRO = 1_000_000
 CUTOFF = 1  # bigrams seen less often are left to the lower order: none
-BROADCAST_ROWS = 2_000_000  # in all, of some 80 bytes as a hash table
-OFTEN = 4  # one in so many of the rows that words leave is a frequent pair, the others are filter blocks
-LANES = 4  # 64-bit words of a filter block; a pair sets one bit in each
-PAIRS_A_BLOCK = 32
-USELESS = 128  # pairs a block at which the filter lets over half of all tokens pass
+BROADCAST_ROWS = 1_000_000  # in all, of some 80 bytes as a hash table
+WORDS_SHARE, PAIRS_SHARE, WORD_BLOCKS_SHARE = 0.3, 0.15, 0.05  # of these rows; the rest are filter blocks of pairs
+LANES = 4  # 64-bit words of a filter block; a key sets one bit in each
+KEYS_A_BLOCK = 32
+USELESS = 128  # keys a block at which the filter lets over half of all tokens pass
+LEVELS = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]  # counts that may part frequent from rare
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
 QUANTILE = 0.99
@@ -79,6 +80,14 @@ def micro(share: Column) -> Column:
     return F.round(-F.log(share) * MICRO).cast("bigint")
 
 
+def _frequent(table: DataFrame, count: str, most: float) -> tuple[int, int, int]:
+    """The lowest count that at most ``most`` rows reach, how many reach it, and how many do not."""
+    reached = table.agg(F.count("*").alias("n0"), *[F.count_if(F.col(count) >= i).alias(f"n{i}") for i in LEVELS]).first()
+    level = next((i for i in LEVELS if reached[f"n{i}"] <= most), 1 << 40)
+    frequent = reached.asDict().get(f"n{level}", 0)
+    return level, frequent, reached["n0"] - frequent
+
+
 class Model:
     """``pairs`` (``pair``, ``part``, ``c``, ``saved``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
 
@@ -111,53 +120,64 @@ class Model:
             F.coalesce("back_off", F.lit(1.0)).alias("back_off"),
             (F.coalesce("own", F.lit(0.0)) + self.unknown).alias("alone"),
         )
-        self.words = scratch.table(words, "words")
-        n = self.words.count()
-        small = n <= BROADCAST_ROWS
-        self.room = BROADCAST_ROWS - n if small else BROADCAST_ROWS
-        self.spread = F.broadcast if small else lambda table: table.hint("merge")
-        # What a pair saves, in its part of the shuffle that counted it; the words of pairs are of no more use then.
+        self.words = scratch.table(words.withColumn("total", F.coalesce("total", F.lit(0))), "words")
         self.parts = int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        first = self.words.where("total is not null").select(F.col("word").alias("v"), "total", "back_off")
-        second = self.words.select(F.col("word").alias("w"), "alone")
-        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("back_off") * F.col("alone")
-        saved = micro(share) - micro(F.col("back_off")) - micro(F.col("alone"))
-        pairs = counts.where(F.col("c") >= CUTOFF).join(self.spread(first), "v").join(self.spread(second), "w")
-        self.pairs = scratch.table(
-            pairs.select(
-                F.xxhash64("v", "w").alias("pair"),
-                F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part"),
-                "c",
-                saved.alias("saved"),
-            ),
-            "saved",
-        )
+        self.often, _, self.n_rare = _frequent(self.words, "total", BROADCAST_ROWS * WORDS_SHARE)
+        self.pairs = scratch.table(self._saved(counts), "saved")
         remove_folder(trusted.sparkSession, folder)
         scratch.folders.remove(folder)
 
-    def _filter(self, rare: DataFrame, n: int, blocks: int) -> Callable[[DataFrame], DataFrame]:
-        """A filter of word pairs that lets all of ``rare`` (``n`` rows) and few others pass."""
-        blocks = min(blocks, n // PAIRS_A_BLOCK + 1)
+    def _saved(self, counts: DataFrame) -> DataFrame:
+        """What each pair saves; the words of pairs are of no more use then.
+
+        Frequent words come by broadcast; only pairs of a rare word are shuffled,
+        by that word, which has few. They return to the part of the shuffle that counted them.
+        """
+        frequent, rare = self.words.where(F.col("total") >= self.often), self.words.where(F.col("total") < self.often)
+        first = [F.col("word").alias("v"), "total", "back_off"]
+        second = [F.col("word").alias("w"), "alone"]
+        counts = counts.where(F.col("c") >= CUTOFF)
+        met = counts.join(F.broadcast(frequent.select(*first)), "v", "left").join(
+            F.broadcast(frequent.select(*second)), "w", "left"
+        )
+        columns = ["v", "w", "c", "total", "back_off", "alone"]
+        met = met.select(*columns)
+        known = met.where("total is not null and alone is not null")
+        by_first = met.where("total is null").drop("total", "back_off").join(rare.select(*first).hint("merge"), "v").select(*columns)
+        no_second = met.where("total is not null and alone is null").unionByName(by_first.where("alone is null"))
+        by_second = no_second.drop("alone").join(rare.select(*second).hint("merge"), "w").select(*columns)
+        shuffled = by_first.where("alone is not null").unionByName(by_second).repartition("v", "w")
+        share = _discounted(F.col("c"), self.after) / F.col("total") + F.col("back_off") * F.col("alone")
+        return known.unionByName(shuffled).select(
+            F.xxhash64("v", "w").alias("pair"),
+            F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part"),
+            "c",
+            (micro(share) - micro(F.col("back_off")) - micro(F.col("alone"))).alias("saved"),
+        )
+
+    def _filter(self, rare: DataFrame, n: int, most: float) -> Callable[[DataFrame], DataFrame]:
+        """Adds ``may`` to rows with ``key`` and ``part``: true for all keys of ``rare`` (``n`` rows) and few others."""
+        blocks = min(int(most), n // KEYS_A_BLOCK + 1)
         if n > blocks * USELESS:
-            return lambda tokens: tokens
-        # Pairs that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
+            return lambda rows: rows.withColumn("may", F.col("key").isNotNull())
+        # Keys that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
         each = blocks // self.parts + 1
-        block = F.col("part").cast("bigint") * each + F.pmod("pair", F.lit(each))
+        block = F.col("part").cast("bigint") * each + F.pmod("key", F.lit(each))
         one = F.lit(1).cast("bigint")
         marks = [
-            F.call_function("shiftleft", one, F.shiftrightunsigned("pair", 40 + 6 * i).bitwiseAND(63).cast("int"))
+            F.call_function("shiftleft", one, F.shiftrightunsigned("key", 40 + 6 * i).bitwiseAND(63).cast("int"))
             for i in range(LANES)
         ]
         lanes = [f"lane{i}" for i in range(LANES)]
         filled = rare.select(block.alias("block"), *[m.alias(x) for m, x in zip(marks, lanes)])
         filled = F.broadcast(filled.groupBy("block").agg(*[F.bit_or(x).alias(x) for x in lanes]))
 
-        def run(tokens: DataFrame) -> DataFrame:
-            part = F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part")
-            met = tokens.select("doc", "pair", part).withColumn("block", block).join(filled, "block")
+        def run(rows: DataFrame) -> DataFrame:
+            may = F.lit(True)
             for mark, lane in zip(marks, lanes):
-                met = met.where(F.col(lane).bitwiseAND(mark) != 0)
-            return met.select("doc", "pair")
+                may = may & (F.col(lane).bitwiseAND(mark) != 0)
+            # A null key has no block and is not looked up.
+            return rows.withColumn("block", block).join(filled, "block", "left").withColumn("may", may).drop("block", *lanes)
 
         return run
 
@@ -165,29 +185,39 @@ class Model:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
         doc = F.xxhash64(*keep).alias("doc")
         tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
+        level, n_often, n_rare = _frequent(self.pairs, "c", BROADCAST_ROWS * PAIRS_SHARE)
+        often = F.broadcast(self.pairs.where(F.col("c") >= level).select("pair", "saved"))
+
         # Every word of a text, and its edge, is the first of one pair and the second of another.
         low = micro(F.col("back_off")) + micro(F.col("alone"))
-        lower = self.spread(self.words.select(F.col("word").alias("w"), low.alias("low")))
-
-        # Pairs that are seen often are sent to the words; tokens of the others that the filter lets pass are shuffled.
-        levels = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]
-        seen = self.pairs.agg(*[F.count_if(F.col("c") >= i).alias(f"n{i}") for i in levels]).first()
-        level = next((i for i in levels if seen[f"n{i}"] <= self.room // OFTEN), 1 << 40)
-        often = F.broadcast(self.pairs.where(F.col("c") >= level).select("pair", "saved"))
-        near = tokens.join(lower, "w", "left").join(often, "pair", "left")
-        cost = F.coalesce("low", micro(F.lit(self.unknown))) + F.coalesce("saved", F.lit(0))
-        costs = near.groupBy("doc").agg(F.sum(cost).alias("cost"), F.count("*").alias("n_tokens"))
+        lower = self.words.select("word", "total", low.alias("low"))
+        frequent = lower.where(F.col("total") >= self.often).select(F.col("word").alias("w"), "low")
+        rare = lower.where(F.col("total") < self.often).select(F.col("word").alias("key"), "low")
+        part = F.pmod(F.hash("key"), F.lit(self.parts)).alias("part")
+        may_be_rare = self._filter(rare.select("key", part), self.n_rare, BROADCAST_ROWS * WORD_BLOCKS_SHARE)
+        unknown = micro(F.lit(self.unknown))
+        met = tokens.join(F.broadcast(frequent), "w", "left").join(often, "pair", "left")
+        met = met.withColumn("key", F.when(F.col("low").isNull(), F.col("w"))).withColumn("part", part)
+        cost = F.coalesce("low", unknown) + F.coalesce("saved", F.lit(0))
+        met = may_be_rare(met.select("doc", "key", "part", cost.alias("cost")))
+        met = met.groupBy("doc", F.when(F.col("may"), F.col("key")).alias("key"))
         # Written by itself, so that the driver makes few broadcasts at once.
-        costs = self.scratch.table(costs, "costs")
-        if level > 1:
-            rare = self.pairs.where(F.col("c") < level)
-            met = self._filter(rare, seen["n1"], self.room - seen.asDict().get(f"n{level}", 0))(tokens).select("doc", "pair")
-            met = met.join(often.select("pair"), "pair", "left_anti")
-            found = met.join(rare.select("pair", "saved").hint("merge"), "pair")
-            found = found.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
-            costs = costs.unionByName(found).groupBy("doc").agg(
-                F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens")
-            )
+        costs = self.scratch.table(met.agg(F.sum("cost").alias("cost"), F.count("*").alias("n_tokens")), "costs")
+        found = costs.where("key is not null").join(rare.hint("merge"), "key")
+        corrected = found.select("doc", (F.col("n_tokens") * (F.col("low") - unknown)).alias("cost"), F.lit(0).cast("bigint").alias("n_tokens"))
+        costs = costs.drop("key").unionByName(corrected)
+        if n_rare:
+            # Pairs that are not frequent: tokens that the filter lets pass are shuffled.
+            few = self.pairs.where(F.col("c") < level)
+            most = BROADCAST_ROWS * (1 - WORDS_SHARE - PAIRS_SHARE - WORD_BLOCKS_SHARE)
+            may_be_few = self._filter(few.select(F.col("pair").alias("key"), "part"), n_rare, most)
+            part = F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part")
+            left = tokens.join(often.select("pair"), "pair", "left_anti").select("doc", F.col("pair").alias("key"), part)
+            left = may_be_few(left).where("may").select("doc", F.col("key").alias("pair"))
+            saved = left.join(few.select("pair", "saved").hint("merge"), "pair")
+            saved = saved.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
+            costs = costs.unionByName(saved)
+        costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens"))
         return docs.select(*keep).distinct().withColumn("doc", doc).join(costs, "doc").select(*keep, "cost", "n_tokens")
 
 
