@@ -142,3 +142,14 @@ def test_rare_pairs_are_kept(spark, monkeypatch, rows):
     asked = spark.createDataFrame([(1, "e d c b"), (2, "a c e a")], "doc_id bigint, text string")
     seen, unseen = (r.cost for r in model.scores(asked, "doc_id").orderBy("doc_id").collect())
     assert seen < unseen
+
+
+def test_repeated_rows_count_once(spark):
+    texts = ["a b c d", "a b c e", "e d c b"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    one = spark.createDataFrame(rows, "doc_id bigint, text string")
+    model = quality.Model(one, Scratch(spark))
+    expected = sorted(model.scores(one, "doc_id").collect())
+    assert [r.n_tokens for r in expected] == [5, 5, 5]
+    many = spark.createDataFrame(rows + rows[1:] * 2, "doc_id bigint, text string")
+    assert sorted(model.scores(many, "doc_id").collect()) == expected

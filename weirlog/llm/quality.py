@@ -218,7 +218,10 @@ class Model:
             saved = saved.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
             costs = costs.unionByName(saved)
         costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens"))
-        return docs.select(*keep).distinct().withColumn("doc", doc).join(costs, "doc").select(*keep, "cost", "n_tokens")
+        # Repeated rows are one document; each has brought the same cost and tokens.
+        once = docs.groupBy(*keep).agg(F.count("*").alias("copies")).withColumn("doc", doc)
+        each = [F.expr(f"{x} div copies").alias(x) for x in ("cost", "n_tokens")]
+        return once.join(costs, "doc").select(*keep, *each)
 
 
 def _quantile(bins: DataFrame, q: float, name: str) -> DataFrame:
