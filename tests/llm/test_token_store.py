@@ -1,4 +1,5 @@
 import glob
+import random
 import zlib
 
 import numpy as np
@@ -34,6 +35,35 @@ def test_encoder_gives_what_the_library_gives(monkeypatch, remembered):
         assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
 
 
+def test_pieces_are_cut_like_the_library_does():
+    draw = random.Random(3)
+    chars = ["'", "'s", "'re", "'ll", "'ve", "d", "S", "l", "é", "ɏ", "ª", "²", "1", " ", "  ", "\t", "\n", "\r", "!", "-", "¡", "×"]
+    texts = ["".join(draw.choices(chars, k=draw.randrange(25))) for _ in range(5000)]
+    encoder = token_store.Encoder(PATH)
+    assert all(map(encoder._simple, texts))
+    assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
+
+
+def test_a_piece_is_looked_up_once_however_often_it_occurs():
+    class Counting(dict):
+        looked_up = 0
+
+        def get(self, *key):
+            self.looked_up += 1
+            return super().get(*key)
+
+    encoder = token_store.Encoder(PATH)
+    encoder.known = Counting()
+    texts = ["One and one and one. " * 200] * 3
+    assert [x.tolist() for x in encoder.encode(texts)] == library(texts)
+    assert encoder.known.looked_up < 10
+
+
+def test_a_batch_is_encoded_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(token_store, "BYTES_AT_ONCE", 20)
+    test_round_trip(spark)
+
+
 def test_other_tokenizers_are_not_cut(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert [x.tolist() for x in token_store.Encoder(path).encode(ODD)] == library(ODD, path)

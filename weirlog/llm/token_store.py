@@ -17,11 +17,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +34,71 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 PAGE_ROWS = 512
-TEXTS_AT_ONCE = 256
-JOINED = 512
+BYTES_AT_ONCE = 4 << 20  # of texts, or a single text
 REMEMBERED = 300_000  # pieces of text whose ids a worker keeps
 
 # Texts of these characters alone are cut here by the byte-level tokenizer's own rule,
 # and each distinct piece is given to the library once. Letters and numbers of
 # later Unicode blocks differ between versions: other texts go to the library whole.
-_LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
-_NUMBER = "0-9²³¹¼-¾"
-_SPACE = r" \t\n\r"
+_LETTER = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ɏ]")
+_NUMBER = re.compile("[0-9²³¹¼-¾]")
 _SIMPLE = re.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
-_PIECE = re.compile(
-    rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+"
-    rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-)
+_BLANK, _WHITE, _OTHER = 0, 1, 4  # classes of characters; letters are 2, numbers 3
+
+
+def _class(char: str) -> int:
+    if char in " \t\n\r":
+        return _BLANK if char == " " else _WHITE
+    return 2 if _LETTER.match(char) else 3 if _NUMBER.match(char) else _OTHER
+
+
+_CLASSES = bytes([_class(chr(i)) for i in range(128)] + [_OTHER] * 128)
+_LEAD = 0xC2  # of the first character of two bytes; the bytes that follow a lead are smaller
+_WIDE = np.array([_class(chr(i)) for i in range(0x80, 0x250)], np.uint8)
+_WITHIN, _CUT, _MAYBE = 0, 1, 2
+# The characters that stand for bytes in byte-level vocabularies: printable ones for themselves.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SPELLED = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)).difference(_PLAIN))) if b}
+# By the classes of a character and the one before it. A blank goes with what follows
+# it; of white space before other text the last character stands by itself.
+_RULE = bytes(
+    _MAYBE if before <= _WHITE and c <= _WHITE else _WITHIN if before in (c, _BLANK) else _CUT
+    for before in range(5)
+    for c in range(5)
+).ljust(256)
+
+
+def _cuts(joined: bytes, starts: np.ndarray) -> np.ndarray:
+    """Where the pieces of simple texts start in their joined bytes; ``starts`` are those of the texts."""
+    n, data = len(joined), np.frombuffer(joined, np.uint8)
+    # Tables of bytes are applied as such: an index array would take eight times the memory.
+    classes = np.frombuffer(bytearray(joined.translate(_CLASSES)), np.uint8)
+    leads = np.flatnonzero(data >= _LEAD)
+    classes[leads] = classes[leads + 1] = _WIDE[(data[leads] - _LEAD) * np.intp(64) + data[leads + 1] - 0x80]
+    # Two bytes of padding, which belong to no text.
+    first = np.zeros(n + 2, bool)
+    first[starts] = True
+    first[n:] = True
+    pairs = classes[:-1] * np.uint8(5)
+    pairs += classes[1:]
+    rule = np.frombuffer(pairs.tobytes().translate(_RULE), np.uint8)
+    cut = first[: n + 1].copy()
+    cut[1:n] |= rule == _CUT
+    white = np.flatnonzero(rule == _MAYBE) + 1
+    white = white[~first[white + 1]]
+    cut[white[classes[white + 1] > _WHITE]] = True
+    # 's, 't, 'm, 'd, 're, 've and 'll, where no blank and no other such character stands before.
+    quotes = np.flatnonzero(data == ord("'"))
+    before = classes[quotes - 1]
+    quotes = quotes[(first[quotes] | ((before != _BLANK) & (before != _OTHER))) & ~first[quotes + 1]]
+    one = data[quotes + 1]
+    two = np.where(first[quotes + 2], 0, data[np.minimum(quotes + 2, n - 1)])
+    short = np.isin(one, list(b"stmd"))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    cut[quotes[short | long] + 1] = False
+    cut[quotes[short] + 2] = True
+    cut[quotes[long] + 3] = True
+    return np.flatnonzero(cut[:n])
 
 
 class Encoder:
@@ -67,10 +119,6 @@ class Encoder:
             and cutter.use_regex
             and self.library.normalizer is None
         )
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.sizes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
-        for token, number in vocabulary.items():
-            self.sizes[number] = len(token)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,48 +127,44 @@ class Encoder:
     def _simple(self, text: str) -> bool:
         return self.cuts and _SIMPLE.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Words behind a blank stay apart when joined, so many go to the library as one text.
-
-        A byte-level token has as many characters as it stands for bytes, which
-        tells where in the ids a word ends.
-        """
-        apart = [p for p in pieces if len(p) > 1 and p[0] == " " and p[1:].isalpha()]
-        other = list(pieces.difference(apart))
-        self.known.update(zip(other, self._whole(other)))
-        if not apart:
-            return
-        groups = ["".join(apart[i : i + JOINED]) for i in range(0, len(apart), JOINED)]
-        found = self.library.encode_batch_fast(groups, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, "<i4") for e in found])
-        stops = np.cumsum([len(p.encode()) for p in apart])
-        ends = 4 * (np.searchsorted(np.cumsum(self.sizes[ids]), stops) + 1)
-        ids, ends = ids.tobytes(), ends.tolist()
-        self.known.update((p, ids[i:j]) for p, i, j in zip(apart, [0, *ends], ends))
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of new pieces. The library's model takes a piece in the characters that stand for its bytes; no simple text holds a zero."""
+        spelled = "\0".join(pieces).encode().decode("latin-1").translate(_SPELLED).split("\0")
+        tokenize = self.library.model.tokenize
+        found = [array("i", [t.id for t in tokenize(s)]).tobytes() for s in spelled]
+        # What is met first is what is met most; the pieces met last are mostly rare.
+        self.known.update(islice(zip(pieces, found), max(0, REMEMBERED - len(self.known))))
+        return found
+
+    def _pieces(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of simple texts: each distinct piece is looked up once, and its ids are put in all its places."""
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([0, *map(len, raw)])
+        data = b"".join(raw)
+        del raw
+        if not data:
+            return [np.zeros(0, "<i4") for _ in texts]
+        at = _cuts(data, ends[:-1][ends[:-1] < ends[1:]])
+        offsets = np.append(at, len(data))
+        every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        pieces = every.dictionary.to_pylist()
+        found = list(map(self.known.get, pieces))
+        new = [p for p, ids in zip(pieces, found) if ids is None]
+        if new:
+            learnt = iter(self._learn(new))
+            found = [next(learnt) if ids is None else ids for ids in found]
+        stops = np.cumsum([0, *map(len, found)]) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(stops), pa.array(np.frombuffer(b"".join(found), "<i4")))
+        placed = lists.take(every.indices)
+        ids, bounds = placed.values.to_numpy(), placed.offsets.to_numpy()[np.searchsorted(at, ends)]
+        return [ids[i:j] for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as the library gives them without special tokens."""
-        pieces = [_PIECE.findall(t) if self._simple(t) else None for t in texts]
-        whole = iter(self._whole([t for t, p in zip(texts, pieces) if p is None]))
-        every = list(chain.from_iterable(p for p in pieces if p is not None))
-        found = list(map(self.known.get, every))
-        new = {p for p, ids in zip(every, found) if ids is None}
-        self._learn(new)
-        if new:
-            find = self.known.__getitem__
-            found = [find(p) if ids is None else ids for p, ids in zip(every, found)]
-        out, at = [], 0
-        for p in pieces:
-            if p is None:
-                out.append(np.frombuffer(next(whole), "<i4"))
-            else:
-                out.append(np.frombuffer(b"".join(found[at : at + len(p)]), "<i4"))
-                at += len(p)
-        if len(self.known) > REMEMBERED:
-            # What was met first is what is met most; the pieces met last are mostly rare.
-            for piece in new:
-                del self.known[piece]
-        return out
+        simple = [self._simple(t) for t in texts]
+        cut = iter(self._pieces([t for t, s in zip(texts, simple) if s]))
+        whole = iter(self._whole([t for t, s in zip(texts, simple) if not s]))
+        return [next(cut) if s else np.frombuffer(next(whole), "<i4") for s in simple]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,8 +207,11 @@ def write_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, encode = TaskContext.get().partitionId(), 0, encoder(tokenizer).encode
         for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
-                piece = batch.slice(at, TEXTS_AT_ONCE)
+            sizes = pc.binary_length(batch.column(1)).to_numpy().astype(np.int64)
+            group = (np.cumsum(sizes) - sizes) // BYTES_AT_ONCE
+            starts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+            for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+                piece = batch.slice(at, end - at)
                 ids = [np.append(x, np.int32(end_id)) for x in encode(piece.column(1).to_pylist())]
                 counts = np.array([len(x) for x in ids], np.int64)
                 offsets = before + np.cumsum(counts) - counts
