@@ -147,7 +147,7 @@ class Encoder:
         at = _cuts(data, ends[:-1][ends[:-1] < ends[1:]])
         offsets = np.append(at, len(data))
         every = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
-        pieces = every.dictionary.to_pylist()
+        pieces = every.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.known.get, pieces))
         new = [p for p, ids in zip(pieces, found) if ids is None]
         if new:
