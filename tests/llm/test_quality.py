@@ -1,12 +1,13 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from brute import documents
 from pyspark.sql import functions as F
 
-from weirlog.llm import quality
+from weirlog.llm import hashes, quality
 from weirlog.llm.catalog import QUERIES, trusted_ids
 from weirlog.session import Scratch
 
@@ -153,3 +154,54 @@ def test_repeated_rows_count_once(spark):
     assert [r.n_tokens for r in expected] == [5, 5, 5]
     many = spark.createDataFrame(rows + rows[1:] * 2, "doc_id bigint, text string")
     assert sorted(model.scores(many, "doc_id").collect()) == expected
+
+
+def test_documents_take_turns(spark, monkeypatch):
+    """The tokens of one part of the documents are shuffled at a time, with the same sums."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 1000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200").select("doc_id", "text")
+    model = quality.Model(docs.where("doc_id % 3 = 0"), Scratch(spark))
+    whole = sorted(model.scores(docs, "doc_id").collect())
+    parts, table = [], model.scratch.table
+
+    def written(df, label):
+        out = table(df, label)
+        if label == "costs":
+            parts.append({r.doc for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(model.scratch, "table", written)
+    monkeypatch.setattr(quality, "ROUND_ROWS", 40)
+    assert sorted(model.scores(docs, "doc_id").collect()) == whole
+    assert len(parts) == 6 and all(parts) and sum(map(len, parts)) == len(set.union(*parts)) == len(whole)
+
+
+def test_hashes_are_those_of_spark(spark):
+    rng = np.random.default_rng(8)
+    v, w = (rng.integers(-(2**63), 2**63, 1000, np.int64) for _ in range(2))
+    v[:4], w[:4] = [0, -1, 2**63 - 1, -(2**63)], [0, 0, -1, 1]
+    rows = spark.createDataFrame(list(zip(v.tolist(), w.tolist())), "v bigint, w bigint")
+    rows = rows.select(F.xxhash64("v", "w").alias("long"), F.hash("v", "w").alias("int"), F.hash("v").alias("one")).collect()
+    v, w = v.view(np.uint64), w.view(np.uint64)
+    assert [r.long for r in rows] == hashes.xxhash64(v, w).view(np.int64).tolist()
+    assert [r.int for r in rows] == hashes.murmur(v, w).view(np.int32).tolist()
+    assert [r.one for r in rows] == hashes.murmur(v).view(np.int32).tolist()
+
+
+def test_lookup_and_filter(spark):
+    rng = np.random.default_rng(9)
+    keys = np.unique(rng.integers(-(2**63), 2**63, 3000, np.int64))
+    keys = np.concatenate([keys, [0, -1]])
+    table = spark.createDataFrame([(k, i) for i, k in enumerate(keys.tolist())], "key bigint, n bigint")
+    others = np.setdiff1d(rng.integers(-(2**63), 2**63, 3000, np.int64), keys)
+    for known, rows in ((keys[:-1], table.where("key <> -1")), (keys, table), (keys[:0], table.limit(0))):
+        there, n = quality._Lookup(rows).find(known.view(np.uint64))
+        assert there.all() and n.tolist() == list(range(len(known)))
+        there, n = quality._Lookup(rows).find(np.append(others, -1 if len(known) < len(keys) else 1).view(np.uint64))
+        assert not there.any() and not n.any()
+    parted = table.select("key", F.pmod(F.hash("key"), F.lit(7)).alias("part"))
+    for blocks in (100, 30, 0):
+        rare = quality._Filter(parted, len(keys), blocks, 7, Scratch(spark))
+        assert rare.may(keys.view(np.uint64), keys.view(np.uint64)).all()
+        passed = rare.may(others.view(np.uint64), others.view(np.uint64)).mean()
+        assert passed == 1 if blocks == 0 else passed < 0.7

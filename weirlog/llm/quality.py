@@ -4,14 +4,15 @@ The model is trained on all trusted texts but a held-out fifth, chosen by a hash
 of the text so that copies fall on one side. Counts are aggregates, combined
 before their shuffle. All bigrams and all continuations are kept.
 
-A document first costs what its words cost by the lower order, which is summed
-where they are read; each pair of the model knows what it saves, and a join
-adds that up. The most frequent words and pairs are broadcast, a bounded number
-of them; all others stay sharded by key. A broadcast filter (a blocked Bloom
-filter) of the rare words, and one of the rare pairs, decide which tokens can
-have one at all, and only those are shuffled. The filters are bounded; where
-a model is too large for them, all tokens that are not frequent are shuffled, with the
-same result. Log probabilities are summed as integers, so that a result does not depend
+A document costs what its words cost by the lower order; each pair of the model
+knows what it saves. The most frequent words and pairs, a bounded number of them,
+are sent to all tasks, which look them up and sum a document's tokens where it is read;
+all others stay sharded by key. A filter (a blocked Bloom
+filter) of the rare words and pairs is sent too and decides which tokens can
+be one of them at all, and only those are shuffled. The filter is bounded; where
+a model is too large for it, all tokens that are not frequent are shuffled, with the
+same result. Documents take turns, so that only a part of these tokens is on disk at once.
+Log probabilities are summed as integers, so that a result does not depend
 on the order of the sum.
 
 A document is rejected if its score is high above those of held-out trusted
@@ -21,11 +22,16 @@ way from the median to it. Scores of short documents are drawn to the median.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirlog.llm.hashes import murmur, xxhash64
 from weirlog.llm.rows import pack, quoted, unpack
 from weirlog.session import Scratch, remove_folder
 
@@ -34,10 +40,14 @@ EDGE = 0  # stands for the start and the end of a text
 MICRO = 1_000_000
 CUTOFF = 1  # bigrams seen less often are left to the lower order: none
 BROADCAST_ROWS = 1_000_000  # in all, of some 80 bytes as a hash table
-WORDS_SHARE, PAIRS_SHARE, WORD_BLOCKS_SHARE = 0.3, 0.15, 0.05  # of these rows; the rest are filter blocks of pairs
+WORDS_SHARE, PAIRS_SHARE = 0.3, 0.15  # of these rows; the rest are filter blocks
 LANES = 4  # 64-bit words of a filter block; a key sets one bit in each
 KEYS_A_BLOCK = 32
 USELESS = 128  # keys a block at which the filter lets over half of all tokens pass
+ROUNDS = 6  # parts of the documents whose tokens are shuffled one after the other
+ROUND_ROWS = 10_000  # fewer documents are not parted
+HASHED_ROWS = 1_000_000  # rare keys of a task that are held as a hash table; more are sorted
+AT_ONCE = 250_000  # tokens looked up at once
 LEVELS = [1, 2, 3, 4, 6, 8, *(1 << i for i in range(4, 40))]  # counts that may part frequent from rare
 BIN = 1000  # score bins per nat
 DRAWN = 20  # tokens of median score that every document is given
@@ -49,11 +59,16 @@ ENOUGH = 50  # held-out documents that a language needs to have a stricter limit
 POOLED = "*"
 
 
+def _words(docs: DataFrame, *keep: str) -> DataFrame:
+    """Hashes of the words of each text, in order, as the array ``hashes``."""
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
+    return docs.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+
+
 def _pairs(docs: DataFrame, *keep: str) -> DataFrame:
     """Hashes ``v``, ``w`` of each two neighbouring words, the text's edges included."""
-    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD), F.lit(0))
     # A column of its own, or a text is cut into words once for ``v`` and once for ``w``.
-    hashed = docs.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("hashes"))
+    hashed = _words(docs, *keep)
     edge = F.array(F.lit(EDGE).cast("bigint"))
     zipped = F.arrays_zip(F.concat(edge, F.col("hashes")).alias("v"), F.concat(F.col("hashes"), edge).alias("w"))
     return hashed.select(*keep, F.explode(zipped).alias("p")).select(*keep, "p.v", "p.w")
@@ -77,17 +92,123 @@ def _discounted(count: Column, d: list[float]) -> Column:
 
 
 def micro(share: Column) -> Column:
-    return F.round(-F.log(share) * MICRO).cast("bigint")
+    return F.rint(-F.log(share) * MICRO).cast("bigint")
 
 
 def _frequent(table: DataFrame, count: str, most: float) -> tuple[int, int, int]:
     """The lowest count that at most ``most`` rows reach, how many reach it, and how many do not."""
-    reached = table.agg(F.count("*").alias("n0"), *[F.count_if(F.col(count) >= i).alias(f"n{i}") for i in LEVELS]).first()
+    n, at_least = F.col("n"), lambda i: F.when(F.col(count) >= i, F.col("n")).otherwise(0)
+    by_count = table.groupBy(count).agg(F.count("*").alias("n"))
+    sums = [F.sum(n).alias("n0"), *[F.sum(at_least(i)).alias(f"n{i}") for i in LEVELS]]
+    reached = {name: found or 0 for name, found in by_count.agg(*sums).first().asDict().items()}
     level = next((i for i in LEVELS if reached[f"n{i}"] <= most), 1 << 40)
-    frequent = reached.asDict().get(f"n{level}", 0)
+    frequent = reached.get(f"n{level}", 0)
     return level, frequent, reached["n0"] - frequent
 
 
+class _Lookup:
+    """Distinct 64-bit hashes and a number for each: in order, with an index by their highest bits."""
+
+    def __init__(self, rows: DataFrame):
+        table = rows.toArrow()
+        keys = table.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        self.values = np.append(table.column(1).to_numpy()[order], 0)
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(keys[order] >> self.shift, np.arange(1 << bits, dtype=np.uint64))
+        # The last one ends every search.
+        self.keys = np.append(keys[order], np.uint64(2**64 - 1))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``keys`` are there, and their numbers, 0 for the others."""
+        at = self.first[keys >> self.shift]
+        later = np.flatnonzero(self.keys[at] < keys)
+        while len(later):
+            at[later] += 1
+            later = later[self.keys[at[later]] < keys[later]]
+        there = (self.keys[at] == keys) & (at < len(self.keys) - 1)
+        return there, np.where(there, self.values[at], 0)
+
+
+class _Filter:
+    """True for all keys of ``rare`` (``key``, ``part``; ``n`` rows) and few others."""
+
+    def __init__(self, rare: DataFrame, n: int, most: float, parts: int, scratch: Scratch):
+        blocks = min(int(most), n // KEYS_A_BLOCK + 1)
+        self.parts, self.lanes = parts, None
+        if n > blocks * USELESS:
+            return
+        # Keys that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
+        self.each = blocks // parts + 1
+        block = F.col("part").cast("bigint") * self.each + F.pmod("key", F.lit(self.each))
+        one = F.lit(1).cast("bigint")
+        marks = [
+            F.call_function("shiftleft", one, F.shiftrightunsigned("key", 40 + 6 * i).bitwiseAND(63).cast("int")).alias(f"lane{i}")
+            for i in range(LANES)
+        ]
+        filled = rare.select(block.alias("block"), *marks).groupBy("block")
+        # Written first, so that what was shuffled is gone.
+        filled = scratch.table(filled.agg(*[F.bit_or(f"lane{i}").alias(f"lane{i}") for i in range(LANES)]), "filter").toArrow()
+        remove_folder(rare.sparkSession, scratch.folders.pop())
+        self.lanes = np.zeros((self.each * parts, LANES), np.uint64)
+        at = filled.column("block").to_numpy()
+        for i in range(LANES):
+            self.lanes[at, i] = filled.column(f"lane{i}").to_numpy().view(np.uint64)
+
+    def may(self, key: np.ndarray, *hashed: np.ndarray) -> np.ndarray:
+        """Keys by their value and by what their part is a hash of."""
+        if self.lanes is None:
+            return np.ones(len(key), bool)
+        part = murmur(*hashed).view(np.int32).astype(np.int64) % self.parts
+        filled = self.lanes[part * self.each + key.view(np.int64) % self.each]
+        may = np.ones(len(key), bool)
+        for i in range(LANES):
+            bit = (key >> np.uint64(40 + 6 * i)) & np.uint64(63)
+            may &= (filled[:, i] >> bit) & np.uint64(1) != 0
+        return may
+
+
+def _costs(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``doc``, ``key``, ``cost``, ``n_tokens``: one per document, then one without tokens per key to look up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, rare, unknown = sent.value
+        for batch in batches:
+            docs, lists = batch.column(0).to_numpy(), batch.column(1)
+            hashes, offsets = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+            # A text has one token more than words: its end.
+            upto = offsets.astype(np.int64) - offsets[0] + np.arange(len(offsets))
+            i = 0
+            while i < len(docs):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + AT_ONCE, "right")) - 1)
+                ends = upto[i + 1 : j + 1] - upto[i]
+                inner = np.ones(ends[-1], bool)
+                inner[ends - 1] = False
+                w = np.full(ends[-1], EDGE, np.uint64)
+                w[inner] = hashes[offsets[i] : offsets[j]]
+                v = np.append(np.uint64(EDGE), w[:-1])
+                known, low = words.find(w)
+                pair = xxhash64(v, w)
+                often, saved = pairs.find(pair)
+                cost = np.where(known, low, unknown) + saved
+                sizes = np.diff(ends, prepend=0)
+                new, less = np.flatnonzero(~known), np.flatnonzero(~often)
+                new, less = new[rare.may(w[new], w[new])], less[rare.may(pair[less], v[less], w[less])]
+                asked = np.repeat(docs[i:j], sizes)[np.concatenate([new, less])]
+                zeros = np.zeros(len(asked), np.int64)
+                columns = [
+                    np.concatenate([docs[i:j], asked]),
+                    np.concatenate([docs[i:j], w[new].view(np.int64), pair[less].view(np.int64)]),
+                    np.concatenate([np.add.reduceat(cost, ends - sizes), zeros]),
+                    np.concatenate([sizes, zeros]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "key", "cost", "n_tokens"])
+                i = j
+
+    return run
+
+
 class Model:
     """``pairs`` (``pair``, ``part``, ``c``, ``saved``), ``words`` (``word``, ``total``, ``back_off``, ``alone``) and the share of an unknown word."""
 
@@ -96,7 +217,7 @@ class Model:
         counts = scratch.table(
             _pairs(trusted).groupBy("v", "w").agg(F.count("*").alias("c")).sortWithinPartitions("v"), "pairs"
         )
-        folder = scratch.folders[-1]
+        spent = scratch.folders[-1:]
         self.after = _discounts(counts, "c")
         taken = F.sum(F.when(F.col("c") >= CUTOFF, _discounted(F.col("c"), self.after)))
         total = F.sum("c")
@@ -105,12 +226,14 @@ class Model:
         )
         # Words count by the number of different words they follow.
         follows = scratch.table(counts.groupBy("w").agg(F.count("*").alias("c")), "follows")
+        spent += scratch.folders[-1:]
         single = _discounts(follows, "c")
         shape = follows.agg(F.count("*").alias("words"), F.coalesce(F.sum("c"), F.lit(0)).alias("pairs")).first()
         known = follows.select(
             F.col("w").alias("word"), (_discounted(F.col("c"), single) / F.lit(max(1, shape["pairs"]))).alias("own")
         )
         known = scratch.table(known, "known")
+        spent += scratch.folders[-1:]
         self.trained = shape["pairs"] > 0
         left = 1 - (known.agg(F.sum("own")).first()[0] or 0.0)
         self.unknown = left / (shape["words"] + 1)
@@ -121,11 +244,13 @@ class Model:
             (F.coalesce("own", F.lit(0.0)) + self.unknown).alias("alone"),
         )
         self.words = scratch.table(words.withColumn("total", F.coalesce("total", F.lit(0))), "words")
+        for folder in spent[1:]:
+            remove_folder(trusted.sparkSession, folder)
         self.parts = int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.often, _, self.n_rare = _frequent(self.words, "total", BROADCAST_ROWS * WORDS_SHARE)
         self.pairs = scratch.table(self._saved(counts), "saved")
-        remove_folder(trusted.sparkSession, folder)
-        scratch.folders.remove(folder)
+        remove_folder(trusted.sparkSession, spent[0])
+        scratch.folders = [x for x in scratch.folders if x not in spent]
 
     def _saved(self, counts: DataFrame) -> DataFrame:
         """What each pair saves; the words of pairs are of no more use then.
@@ -155,69 +280,41 @@ class Model:
             (micro(share) - micro(F.col("back_off")) - micro(F.col("alone"))).alias("saved"),
         )
 
-    def _filter(self, rare: DataFrame, n: int, most: float) -> Callable[[DataFrame], DataFrame]:
-        """Adds ``may`` to rows with ``key`` and ``part``: true for all keys of ``rare`` (``n`` rows) and few others."""
-        blocks = min(int(most), n // KEYS_A_BLOCK + 1)
-        if n > blocks * USELESS:
-            return lambda rows: rows.withColumn("may", F.col("key").isNotNull())
-        # Keys that lie in one part of the table share its blocks, so that blocks are made before their shuffle.
-        each = blocks // self.parts + 1
-        block = F.col("part").cast("bigint") * each + F.pmod("key", F.lit(each))
-        one = F.lit(1).cast("bigint")
-        marks = [
-            F.call_function("shiftleft", one, F.shiftrightunsigned("key", 40 + 6 * i).bitwiseAND(63).cast("int"))
-            for i in range(LANES)
-        ]
-        lanes = [f"lane{i}" for i in range(LANES)]
-        filled = rare.select(block.alias("block"), *[m.alias(x) for m, x in zip(marks, lanes)])
-        filled = F.broadcast(filled.groupBy("block").agg(*[F.bit_or(x).alias(x) for x in lanes]))
-
-        def run(rows: DataFrame) -> DataFrame:
-            may = F.lit(True)
-            for mark, lane in zip(marks, lanes):
-                may = may & (F.col(lane).bitwiseAND(mark) != 0)
-            # A null key has no block and is not looked up.
-            return rows.withColumn("block", block).join(filled, "block", "left").withColumn("may", may).drop("block", *lanes)
-
-        return run
-
     def scores(self, docs: DataFrame, *keep: str) -> DataFrame:
         """Per document (the columns ``keep``) its ``cost`` in micro-nats and ``n_tokens``."""
-        doc = F.xxhash64(*keep).alias("doc")
-        tokens = _pairs(docs.select(doc, "text"), "doc").withColumn("pair", F.xxhash64("v", "w"))
-        level, n_often, n_rare = _frequent(self.pairs, "c", BROADCAST_ROWS * PAIRS_SHARE)
-        often = F.broadcast(self.pairs.where(F.col("c") >= level).select("pair", "saved"))
-
-        # Every word of a text, and its edge, is the first of one pair and the second of another.
+        spark = docs.sparkSession
+        unknown = round(-math.log(self.unknown) * MICRO)
         low = micro(F.col("back_off")) + micro(F.col("alone"))
         lower = self.words.select("word", "total", low.alias("low"))
-        frequent = lower.where(F.col("total") >= self.often).select(F.col("word").alias("w"), "low")
-        rare = lower.where(F.col("total") < self.often).select(F.col("word").alias("key"), "low")
-        part = F.pmod(F.hash("key"), F.lit(self.parts)).alias("part")
-        may_be_rare = self._filter(rare.select("key", part), self.n_rare, BROADCAST_ROWS * WORD_BLOCKS_SHARE)
-        unknown = micro(F.lit(self.unknown))
-        met = tokens.join(F.broadcast(frequent), "w", "left").join(often, "pair", "left")
-        met = met.withColumn("key", F.when(F.col("low").isNull(), F.col("w"))).withColumn("part", part)
-        cost = F.coalesce("low", unknown) + F.coalesce("saved", F.lit(0))
-        met = may_be_rare(met.select("doc", "key", "part", cost.alias("cost")))
-        met = met.groupBy("doc", F.when(F.col("may"), F.col("key")).alias("key"))
-        # Written by itself, so that the driver makes few broadcasts at once.
-        costs = self.scratch.table(met.agg(F.sum("cost").alias("cost"), F.count("*").alias("n_tokens")), "costs")
-        found = costs.where("key is not null").join(rare.hint("merge"), "key")
-        corrected = found.select("doc", (F.col("n_tokens") * (F.col("low") - unknown)).alias("cost"), F.lit(0).cast("bigint").alias("n_tokens"))
-        costs = costs.drop("key").unionByName(corrected)
-        if n_rare:
-            # Pairs that are not frequent: tokens that the filter lets pass are shuffled.
-            few = self.pairs.where(F.col("c") < level)
-            most = BROADCAST_ROWS * (1 - WORDS_SHARE - PAIRS_SHARE - WORD_BLOCKS_SHARE)
-            may_be_few = self._filter(few.select(F.col("pair").alias("key"), "part"), n_rare, most)
-            part = F.pmod(F.hash("v", "w"), F.lit(self.parts)).alias("part")
-            left = tokens.join(often.select("pair"), "pair", "left_anti").select("doc", F.col("pair").alias("key"), part)
-            left = may_be_few(left).where("may").select("doc", F.col("key").alias("pair"))
-            saved = left.join(few.select("pair", "saved").hint("merge"), "pair")
-            saved = saved.groupBy("doc").agg(F.sum("saved").alias("cost")).withColumn("n_tokens", F.lit(0).cast("bigint"))
-            costs = costs.unionByName(saved)
-        costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens"))
+        level, _, n_pairs = _frequent(self.pairs, "c", BROADCAST_ROWS * PAIRS_SHARE)
+        words = _Lookup(lower.where(F.col("total") >= self.often).select("word", "low"))
+        pairs = _Lookup(self.pairs.where(F.col("c") >= level).select("pair", "saved"))
+        # What is not frequent: what a key adds to the cost of a token that it was not found for.
+        part = F.pmod(F.hash("word"), F.lit(self.parts))
+        rare_words = lower.where(F.col("total") < self.often).select(F.col("word").alias("key"), part.alias("part"), (F.col("low") - unknown).alias("more"))
+        rare_pairs = self.pairs.where(F.col("c") < level).select(F.col("pair").alias("key"), "part", F.col("saved").alias("more"))
+        rare, n_rare = rare_words.unionByName(rare_pairs), self.n_rare + n_pairs
+        maybe = _Filter(rare.select("key", "part"), n_rare, BROADCAST_ROWS * (1 - WORDS_SHARE - PAIRS_SHARE), self.parts, self.scratch)
+        sent = spark.sparkContext.broadcast((words, pairs, maybe, unknown))
+        rare = rare.select("key", "more").hint("shuffle_hash" if n_rare <= self.parts * HASHED_ROWS else "merge")
+
+        doc = F.xxhash64(*keep)
+        rounds = min(ROUNDS, docs.count() // ROUND_ROWS + 1)
+        done = []
+        for i in range(rounds):
+            # Each round frees what it has shuffled.
+            own = docs.select(doc.alias("doc"), "text").where(F.pmod("doc", F.lit(rounds)) == i)
+            costs = _words(own, "doc").mapInArrow(_costs(sent), "doc bigint, key bigint, cost bigint, n_tokens bigint")
+            if n_rare:
+                # A row with tokens is a document's own.
+                more = F.when(F.col("n_tokens") == 0, F.coalesce("more", F.lit(0))).otherwise(F.col("cost"))
+                costs = costs.join(rare, "key", "left").select("doc", more.alias("cost"), "n_tokens")
+            costs = costs.groupBy("doc").agg(F.sum("cost").alias("cost"), F.sum("n_tokens").alias("n_tokens"))
+            done.append(self.scratch.table(costs, "costs"))
+        sent.destroy()
+        costs = done[0]
+        for other in done[1:]:
+            costs = costs.unionByName(other)
         # Repeated rows are one document; each has brought the same cost and tokens.
         once = docs.groupBy(*keep).agg(F.count("*").alias("copies")).withColumn("doc", doc)
         each = [F.expr(f"{x} div copies").alias(x) for x in ("cost", "n_tokens")]
