@@ -15,6 +15,8 @@ from weirlog.operators import http, numbering, render, reports, segments, syslog
 from weirlog.operators.audit import audit_digests
 from weirlog.operators.envelope import envelope, merge_collectors, prune_digest, prune_raw
 from weirlog.operators.numbering import with_sequence
+from weirlog.plans.catalog import QUERIES
+from weirlog.sinks import files as sinks_files
 from weirlog.sinks.files import archive, fan_out, write_console, write_segments, writer_options
 from weirlog.sources.archive import scan_archive, scan_unreadable
 from weirlog.sources.frames import scan_syslog, throttle
@@ -125,6 +127,47 @@ def test_archive_only_closed_segments(spark, folder):
     assert scan_archive(spark, f"{folder}/current").count() == 2
 
 
+def test_archive_moves_segments_in_turns(spark, folder, monkeypatch):
+    """Originals go turn by turn, so that a part of the store at most is there twice; nothing is lost."""
+    monkeypatch.setattr(sinks_files, "_TURN_BYTES", 1, raising=False)
+    monkeypatch.setattr(sinks_files, "_TURNS", 5, raising=False)
+    remove, there = sinks_files.remove_listed, []
+
+    def spy(spark, path):
+        there.append(len(glob.glob(f"{folder}/*/month=*/segment_name=*/part-*")))
+        remove(spark, path)
+
+    monkeypatch.setattr(sinks_files, "remove_listed", spy)
+    df = messages(spark)
+    write_segments(segments.segment(df, 1, "1 hour", at="timestamp", position="sequence"), f"{folder}/current")
+    assert archive(spark, f"{folder}/current", f"{folder}/archived") == 10
+    assert len(there) == 10 and max(there) < 18
+    assert not glob.glob(f"{folder}/current/month=*/segment_name=*")
+    assert comparable(scan_archive(spark, f"{folder}/archived")) == comparable(df)
+
+
+def test_archive_in_turns_keeps_what_gets_one_name(spark, folder, monkeypatch):
+    monkeypatch.setattr(sinks_files, "_TURN_BYTES", 1, raising=False)
+    write_segments(segments.segment(messages(spark), 1, "1 hour", at="timestamp", position="sequence"), f"{folder}/current")
+    names = scan_archive(spark, f"{folder}/current").select("segment_name").distinct()
+    closed = names.withColumn("archived_name", F.lit("all"))
+    assert archive(spark, f"{folder}/current", f"{folder}/archived", closed=closed) == 10
+    assert sorted(r.sequence for r in scan_archive(spark, f"{folder}/archived").collect()) == list(range(1, 11))
+
+
+def test_archive_query_leaves_no_work_tables(spark, folder):
+    """What is numbered and cut up goes once the segments are written: only the archive takes room."""
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    rows = [(i, START + timedelta(minutes=i), i, "view", 1.5 * i, '{"k": %d}' % i) for i in range(50)]
+    events = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame([(i, t.replace(tzinfo=None), *r) for i, t, *r in rows], events).write.parquet(f"{folder}/events.parquet")
+    spark.createDataFrame([(1, "/a?b=c", "<p>x</p>")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    assert QUERIES["archive_none"](spark, folder).count() > 40
+    left = [f for name in set(os.listdir(shared)) - before for f in glob.glob(f"{shared}/{name}/**/part-*", recursive=True)]
+    assert left and not [f for f in left if "/weirlog-" in f and "/weirlog-archive-" not in f]
+
+
 def test_codec_options():
     assert writer_options("gz", 1)["zlib.compress.level"] == "BEST_SPEED"
     for codec, level in (("xz", 9), ("zip", 9), ("gz", 0)):

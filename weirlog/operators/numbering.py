@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirlog.session import Scratch, new_folder
+from weirlog.session import Scratch, new_folder, shuffles_removed
 
 # Splits per shuffle partition: several small ones even out what hashing puts
 # into one task.
@@ -234,28 +234,33 @@ def with_positions(
     )
 
 
-def write_in_order(df: DataFrame, order: Sequence[str], splits: int | None = None) -> tuple[DataFrame, int]:
+def write_in_order(
+    df: DataFrame, order: Sequence[str], splits: int | None = None, scratch: Scratch | None = None
+) -> tuple[DataFrame, int]:
     """The rows in a table of the shared folder, sorted along ``order``, with ``_place`` from 0; and how many.
 
     Every split lies in one file without a gap, so a row's place is known from
     its row number in the file. All columns are written: select those that
-    are wanted first.
+    are wanted first. The table goes with ``scratch``, and stays without one.
     """
     spark = df.sparkSession
-    with Scratch(spark) as scratch:
-        return _write_in_order(scratch.table(df, "unordered"), order, splits)
+    with Scratch(spark) as unordered:
+        return _write_in_order(unordered.table(df, "unordered"), order, splits, scratch)
 
 
-def _write_in_order(df: DataFrame, order: Sequence[str], splits: int | None) -> tuple[DataFrame, int]:
+def _write_in_order(
+    df: DataFrame, order: Sequence[str], splits: int | None, scratch: Scratch | None
+) -> tuple[DataFrame, int]:
     spark = df.sparkSession
     found = cut_splits(df, order, splits)
     moved = found.with_split(df, key_struct([order_key(df, name) for name in order]), "_split")
     parts = max(1, min(len(found.bounds), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    folder = new_folder(spark, "ordered")
+    folder = new_folder(spark, "ordered") if scratch is None else scratch.folder("ordered")
     # Neighbouring splits share a task, and no task has more than its share of them.
     share = F.floor(F.col("_split") * parts / max(1, len(found.bounds))).cast("int")
     moved = moved.repartitionById(parts, share)
-    moved.sortWithinPartitions("_split", *order).write.parquet(folder)
+    with shuffles_removed(spark):
+        moved.sortWithinPartitions("_split", *order).write.parquet(folder)
     rows = spark.read.schema(moved.schema).parquet(folder)
     measured = rows.groupBy("_split").agg(F.count("*").alias("n"), F.min(F.col("_metadata.row_index")).alias("first"))
     begins, at = [], 0
@@ -273,13 +278,15 @@ def with_sequence(
     order: Sequence[str] = ("received_at", "collector_type", "record_id"),
     start: int = 1,
     splits: int | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Add ``sequence``: 1, 2, 3... in arrival order over all rows, which are written down sorted.
 
     ``order`` should tell rows apart. Rows equal in all of it are numbered within
-    one task, so where copies may be many, add :func:`with_arrival_id` first.
+    one task, so where copies may be many, add :func:`with_arrival_id` first. What is
+    written goes with ``scratch``, if given.
     """
-    rows, _ = write_in_order(df, order, splits)
+    rows, _ = write_in_order(df, order, splits, scratch)
     return rows.withColumn("sequence", F.col("_place") + start).drop("_place")
 
 

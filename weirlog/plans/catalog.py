@@ -15,7 +15,7 @@ from weirlog.functions.xml import xml_to_json
 from weirlog.operators import audit, envelope as env, http, render, reports, segments, syslog, transform
 from weirlog.operators.numbering import with_sequence
 from weirlog.plans import fixtures as fx
-from weirlog.session import configure, new_folder
+from weirlog.session import Scratch, configure, new_folder
 from weirlog.sinks.files import archive, console_text, fan_out, write_segments
 from weirlog.sources.archive import scan_archive
 from weirlog.sources.frames import scan_http, scan_syslog, throttle
@@ -632,8 +632,8 @@ def segment_manifest(spark, sf_dir):
 # -- rendering, sinks, reading back ------------------------------------------------------
 
 
-def _sequenced_messages(spark, sf_dir):
-    return env.envelope(with_sequence(_collected(spark, sf_dir), ORDER), keep=("record_id",))
+def _sequenced_messages(spark, sf_dir, scratch=None):
+    return env.envelope(with_sequence(_collected(spark, sf_dir), ORDER, scratch=scratch), keep=("record_id",))
 
 
 def _read_members(text: Column) -> dict[str, Column]:
@@ -705,13 +705,14 @@ def write_console_(spark, sf_dir):
     )
 
 
-def _segmented_messages(spark, sf_dir):
+def _write_segmented(spark, sf_dir, store, **options):
+    """The messages as segment files; the work tables behind them go once these are written."""
     # The message table is written before it is cut up, as a deployment would.
-    table = new_folder(spark, "messages")
-    _sequenced_messages(spark, sf_dir).write.parquet(table)
-    return segments.segment(
-        spark.read.parquet(table), 1000, "12 hours", at="timestamp", position="sequence"
-    )
+    with Scratch(spark) as scratch:
+        with Scratch(spark) as numbered:
+            messages = scratch.table(_sequenced_messages(spark, sf_dir, numbered), "messages")
+        cut = segments.segment(messages, 1000, "12 hours", at="timestamp", position="sequence")
+        write_segments(cut, store, **options)
 
 
 def _flat_message(rows):
@@ -733,7 +734,7 @@ def _flat_message(rows):
 @query
 def scan_archive_(spark, sf_dir):
     store = new_folder(spark, "segments")
-    write_segments(_segmented_messages(spark, sf_dir), store, codec="gz")
+    _write_segmented(spark, sf_dir, store, codec="gz")
     return _flat_message(scan_archive(spark, store))
 
 
@@ -741,7 +742,7 @@ def scan_archive_(spark, sf_dir):
 def write_segments_(spark, sf_dir):
     """Counts per segment file as read back."""
     store = new_folder(spark, "segments")
-    write_segments(_segmented_messages(spark, sf_dir), store)
+    _write_segmented(spark, sf_dir, store)
     rows = scan_archive(spark, store).withColumn("file", F.input_file_name())
     return rows.groupBy("month", "segment_name").agg(
         F.count("*").alias("messages"),
@@ -755,7 +756,7 @@ def _archived(codec):
     def run_(spark, sf_dir):
         """Every message of the archive with its place in its segment, as the files have it."""
         current, archived = new_folder(spark, "current"), new_folder(spark, "archive")
-        write_segments(_segmented_messages(spark, sf_dir), current)
+        _write_segmented(spark, sf_dir, current)
         archive(spark, current, archived, codec=codec)
         rows = scan_archive(spark, archived).withColumn("place", F.monotonically_increasing_id())
         in_segment = Window.partitionBy("month", "segment_name").orderBy("place")

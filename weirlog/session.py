@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -89,6 +91,17 @@ def remove_listed(spark: SparkSession, path: str) -> None:
         raise OSError(f"could not remove {path}")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled to write a table is of no use once it is written, and goes then."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 class Scratch:
     """Tables written to the shared folder to be read several times, then removed."""
 
@@ -99,16 +112,15 @@ class Scratch:
     def __enter__(self) -> Scratch:
         return self
 
+    def folder(self, label: str) -> str:
+        """A fresh path that goes with the others."""
+        self.folders.append(new_folder(self.spark, label))
+        return self.folders[-1]
+
     def table(self, df: DataFrame, label: str) -> DataFrame:
-        folder = new_folder(self.spark, label)
-        self.folders.append(folder)
-        # What was shuffled to make the table is of no use once it is written.
-        before = self.spark.conf.get(SHUFFLE_CLEANUP)
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
-        try:
+        folder = self.folder(label)
+        with shuffles_removed(self.spark):
             df.write.parquet(folder)
-        finally:
-            self.spark.conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(folder)
 
     def __exit__(self, *_) -> None:

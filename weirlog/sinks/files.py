@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from weirlog import schemas
 from weirlog.operators.render import frame, with_json
 from weirlog.operators.segments import segment_key, segment_names
-from weirlog.session import Scratch, remove_listed
+from weirlog.session import Scratch, remove_listed, shuffles_removed
 
 _REMOVERS = 8  # folders removed at a time
+# Segments are archived in turns of so many bytes, and in so many turns at most.
+_TURN_BYTES = 256 << 20
+_TURNS = 16
 
 # Codec names of the options and what the text writer calls them.
 CODECS = {"none": "none", "gz": "gzip", "bz2": "bzip2", "lz4": "lz4"}
@@ -104,7 +107,8 @@ def write_segments(
     if batch is not None:
         writer = writer.option("partitionOverwriteMode", "dynamic")
         mode = "overwrite"
-    writer.mode(mode).options(**writer_options(codec, level)).partitionBy(*folders).text(store)
+    with shuffles_removed(df.sparkSession):
+        writer.mode(mode).options(**writer_options(codec, level)).partitionBy(*folders).text(store)
 
 
 def archive(
@@ -121,9 +125,10 @@ def archive(
     ``closed`` (column ``segment_name``) names the segments to move, by default
     all; its column ``archived_name``, if there, gives them other names. Messages
     keep their order, also over the batches of a stream, each of which keeps
-    a file of its own. Originals are removed only after the compressed copy
-    is committed, and a run that is repeated after a failure replaces the
-    copies it made before. The archive must be another folder than the store.
+    a file of its own. Segments take turns: the originals of a turn are removed only
+    after their compressed copies are committed, and before the next turn, so that
+    at most a part of the store is there twice. A run that is repeated after a failure
+    replaces the copies it made before. The archive must be another folder than the store.
     """
     target = archive_store or f"{current_store.rstrip('/')}-archived"
     if target.rstrip("/") == current_store.rstrip("/"):
@@ -131,47 +136,75 @@ def archive(
     read = spark.read.option("lineSep", "\n")
     # A store written by a stream has a folder for each batch of a segment.
     batches = ["batch"] if "batch" in read.text(current_store).columns else []
-    schema = "value string, month string, segment_name string" + "".join(f", {b} bigint" for b in batches)
-    lines = read.schema(schema).text(current_store).select(
-        "month",
-        "segment_name",
-        *batches,
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_row"),
-    )
+    placed = "month string, segment_name string" + "".join(f", {b} bigint" for b in batches)
+    folders = ["month", "segment_name", *batches]
     name = F.col("segment_name")
+    names, renamed = None, False
     if closed is not None:
         names = closed.withColumnRenamed("segment_name", "_closed")
         renamed = "archived_name" in closed.columns
         names = names.select("_closed", *(["archived_name"] if renamed else [])).distinct()
-        lines = lines.join(names, F.col("segment_name") == F.col("_closed"))
         name = F.coalesce("archived_name", name) if renamed else name
-    lines = lines.withColumn("_name", name)
-    folders = ["month", "segment_name", *batches]
+
+    def to_move(rows: DataFrame) -> DataFrame:
+        rows = rows if names is None else rows.join(names, F.col("segment_name") == F.col("_closed"))
+        return rows.withColumn("_name", name)
+
     with Scratch(spark) as scratch:
-        # Folders, noted before anything is removed.
+        # Files with their folders and sizes, noted before anything is moved; no content is read.
+        files = spark.read.format("binaryFile").schema(f"{_FILE}, {placed}").load(current_store)
+        path = F.col("_metadata.file_path")
+        files = to_move(files.where("length > 0").select(*folders, path.alias("_file"), "length"))
         folder = F.regexp_extract("_file", "^(.*)/[^/]*$", 1)
-        moved = scratch.table(lines.select("segment_name", folder.alias("folder")).distinct(), "moved")
-        (
-            lines.repartition(*folders)
-            .sortWithinPartitions(*folders, "_file", "_block", "_row")
-            .select("month", F.col("_name").alias("segment_name"), *batches, "value")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .options(**writer_options(codec, level))
-            .partitionBy(*folders)
-            .text(target)
-        )
-        if remove:
-            with ThreadPoolExecutor(_REMOVERS) as pool:
-                rows = (row.folder for row in moved.select("folder").distinct().toLocalIterator())
-                for _ in pool.map(lambda path: remove_listed(spark, path), rows):
-                    pass
+        files = files.select("month", "segment_name", "_name", "length", "_file", folder.alias("folder"))
+        moved = scratch.table(files, "moved")
+        turns = _turns(moved, renamed)
+        # The month and the current name are in the paths: a turn lists and reads its own files only.
+        turn = F.pmod(F.xxhash64("month", "segment_name"), F.lit(turns))
+        stored = read.schema(f"value string, {placed}").text(current_store)
+        for at in range(turns):
+            lines = stored.where(turn == at).select(
+                *folders,
+                "value",
+                path.alias("_file"),
+                F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_row"),
+            )
+            with shuffles_removed(spark):
+                (
+                    to_move(lines)
+                    .repartition(*folders)
+                    .sortWithinPartitions(*folders, "_file", "_block", "_row")
+                    .select("month", F.col("_name").alias("segment_name"), *batches, "value")
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .options(**writer_options(codec, level))
+                    .partitionBy(*folders)
+                    .text(target)
+                )
+            if remove:
+                with ThreadPoolExecutor(_REMOVERS) as pool:
+                    rows = (row.folder for row in moved.where(turn == at).select("folder").distinct().toLocalIterator())
+                    for _ in pool.map(lambda path: remove_listed(spark, path), rows):
+                        pass
         return moved.select("segment_name").distinct().count()
 
 
+# Fixed value: the columns that the reader of whole files has.
+_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _turns(moved: DataFrame, renamed: bool) -> int:
+    """In how many turns files are moved: one for few bytes, and where segments get one name between them."""
+    size = moved.select("_file", "length").distinct().agg(F.sum("length")).first()[0] or 0
+    turns = max(1, min(_TURNS, -(-size // _TURN_BYTES)))
+    if renamed and turns > 1:
+        shared = moved.groupBy("month", "_name").agg(F.count_distinct("segment_name").alias("n"))
+        if not shared.where("n > 1").isEmpty():
+            return 1
+    return turns
+
+
 Sink = Callable[[DataFrame], None]
 
 
