@@ -491,6 +491,31 @@ def test_reports_of_batches_equal_those_of_all(spark, folder):
     assert at == 230 and [tuple(r) for r in sorted(got)] == [tuple(r) for r in expected]
 
 
+def test_stream_caches_no_messages(spark, folder):
+    """A batch may be larger than all memory: while sinks run, its messages are in a table, which goes afterwards."""
+    rows = sorted(make(5, 40), key=lambda r: (r[2], r[0]))
+    land(spark, rows, f"{folder}/in", "1")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    seen = []
+
+    def sink(df, batch_id):
+        assert df.count() == 35
+        seen.append(spark.sparkContext._jsc.getPersistentRDDs().size() - cached)
+
+    writer = run.stream_messages(
+        stream(spark, f"{folder}/in"), f"{folder}/state", [sink, run.table_sink(f"{folder}/out")],
+        transformer=lambda df: F.when(F.col("sequence") % 8 == 0, F.lit("null")), replacing=True,
+        report=run.table_sink(f"{folder}/reports"), report_every=10,
+    )
+    run.run_to_end(writer, f"{folder}/checkpoint")
+    assert seen == [0]
+    kept = [r.sequence for r in spark.read.parquet(f"{folder}/out").orderBy("sequence").collect()]
+    assert kept == [i for i in range(1, 41) if i % 8]
+    assert [r.dropped for r in spark.read.parquet(f"{folder}/reports").orderBy("report").collect()] == [1, 2, 3, 5]
+    assert tuple(run.stream_totals(spark, f"{folder}/state").first()) == (40, 5, 0)
+    assert not os.path.exists(f"{folder}/state/work") or not os.listdir(f"{folder}/state/work")
+
+
 def test_stream_leaves_nothing_cached(spark, folder):
     before = spark.sparkContext._jsc.getPersistentRDDs().size()
     rows = sorted(make(3, 60), key=lambda r: (r[2], r[0]))

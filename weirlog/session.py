@@ -60,9 +60,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def new_folder(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder; nothing is created there yet."""
-    return f"{shared_folder(spark)}/weirlog-{label}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, label: str, below: str | None = None) -> str:
+    """A fresh path below the shared folder, or the one that is given; nothing is created there yet."""
+    return f"{below or shared_folder(spark)}/weirlog-{label}-{uuid.uuid4().hex}"
 
 
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
@@ -103,10 +103,11 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables written to the shared folder to be read several times, then removed."""
+    """Tables written to the shared folder, or another, to be read several times, then removed."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, below: str | None = None):
         self.spark = spark
+        self.below = below
         self.folders: list[str] = []
 
     def __enter__(self) -> Scratch:
@@ -114,7 +115,7 @@ class Scratch:
 
     def folder(self, label: str) -> str:
         """A fresh path that goes with the others."""
-        self.folders.append(new_folder(self.spark, label))
+        self.folders.append(new_folder(self.spark, label, self.below))
         return self.folders[-1]
 
     def table(self, df: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -21,7 +21,7 @@ from weirlog.operators.envelope import envelope, prune_digest, prune_raw
 from weirlog.operators.numbering import measure_splits, with_positions
 from weirlog.operators.segments import due, open_segments, segment, segment_key, segment_names
 from weirlog.operators.transform import Transformer, drop_null_replacements, enrich, replace
-from weirlog.session import folder_exists
+from weirlog.session import Scratch, folder_exists, remove_folder
 from weirlog.sinks.files import archive, write_console, write_segments
 from weirlog.streaming.state import BatchState
 
@@ -145,6 +145,16 @@ def segment_batch(
     return _segment_batch(df, batch_id, state, messages, timeout, layout, keys, at, tie, cut_at)[0]
 
 
+_READ = ("collector_type", "collector_identifier", "message_raw", "message_sha256", "message_text", "message_json", "message_metadata")
+
+
+def _as_read(records: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The columns that numbering and the envelope read, in types that a table can have."""
+    names = ["received_at", *order]
+    others = [F.col(n).cast(schemas.MESSAGE[n].dataType).alias(n) for n in _READ if n not in names]
+    return records.select(*dict.fromkeys(names), *others)
+
+
 Step = Callable[[DataFrame], DataFrame]
 
 
@@ -174,55 +184,57 @@ def stream_messages(
     ``record_id``. Rows without that column get one, in reading order; the batch is
     written down with it, so that a repeated batch has the same. The counts of
     each batch and of all so far are saved below ``state``: see :func:`stream_totals`.
+    Records and messages of a batch are tables there while the batch runs.
     ``report`` gets the throughput reports of ``report_every`` messages that a
     batch closes.
     """
     folder = state.rstrip("/")
     names = ("sequence", "arrivals", "totals", "reports")
     numbers, arrivals, totals, reported = (BatchState(f"{folder}/{n}") for n in names)
+    work = f"{folder}/work"
 
     def run(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        remove_folder(spark, work)  # what a run that was ended has left
         if "record_id" not in df.columns:
             df = arrivals.once(df.withColumn("record_id", F.monotonically_increasing_id()), batch_id)
-        refused = 0
-        if rejects is not None:
-            refused_rows = rejects(df).persist(StorageLevel.MEMORY_AND_DISK)
-            refused = refused_rows.count()
-            if quarantine is not None:
-                quarantine(refused_rows, batch_id)
-            refused_rows.unpersist()
-        taken = (decode(df) if decode is not None else df).persist(StorageLevel.MEMORY_AND_DISK)
-        numbered, processed = _number_batch(taken, batch_id, numbers, order)
-        messages = envelope(numbered)
-        if transformer is not None and replacing:
-            messages = replace(messages, transformer)
-            messages = messages.persist(StorageLevel.MEMORY_AND_DISK)
-            kept = drop_null_replacements(messages)
-        elif transformer is not None:
-            kept = enrich(messages, transformer)
-        else:
-            kept = messages
-        kept = prune_digest(prune_raw(kept, keep_raw), keep_sha256).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            # One pass computes the batch, keeps it for the sinks and counts what is kept.
-            seen = Observation()
-            kept.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        with Scratch(spark, work) as held:
+            refused = 0
+            if rejects is not None:
+                refused_rows = rejects(df)
+                if quarantine is not None:
+                    refused_rows = held.table(refused_rows, "rejects")
+                    quarantine(refused_rows, batch_id)
+                refused = refused_rows.count()
+            messages, processed = number_and_transform(df, batch_id, held)
+            replaced = transformer is not None and replacing
+            kept = drop_null_replacements(messages) if replaced else messages
+            kept = prune_digest(prune_raw(kept, keep_raw), keep_sha256)
             for sink in sinks:
                 sink(kept, batch_id)
             if report is not None:
                 closed = report_batch(messages, batch_id, reported, report_every)
                 report(closed, batch_id)
                 closed.unpersist()
-            counts = {"processed": processed, "dropped": processed - seen.get["rows"], "rejected": refused}
+            counts = {"processed": processed, "dropped": processed - kept.count(), "rejected": refused}
             before = totals.before(spark, batch_id)
             earlier = before.first() if before is not None else None
             so_far = {f"all_{c}": n + (earlier[f"all_{c}"] if earlier else 0) for c, n in counts.items()}
             totals.save(spark.createDataFrame([{**counts, **so_far}], _TOTALS), batch_id)
-        finally:
-            kept.unpersist()
-            messages.unpersist()
-            taken.unpersist()
+
+    def number_and_transform(df: DataFrame, batch_id: int, held: Scratch) -> tuple[DataFrame, int]:
+        """The messages of a batch, before any is left out, and how many they are.
+
+        Records and messages are tables, not cached rows: a batch may be far larger than
+        the executors' memory, and few of its files may hold all of it.
+        """
+        with Scratch(df.sparkSession, work) as decoded:
+            taken = _as_read(decode(df) if decode is not None else df, order)
+            numbered, processed = _number_batch(decoded.table(taken, "records"), batch_id, numbers, order)
+            messages = envelope(numbered)
+            if transformer is not None:
+                messages = (replace if replacing else enrich)(messages, transformer)
+            return held.table(messages, "messages"), processed
 
     return records.writeStream.foreachBatch(run)
 
